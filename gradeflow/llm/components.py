@@ -38,8 +38,9 @@ def _local(batches: Batches) -> Batches:
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """``edges`` (a long, b long) -> (node, component), the smallest node reachable.
 
-    Each round lowers every node's label to the least of its neighbours' labels and then
-    follows labels of labels, so the rounds grow with the logarithm of a chain's length.
+    Each round lowers every node's label, and the label of its label, to the least of its
+    neighbours' labels and then follows labels of labels, so the rounds grow with the logarithm
+    of a chain's length.
     Labels are written to the shared folder each round; sums and joins only, so that a hub
     with a third of all edges is combined before the shuffle. Nodes without an edge to
     another node have no row; null ends are dropped.
@@ -49,9 +50,12 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     labels = written(both.groupBy("a").agg(F.min("b").alias("low")).selectExpr("a as node", "least(a, low) as component"), tag)
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("low"))
-        lowered = labels.join(heard, labels.node == heard.a).selectExpr("node", "component as was", "least(component, low) as component")
-        targets = labels.select(F.col("node").alias("t"), F.col("component").alias("next"))
-        jumped = lowered.join(targets, F.col("component") == F.col("t"), "left")
+        told = labels.join(heard, labels.node == heard.a).select("node", "component", "low")
+        # a label itself is lowered by the least that any of its nodes hears
+        roots = told.groupBy(F.col("component").alias("root")).agg(F.min(F.least("component", "low")).alias("down"))
+        lowered = told.join(roots, told.component == roots.root).selectExpr("node", "component as was", "least(low, down) as component")
+        again = roots.select(F.col("root").alias("t"), F.col("down").alias("next"))
+        jumped = lowered.join(again, lowered.component == again.t, "left")
         fresh = written(jumped.selectExpr("node", "was", "least(component, next) as component"), tag)
         labels = fresh.select("node", "component")
         if fresh.where("component <> was").isEmpty():

@@ -11,13 +11,17 @@ into more groups than the largest symmetric difference that the threshold leaves
 then two linked sets agree on a group that neither has empty. The agreement on a group
 (with a fingerprint of its members, finer than the count alone) is a cell; sets too small
 for that share a cell for one of their first tokens in the order of hashes. Documents
-that share cells are joined into families, each family is one tree, or, beyond
-``leaf_rows``, a tree for each pair of its blocks. No link is lost and no candidate capped.
+that share cells are joined into families. Passages that many documents share may join
+families that have nothing more in common, so a family of more than ``leaf_rows`` is dealt again
+by a finer law with fuller groups, and what is still large is cut into bands of sizes and
+those into blocks. Each family, or pair of blocks, is one tree. No link is lost and no candidate capped.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from math import factorial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +39,44 @@ def least_overlap(total: np.ndarray | int, num: int, den: int):
     return -(-num * total // (num + den))
 
 
-SMALL = 32  # size classes that begin below hold sets too small to be cut into groups
 ONE_BY_ONE = -1
 
 
-def schemes(largest: int, num: int, den: int) -> list[tuple[int, int, int, int, int]]:
-    """(first size, end of the own sizes, largest size met, groups, room) of each size class.
+class Law(NamedTuple):
+    """How sets are dealt to cells. Both laws keep every link; the finer one has more cells, each for more tokens."""
+
+    wide: int  # percent by which a size class grows, from 128 tokens on; smaller ones grow by 10
+    few: int  # a group of fewer tokens makes no cell, if the sizes allow it
+
+
+COARSE = Law(50, 2)
+FINE = Law(10, 3)
+TINY = 12  # size classes that begin below are too small to be cut into groups
+
+
+def schemes(largest: int, num: int, den: int, law: Law = COARSE) -> list[tuple[int, int, int, int, int, int]]:
+    """(first size, end of the own sizes, largest size met, groups, room, few) of each size class.
 
     A size class holds sets of the sizes first .. end-1, and as visitors the larger sets
     that may still link with one of them. ``room`` is the largest symmetric difference of a
     linked pair there, so two linked sets agree on groups - room groups at least; there are
-    so many groups that few sets have as many empty ones. Small sets (``ONE_BY_ONE``) agree
-    on one of their first tokens instead. 0 groups: only equal sets link.
+    so many groups that hardly a set has as many with fewer than ``few`` tokens. Tiny sets
+    (``ONE_BY_ONE``) agree on one of their first tokens instead. 0 groups: only equal sets link.
     """
     out, first = [], 1
     while first <= largest:
-        end = max(first + 1, first * 3 // 2)
+        end = max(first + 1, first * (100 + (law.wide if first >= 128 else 10)) // 100)
         met = (end - 1) * den // num
         room = ((end - 1 + met) * (den - num)) // (num + den)
-        groups = room + 3
-        for _ in range(8):
-            empty = groups * np.exp(-first / groups)
-            groups = room + 2 + int(np.ceil(empty + 2 * np.sqrt(empty)))
-        out.append((first, end, met, 0 if not room else ONE_BY_ONE if first < SMALL else groups, room))
+        for few in range(law.few, 0, -1):
+            groups = room + 3
+            for _ in range(8):
+                mean = first / groups
+                poor = groups * np.exp(-mean) * sum(mean**k / factorial(k) for k in range(few))
+                groups = room + 2 + int(np.ceil(poor + 2.5 * np.sqrt(poor)))
+            if groups <= 1.35 * room + 4:
+                break
+        out.append((first, end, met, 0 if not room else ONE_BY_ONE if first < TINY else min(groups, 2 * room + 8), room, few))
         first = end
     return out
 
@@ -69,14 +88,14 @@ def cells(s: np.ndarray, v: np.ndarray, at: np.ndarray, k: np.ndarray, plan: lis
     size class in which each set is asked for (-1: none).
     """
     size = np.diff(at)
-    groups, room = (np.append([p[i] for p in plan], 0)[k] for i in (3, 4))
+    groups, room, few = (np.append([p[i] for p in plan], 0)[k] for i in (3, 4, 5))
     salt = k.astype(np.uint64) << np.uint64(32)
     values, owners = [], []
 
     # linked sets of these sizes share one of the first size - least overlap + 1 tokens
-    few = np.flatnonzero((groups == ONE_BY_ONE) & (size > 0))
-    heads = size[few] - -(-num * size[few] // den) + 1
-    owner = np.repeat(few, heads)
+    tiny = np.flatnonzero((groups == ONE_BY_ONE) & (size > 0))
+    heads = size[tiny] - -(-num * size[tiny] // den) + 1
+    owner = np.repeat(tiny, heads)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(heads) - heads, heads)
     values.append(mix(s[at[owner] + place] + salt[owner], 9))
     owners.append(owner)
@@ -91,11 +110,13 @@ def cells(s: np.ndarray, v: np.ndarray, at: np.ndarray, k: np.ndarray, plan: lis
         head[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
         starts = np.flatnonzero(head)
         sums, filled, whose = np.add.reduceat(v[live], starts), group[starts], owner[starts]
-        values.append(mix(sums + mix(filled + salt[whose], 4), 5))
-        owners.append(whose)
-        empty = groups - np.bincount(whose, minlength=len(k))
-        for i in np.flatnonzero((groups > 0) & (empty >= groups - room)).tolist():
-            # a linked pair may agree on empty groups alone
+        poor = np.diff(np.append(starts, len(owner))) < few[whose]
+        short = (groups - np.bincount(whose[~poor], minlength=len(k)) >= groups - room) & (groups > 0)
+        keep = ~poor | short[whose]
+        values.append(mix(sums + mix(filled + salt[whose], 4), 5)[keep])
+        owners.append(whose[keep])
+        for i in np.flatnonzero(short).tolist():
+            # so many groups of few tokens that a linked pair may agree on these alone, even on empty ones
             none = np.setdiff1d(np.arange(groups[i], dtype=np.uint64), filled[whose == i])
             values.append(mix(none + salt[i], 6))
             owners.append(np.full(len(none), i))
@@ -110,28 +131,54 @@ def _fingerprints(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return v, row_sums(v, at).view(np.int64), row_sums(v * v ^ (v >> np.uint64(29)), at).view(np.int64)
 
 
+def _dealt(s: np.ndarray, v: np.ndarray, at: np.ndarray, num: int, den: int, law: Law, skip: np.ndarray | None = None) -> pa.Array:
+    """Each set's cells, in its own size class and as a visitor of those below it."""
+    n = np.diff(at)
+    plan = schemes(2 * int(n.max(initial=0)) + 64, num, den, law)
+    ends, met = (np.array([p[i] for p in plan]) for i in (1, 2))
+    own = np.searchsorted(ends, n, side="right")
+    if skip is not None:
+        own[skip] = -1
+    parts = []
+    while (own >= 0).any():
+        values, bounds = cells(s, v, at, own, plan, num, den)
+        parts.append((values, np.repeat(np.arange(len(n)), np.diff(bounds))))
+        own = np.where((own > 0) & (n <= met[own - 1]), own - 1, -1)
+    values = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+    whose = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    order = np.argsort(whose, kind="stable")
+    bounds = np.searchsorted(whose[order], np.arange(len(n) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order].view(np.int64)))
+
+
 def _signed(batches: Batches, text: str, words: int, num: int, den: int) -> Batches:
-    plan, seen = [], set()
+    """Rows (doc_id, text) -> the size, two fingerprints and the cells of each set."""
+    seen: set[int] = set()
     for batch in slices(batches, text):
         s, at = shingle_sets(*utf8(batch.column(1)), words)
         v, one, two = _fingerprints(s, at)
-        n = np.diff(at)
-        if not plan or plan[-1][1] <= n.max(initial=0):
-            plan = schemes(2 * int(n.max(initial=0)) + 64, num, den)
-            ends, met = (np.array([p[i] for p in plan]) for i in (1, 2))
-        own = np.searchsorted(ends, n, side="right")
-        below = np.where((own > 0) & (n <= met[own - 1]), own - 1, -1)
         if len(seen) > 1_000_000:
             seen.clear()
+        known = np.zeros(len(one), bool)
         for i, f in enumerate(one.tolist()):  # a copy met before in this task has given its cells
-            if f in seen:
-                own[i] = below[i] = -1
+            known[i] = f in seen
             seen.add(f)
-        lists = []
-        for k in (own, below):
-            values, ends_at = cells(s, v, at, k, plan, num, den)
-            lists.append(pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(values.view(np.int64))))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n.astype(np.int64)), "fp": pa.array(one), "fp2": pa.array(two), "own": lists[0], "below": lists[1]})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(np.diff(at).astype(np.int64)), "fp": pa.array(one), "fp2": pa.array(two), "cells": _dealt(s, v, at, num, den, COARSE, known)})
+
+
+def _signed_again(batches: Batches, words: int, num: int, den: int) -> Batches:
+    """Rows (fp, text) -> fp and its cells by the finer law."""
+    for batch in slices(batches, "text"):
+        s, at = shingle_sets(*utf8(batch.column(1)), words)
+        v, one, _ = _fingerprints(s, at)
+        fp = batch.column(0).to_numpy()
+        yield pa.RecordBatch.from_pydict({"fp": pa.array(fp), "cells": _dealt(s, v, at, num, den, FINE, one != fp)})
+
+
+def _joined_by_cells(signed: DataFrame, tag: str) -> DataFrame:
+    """(node, component) of fingerprints (fp, cells) that are joined by shared cells."""
+    keys = signed.select(F.explode("cells").alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
+    return connected_components(written(keys.mapInArrow(_stars, "a long, b long").distinct(), f"{tag}-stars"), tag)
 
 
 def _stars(batches: Batches) -> Batches:
@@ -252,22 +299,30 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     joins only equal texts. Other columns of ``docs``, whatever their names, play no part.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(partial(_signed, text="text", words=words, num=num, den=den), "doc_id long, n long, fp long, fp2 long, own array<long>, below array<long>"), "jaccard-signed")
+    signed = written(texts.mapInArrow(partial(_signed, text="text", words=words, num=num, den=den), "doc_id long, n long, fp long, fp2 long, cells array<long>"), "jaccard-signed")
     classes = signed.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    keys = signed.select(F.explode(F.concat("own", "below")).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-    stars = written(keys.mapInArrow(_stars, "a long, b long").distinct(), "jaccard-stars")
-    families = connected_components(stars, "jaccard-families")
-
-    members = families.join(classes, F.col("node") == F.col("fp")).where("rep is not null").select("fp", "n", "rep", F.col("component").alias("family"))
-    counts = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("members"))
-    placed = members.join(counts, "family").withColumn("blocks", F.ceil(F.col("members") / F.lit(leaf_rows)).cast("int"))
+    families = _joined_by_cells(signed, "jaccard-families")
+
+    # the texts of what shares a cell, once
+    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("members"))
+    found = families.join(sizes, families.component == sizes.family).join(classes, F.col("node") == F.col("fp")).where("rep is not null").select("rep", "fp", "n", "family", "members")
+    live = written(texts.where("doc_id is not null").join(found, texts.doc_id == found.rep).select("fp", "n", "family", "members", "text"), "jaccard-live")
+    large = F.col("members") > leaf_rows
+    finer = _joined_by_cells(live.where(large).select("fp", "text").mapInArrow(partial(_signed_again, words=words, num=num, den=den), "fp long, cells array<long>"), "jaccard-finer")
+    members = live.where(~large).select("fp", "n", "family").unionByName(live.where(large).select("fp", "n").join(finer, F.col("fp") == F.col("node")).select("fp", "n", F.col("component").alias("family"))).distinct()
+
+    counts = members.groupBy("family").agg(F.count("*").alias("members"))
+    # a family that is still large is cut by size: linked sets are of one band or of neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(den / num)) * (1 + 1e-9))).cast("int")
+    bands = F.when(large, F.array(band, band - 1)).otherwise(F.array(F.lit(-1)))
+    placed = members.join(counts, "family").select("fp", "family", F.explode(bands).alias("band"))
+    held = placed.groupBy("family", "band").agg(F.count("*").alias("held"))
+    placed = placed.join(held, ["family", "band"]).where("held > 1").withColumn("blocks", F.ceil(F.col("held") / F.lit(leaf_rows)).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # every pair of blocks of a family meets once; a family of one block is a pair with itself
+    # every pair of blocks meets once; one block alone is a pair with itself
     placed = placed.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")))
-    placed = placed.select("rep", "fp", F.xxhash64("family", "pair.i", "pair.j").alias("block"), F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int")).alias("side"))
-    placed = written(placed, "jaccard-placed")
-    fetched = texts.where("doc_id is not null").join(placed, texts.doc_id == placed.rep)
-    rows = fetched.select("block", "fp", "side", "text").repartition("block").sortWithinPartitions("block", "fp")
+    placed = written(placed.select("fp", F.xxhash64("family", "band", "pair.i", "pair.j").alias("block"), F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int")).alias("side")), "jaccard-placed")
+    rows = placed.join(live.select("fp", "text"), "fp").select("block", "fp", "side", "text").repartition("block").sortWithinPartitions("block", "fp")
     links = written(rows.mapInArrow(partial(_families, text="text", words=words, num=num, den=den), "a long, b long"), "jaccard-links")
     joined = connected_components(links, "jaccard-joined")
 
