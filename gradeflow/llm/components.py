@@ -38,25 +38,30 @@ def _local(batches: Batches) -> Batches:
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """``edges`` (a long, b long) -> (node, component), the smallest node reachable.
 
-    Each round lowers every node's label, and the label of its label, to the least of its
-    neighbours' labels and then follows labels of labels, so the rounds grow with the logarithm
-    of a chain's length.
-    Labels are written to the shared folder each round; sums and joins only, so that a hub
-    with a third of all edges is combined before the shuffle. Nodes without an edge to
-    another node have no row; null ends are dropped.
+    Each round points every node to its least neighbour, follows pointers of pointers, and draws
+    the edges that are left between what the nodes point to, so edges inside a group are gone
+    after the round that gathers it and the rounds grow with the logarithm of a chain's
+    length. Sums and joins only: a hub with a third of all edges is combined before the
+    shuffle. Edges and pointers are written to the shared folder each round. Nodes without an
+    edge to another node have no row; null ends are dropped.
     """
-    stars = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local, "a long, b long")
-    both = written(stars.where("a <> b").distinct().selectExpr("explode(array(struct(a, b), struct(b as a, a as b))) as e").select("e.*"), tag)
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).selectExpr("a as node", "least(a, low) as component"), tag)
-    while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("low"))
-        told = labels.join(heard, labels.node == heard.a).select("node", "component", "low")
-        # a label itself is lowered by the least that any of its nodes hears
-        roots = told.groupBy(F.col("component").alias("root")).agg(F.min(F.least("component", "low")).alias("down"))
-        lowered = told.join(roots, told.component == roots.root).selectExpr("node", "component as was", "least(low, down) as component")
-        again = roots.select(F.col("root").alias("t"), F.col("down").alias("next"))
-        jumped = lowered.join(again, lowered.component == again.t, "left")
-        fresh = written(jumped.selectExpr("node", "was", "least(component, next) as component"), tag)
-        labels = fresh.select("node", "component")
-        if fresh.where("component <> was").isEmpty():
-            return labels
+    plain = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    left = written(plain.mapInArrow(_local, "a long, b long").where("a <> b").distinct(), tag)
+    steps = []
+    while not left.isEmpty():
+        least = left.selectExpr("explode(array(struct(a as node, b as near), struct(b as node, a as near))) as e").select("e.*").groupBy("node").agg(F.min("near").alias("near"))
+        points = written(least.selectExpr("node", "least(node, near) as to"), tag)
+        ahead = points.select(F.col("node").alias("t"), F.col("to").alias("next"))
+        points = points.join(ahead, points.to == ahead.t).selectExpr("node", "next as to")
+        points = written(points, tag)
+        steps.append(points)
+        from_a = left.join(points, left.a == points.node).selectExpr("to as a", "b")
+        drawn = from_a.join(points, from_a.b == points.node).selectExpr("a", "to as b").where("a <> b")
+        left = written(drawn.selectExpr("greatest(a, b) as a", "least(a, b) as b").mapInArrow(_local, "a long, b long").where("a <> b").distinct(), tag)
+    if not steps:
+        return left.selectExpr("a as node", "b as component")
+    out = steps[0].selectExpr("node", "to as component")
+    for points in steps[1:]:
+        later = points.select(F.col("node").alias("t"), F.col("to").alias("next"))
+        out = out.join(later, out.component == later.t, "left").selectExpr("node", "coalesce(next, component) as component")
+    return written(out, tag)
