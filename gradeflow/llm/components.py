@@ -50,18 +50,18 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     steps = []
     while not left.isEmpty():
         least = left.selectExpr("explode(array(struct(a as node, b as near), struct(b as node, a as near))) as e").select("e.*").groupBy("node").agg(F.min("near").alias("near"))
-        points = written(least.selectExpr("node", "least(node, near) as to"), tag)
-        ahead = points.select(F.col("node").alias("t"), F.col("to").alias("next"))
-        points = points.join(ahead, points.to == ahead.t).selectExpr("node", "next as to")
+        points = written(least.selectExpr("node", "least(node, near) as goes"), tag)
+        ahead = points.select(F.col("node").alias("t"), F.col("goes").alias("next"))
+        points = points.join(ahead, points.goes == ahead.t).selectExpr("node", "next as goes")
         points = written(points, tag)
         steps.append(points)
-        from_a = left.join(points, left.a == points.node).selectExpr("to as a", "b")
-        drawn = from_a.join(points, from_a.b == points.node).selectExpr("a", "to as b").where("a <> b")
+        from_a = left.join(points, left.a == points.node).selectExpr("goes as a", "b")
+        drawn = from_a.join(points, from_a.b == points.node).selectExpr("a", "goes as b").where("a <> b")
         left = written(drawn.selectExpr("greatest(a, b) as a", "least(a, b) as b").mapInArrow(_local, "a long, b long").where("a <> b").distinct(), tag)
     if not steps:
         return left.selectExpr("a as node", "b as component")
-    out = steps[0].selectExpr("node", "to as component")
+    out = steps[0].selectExpr("node", "goes as component")
     for points in steps[1:]:
-        later = points.select(F.col("node").alias("t"), F.col("to").alias("next"))
+        later = points.select(F.col("node").alias("t"), F.col("goes").alias("next"))
         out = out.join(later, out.component == later.t, "left").selectExpr("node", "coalesce(next, component) as component")
     return written(out, tag)
