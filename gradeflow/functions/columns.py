@@ -48,10 +48,10 @@ def parse_bool(c: Column, true: tuple = TRUE_TEXT, false: tuple = FALSE_TEXT) ->
 
 
 def score01(c: Column) -> Column:
-    """A number as a score from 0 to 1; values above 1 count as percent (M4)."""
-    x = F.expr("try_cast(0 as double)") if c is None else c.try_cast("double")
-    x = F.when(F.isnan(x), None).otherwise(x)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(x > 1, x / 100).otherwise(x)))
+    """A number as a score from 0 to 1, null if it is none; values above 1 count as percent (M4)."""
+    x = c.try_cast("double")
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(x > 1, x / 100).otherwise(x)))
+    return F.when(x.isNotNull() & ~F.isnan(x), part)
 
 
 def error_type(c: Column) -> Column:

@@ -94,7 +94,7 @@ def test_lenient_and_strict_json(spark, tmp_path):
 
 
 def test_streamed_consensus_equals_batch(spark, tmp_path):
-    v = judges.normalised(fixtures.verdicts(spark, SF)).withColumn("ts", F.timestamp_seconds("case_id"))
+    v = judges.normalised(fixtures.verdicts(spark, SF)).withColumn("ts", F.timestamp_seconds(F.col("case_id") + 1_700_000_000))
     v.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     progress.incremental(stream, f"{tmp_path}/out", f"{tmp_path}/cp", judges.consensus).awaitTermination(120)
