@@ -26,7 +26,7 @@ def gram_cosine(pairs: DataFrame, n: int = 3) -> DataFrame:
 
     def grams(c: str) -> DataFrame:
         t = F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", ""))
-        cut = F.when(F.length(t) <= n, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: t.substr(i, F.lit(n))))
+        cut = F.when(F.length(t) <= n, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
         return pairs.select("key", F.explode(F.when(F.length(t) > 0, cut)).alias("g")).groupBy("key", F.xxhash64("g").alias("g")).agg(F.count("*").alias(c))
 
     both = grams("reference").join(grams("answer"), ["key", "g"], "full")
