@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gradeflow.functions import columns as C
 from gradeflow.operators import compose, judges, textsim
-from gradeflow.plans import fixtures, queries
+from gradeflow.plans import all as queries
+from gradeflow.plans import fixtures
 from gradeflow.sources import files
 from gradeflow.streaming import progress
 
