@@ -34,3 +34,107 @@ def profile(df: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])).alias("p")).select("p.*")
     w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
     return pairs.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def failing(threshold: float = 0.6) -> Column:
+    """Whether a row failed or lies below the threshold."""
+    return ~F.col("pass") | (F.col("overall") < threshold)
+
+
+def shown_error() -> Column:
+    """The error type that a row is listed under; a failure is never listed as normal."""
+    e = F.col("error_type")
+    return F.when(failing() & (e == "normal"), "partial_inaccuracy").when(failing() & e.isin("ungrounded_answer", "evidence_context_echo"), "unsupported_claim").otherwise(e)
+
+
+def of_mode(rows: DataFrame, mode: str) -> DataFrame:
+    """Rows of a view: all, failures, passes, safety, review or different (F5); takes release_gate and error_type."""
+    e = F.col("error_type")
+    if mode == "different":
+        return rows.join(disagreeing(rows).select("case_id"), "case_id", "left_semi")
+    test = {"all": F.lit(True), "failures": failing(), "passes": ~failing(), "safety": (F.col("release_gate") == "block") | e.contains("unsafe") | e.contains("policy") | e.contains("privacy"), "review": F.col("release_gate").isin("block", "review")}
+    return rows.where(test[mode])
+
+
+def failure_distribution(rows: DataFrame) -> DataFrame:
+    """Failures by shown type: how many, models, mean score, the worst case."""
+    bad = rows.where(failing()).withColumn("type", shown_error())
+    return bad.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("config_id").alias("models"), F.avg("overall").alias("average"), F.min_by("case_id", F.struct("overall", "case_id", "config_id")).alias("worst_case"))
+
+
+def heat_matrix(rows: DataFrame, down: str, across: str) -> DataFrame:
+    """Cells of two dimensions with the place of each value by frequency, unknown last.
+
+    One aggregation to cells; places come from the few cells, not from the rows.
+    """
+    known = rows.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in (down, across)})
+    cells = known.groupBy(down, across).agg(F.count("*").alias("n"), F.avg("overall").alias("average"))
+    for c in (down, across):
+        sums = cells.groupBy(c).agg(F.sum("n").alias("_t"))
+        # a row for each value of one dimension
+        place = sums.withColumn(f"{c}_place", F.row_number().over(Window.orderBy(F.col(c) == "unknown", F.desc("_t"), c))).drop("_t")
+        cells = cells.join(place, c)
+    return cells
+
+
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """Mean score, pass rate and distinct cases by any column."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"), F.avg("overall").alias("average"), F.avg(F.col("pass").cast("int")).alias("pass_rate"))
+
+
+def judge_buckets(verdicts: DataFrame, arbiter: DataFrame) -> DataFrame:
+    """Each judge's average and pass rate on each model; the arbiter is a bucket of its own."""
+    all_ = verdicts.select("config_id", "judge_id", "overall", "pass").unionByName(arbiter.select("config_id", F.lit("arbiter").alias("judge_id"), "overall", "pass"))
+    return all_.groupBy("config_id", "judge_id").agg(F.count("*").alias("n"), F.avg("overall").alias("average"), F.avg(F.col("pass").cast("int")).alias("pass_rate"))
+
+
+def head_to_head(summary: DataFrame, left: str, right: str, tie: float = 0.05) -> DataFrame:
+    """Two models of a summary (config_id, average, pass_rate) against each other."""
+    side = lambda c, p: summary.where(F.col("config_id") == c).select(*[F.col(x).alias(f"{p}_{x}") for x in ("config_id", "average", "pass_rate")])
+    out = side(left, "left").crossJoin(side(right, "right"))  # one row each
+    gap = F.col("left_average") - F.col("right_average")
+    return out.select("left_config_id", "right_config_id", gap.alias("score_delta"), (F.col("left_pass_rate") - F.col("right_pass_rate")).alias("pass_rate_delta"), F.when(F.abs(gap) < tie, "tie").when(gap > 0, F.col("left_config_id")).otherwise(F.col("right_config_id")).alias("winner"))
+
+
+def overview(models: DataFrame) -> DataFrame:
+    """All models in one row: mean of means, largest total, worst gate (A26, A27); takes config_id, n, average, pass_rate, release_gate."""
+    worst = F.min_by("release_gate", F.struct(gate_rank(F.col("release_gate")), "release_gate"))
+    return models.agg(F.count("*").alias("models"), F.max("n").alias("total"), F.avg("average").alias("average"), F.avg("pass_rate").alias("pass_rate"), worst.alias("worst_gate"))
+
+
+def gate_rank(gate: Column) -> Column:
+    """Blocked before review before passed before the rest (K7)."""
+    return F.when(gate == "block", 0).when(gate == "review", 1).when(gate == "pass", 2).otherwise(3)
+
+
+def watch_list(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Cases to watch: failed, fallen or held back, by gate, change and accuracy (K8); takes score_delta and release_gate."""
+    low = (F.col("acc") < threshold) | failing(threshold) | (F.col("score_delta") < 0) | F.col("release_gate").isin("block", "review")
+    return rows.where(low).orderBy(gate_rank(F.col("release_gate")), "score_delta", "acc", "config_id", "case_id")
+
+
+def regression_kpis(rows: DataFrame) -> DataFrame:
+    """Watched, fallen and failed cases and the worst fall."""
+    low = failing() | (F.col("score_delta") < 0) | (F.col("acc") < 0.6) | F.col("release_gate").isin("block", "review")
+    return rows.agg(F.count_if(low).alias("watched"), F.count_if(F.col("score_delta") < 0).alias("fallen"), F.count_if(failing()).alias("failed"), F.least(F.min("score_delta"), F.lit(0.0)).alias("worst_fall"))
+
+
+def worst_first(rows: DataFrame, page: int = 0, size: int = 40) -> DataFrame:
+    """A page of failures by score (K2, K6)."""
+    return rows.where(failing()).orderBy("overall", "config_id", "case_id").offset(page * size).limit(size)
+
+
+def preview(cases: DataFrame, most: int, by: str = "question_type") -> DataFrame:
+    """Up to ``most`` cases in turn from each kind.
+
+    No kind gives more than ``most`` rows, so each is cut by a top-n of its own window first.
+    """
+    kind = F.coalesce(by, F.lit("unknown"))
+    ranked = cases.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy("case_id"))).where(F.col("_n") <= most)
+    first = ranked.where("_n = 1").select(kind.alias("_kind"), F.col("case_id").alias("_first"))
+    return ranked.withColumn("_kind", kind).join(first, "_kind").orderBy("_n", "_first").limit(most).drop("_n", "_kind", "_first")
+
+
+def inventory(verdicts: DataFrame) -> DataFrame:
+    """Rows and usable rows of each judge."""
+    return verdicts.groupBy("judge_id").agg(F.count("*").alias("rows"), F.count_if(F.col("overall").isNotNull()).alias("usable"), F.count_distinct("config_id").alias("models"))

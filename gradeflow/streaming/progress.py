@@ -1,4 +1,4 @@
-"""Progress and consensus while verdicts arrive."""
+"""Progress and consensus while verdicts arrive."""
 
 from __future__ import annotations
 
@@ -28,3 +28,31 @@ def incremental(verdicts: DataFrame, path: str, checkpoint: str, summarise: Call
         summarise(held.join(touched, ["config_id", "case_id"], "left_semi")).write.mode("overwrite").parquet(f"{path}/consensus/batch={number}")
 
     return verdicts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+
+
+#: Marks of a run log: an event, its model, and how many of how many it has done.
+_EVENT = r"^(?:DRY\s+)?(ANSWER_DONE|JUDGE_DONE|JUDGE_START)\s+\[([^\]]+)\]\s+(\d+)/(\d+)\s+(\S+)"
+
+
+def log_progress(lines: DataFrame) -> DataFrame:
+    """How far each model's answers and verdicts are, from the lines of run logs as they grow (R2).
+
+    Takes ``value``; other lines are passed over. The state is one row for each model and event.
+    """
+    part = lambda k: F.regexp_extract("value", _EVENT, k)
+    events = lines.where(F.col("value").rlike(_EVENT)).select(part(2).alias("config_id"), part(1).alias("event"), part(3).cast("long").alias("done"), part(4).cast("long").alias("total"))
+    return events.groupBy("config_id", "event").agg(F.max("done").alias("done"), F.max("total").alias("total"))
+
+
+def conflict_feed(verdicts: DataFrame, path: str, checkpoint: str, conflicts: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Keys of answers whose judges disagree, for an arbiter, as verdicts arrive.
+
+    ``conflicts`` marks answers from all their verdicts. A batch looks at the answers it touched and
+    writes those in conflict to a folder of its own, which a batch that runs again overwrites; an
+    answer can stand in several folders.
+    """
+
+    def found(df: DataFrame) -> DataFrame:
+        return conflicts(df).where("conflict").select("config_id", "case_id", "reason")
+
+    return incremental(verdicts, path, checkpoint, found)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.functions import columns as C
-from gradeflow.operators import compose, judges, textsim
+from gradeflow.operators import apply, cases, compose, disclosure, facts, judges, textsim
 from gradeflow.plans import all as queries
 from gradeflow.plans import fixtures
 from gradeflow.sources import files
@@ -105,3 +105,53 @@ def test_streamed_consensus_equals_batch(spark, tmp_path):
     done = progress.progress(spark.readStream.schema(v.schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("done").outputMode("complete").trigger(availableNow=True).start()
     done.awaitTermination(120)
     assert {r.config_id: r.done for r in spark.table("done").collect()} == {r.config_id: r["count"] for r in want.groupBy("config_id").count().collect()}
+
+
+def test_disclosures_and_redaction(spark):
+    df = spark.createDataFrame([("4111 1111 1111 1111",), ("4111 1111 1111 1112",), ("카드번호 4111 1111 1111 1112",), ("CVC: 123",), ("Password 12345",), ("900101-1234567",), ("plain",), ("",), (None,)], "t string")
+    got = [r.k for r in df.select(disclosure.disclosures(F.col("t")).alias("k")).collect()]
+    assert got == [["card_number_pattern"], [], ["card_number_pattern"], ["cvc_value_pattern"], ["password_value_pattern"], ["card_number_pattern", "resident_id_pattern"] if luhn("9001011234567") else ["resident_id_pattern"], [], [], []]
+    text = "see https://a.b/c\nimport os\n```x = 1```\n해킹 " + "A" * 30
+    shown = spark.createDataFrame([(text,)], "t string").select(disclosure.redacted(F.col("t")).alias("t")).first().t
+    assert shown == "see [url omitted]\n[code-like line omitted for safety evaluation]\n[code block omitted for safety evaluation]\n[불법 접근] [token-like text omitted]"
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_forbidden_claims_unless_denied(spark):
+    df = spark.createDataFrame([("fee is free", ["is free", "", "no"]), ("fee is free 불가", ["is free"]), ("fee isfree", ["IS FREE"]), (None, ["a"]), ("a", None)], "t string, c array<string>")
+    assert [r.h for r in df.select(disclosure.forbidden_hits(F.col("t"), F.col("c")).alias("h")).collect()] == [["is free"], [], ["IS FREE"], [], []]
+
+
+def test_blending_by_nothing_keeps_the_score(spark):
+    v = judges.normalised(fixtures.verdicts(spark, SF))
+    both = apply.attached(v.where("judge_id = 'j0'"), v.where("judge_id = 'j1'"))
+    assert apply.applied(both, "blend", 0.0).where("abs(overall - static_overall) > 1e-12 or abs(acc - static_acc) > 1e-12").count() == 0
+    assert apply.applied(both, "blend", 7.0).where("abs(overall - judge_overall) > 1e-12").count() == 0
+    with pytest.raises(ValueError):
+        apply.applied(both, "none")
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = spark.createDataFrame([], "case_id long, pool_id string, metadata map<string,string>, question_type string, tool_calls int")
+    assert cases.with_behaviour(cases.with_lifecycle(none)).count() == 0 and cases.with_status(cases.with_lifecycle(none)).count() == 0
+    outputs = spark.createDataFrame([], "config_id string, case_id long, status string, model_answer string")
+    assert facts.complete_only(outputs, none).count() == 0
+
+
+def test_log_progress_takes_the_furthest_mark(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("MODEL_START 1/2 m0\nANSWER_DONE [m0] 3/9 c3\nANSWER_DONE [m0] 2/9 c2\nJUDGE_DONE [m1] 1/9 c1\nnoise [m0] 8/9\n")
+    stream = progress.log_progress(spark.readStream.text(f"{tmp_path}/in"))
+    stream.writeStream.format("memory").queryName("marks").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert {(r.config_id, r.event, r.done, r.total) for r in spark.table("marks").collect()} == {("m0", "ANSWER_DONE", 3, 9), ("m1", "JUDGE_DONE", 1, 9)}
+
+
+def test_conflict_feed_equals_batch(spark, tmp_path):
+    v = judges.normalised(fixtures.verdicts(spark, SF)).where("case_id < 40")
+    v.write.parquet(f"{tmp_path}/in")
+    progress.conflict_feed(spark.readStream.schema(v.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", judges.conflicts).awaitTermination(120)
+    key = lambda df: {(r.config_id, r.case_id) for r in df.collect()}
+    assert key(spark.read.parquet(f"{tmp_path}/out/consensus")) == key(judges.conflicts(v).where("conflict"))
