@@ -100,11 +100,12 @@ _applied("scores_override", "override", "jo", "jcom", "jc")
 _applied("scores_blend", "blend", "so * (1 - 0.3::DOUBLE) + jo * 0.3::DOUBLE", "coalesce(scom, 0) * (1 - 0.3::DOUBLE) + coalesce(jcom, 0) * 0.3::DOUBLE", "sc OR jc")
 
 
-@query(f"WITH {_BOTH}, f AS (SELECT config_id, CASE WHEN jo IS NULL THEN so ELSE so * 0.25::DOUBLE + jo * 0.75::DOUBLE END AS o, CASE WHEN jo IS NULL THEN sc ELSE sc OR jc END AS c FROM b) SELECT config_id, count(*) AS n, round(avg(o), 6) AS average, count(*) FILTER (WHERE o >= 0.5 AND NOT c) AS passed FROM f GROUP BY 1")
+@query(f"WITH {_BOTH}, f AS (SELECT config_id, CASE WHEN jo IS NULL THEN so ELSE so * 0.25::DOUBLE + jo * 0.75::DOUBLE END AS o, CASE WHEN jo IS NULL THEN sc ELSE sc OR jc END AS c FROM b) SELECT config_id, count(*) AS n, round(avg(o), 9) AS average, count(*) FILTER (WHERE o >= 0.5 AND NOT c) AS passed FROM f GROUP BY 1")
 def reblended_run(spark, d):
     """P29, P30."""
     out = apply.reblended(apply.applied(_both(spark, d), "audit"), "blend", 0.75, 0.5)
-    return rounded(out.groupBy("config_id").agg(F.count("*").alias("n"), F.avg("overall").alias("average"), F.count_if("pass").alias("passed")), "average")
+    # halves of the sixth digit occur among these means, so the ninth is rounded
+    return out.groupBy("config_id").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 9).alias("average"), F.count_if("pass").alias("passed"))
 
 
 #: Answers: the document's text, every 23rd blank or failed, and none where (case + model) % 10 = 0.

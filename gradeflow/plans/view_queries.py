@@ -38,10 +38,10 @@ _mode("review", "release_gate IN ('block', 'review')")
 _mode("different", "case_id IN (SELECT case_id FROM w GROUP BY 1 HAVING count(DISTINCT pass) > 1 OR max(overall) - min(overall) >= 0.15)")
 
 
-@query(f"WITH {_ROWS}, f AS (SELECT *, CASE WHEN error_type = 'normal' THEN 'partial_inaccuracy' ELSE error_type END AS type, round(overall, 6) AS o FROM w WHERE {_BAD}) SELECT type, count(*) AS n, count(DISTINCT config_id) AS models, round(avg(o), 5) AS average, arg_min(case_id, struct_pack(a := o, b := case_id, c := config_id)) AS worst_case FROM f GROUP BY 1")
+@query(f"WITH {_ROWS}, f AS (SELECT *, CASE WHEN error_type = 'normal' THEN 'partial_inaccuracy' ELSE error_type END AS type, round(overall, 6) AS o FROM w WHERE {_BAD}) SELECT type, count(*) AS n, count(DISTINCT config_id) AS models, round(avg(o), 9) AS average, arg_min(case_id, struct_pack(a := o, b := case_id, c := config_id)) AS worst_case FROM f GROUP BY 1")
 def failure_distribution(spark, d):
     """A30, P35."""
-    return views.failure_distribution(rounded(rows(spark, d), "overall")).withColumn("average", F.round("average", 5))
+    return views.failure_distribution(rounded(rows(spark, d), "overall")).withColumn("average", F.round("average", 9))
 
 
 @query(f"WITH {_ROWS}, cells AS (SELECT qa_topic, coalesce(question_type, 'unknown') AS question_type, count(*) AS n, round(avg(overall), 6) AS average FROM w GROUP BY 1, 2), down AS (SELECT qa_topic, row_number() OVER (ORDER BY qa_topic = 'unknown', sum(n) DESC, qa_topic) AS qa_topic_place FROM cells GROUP BY 1), across AS (SELECT question_type, row_number() OVER (ORDER BY question_type = 'unknown', sum(n) DESC, question_type) AS question_type_place FROM cells GROUP BY 1) SELECT * FROM cells JOIN down USING (qa_topic) JOIN across USING (question_type)")
