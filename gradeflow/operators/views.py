@@ -138,3 +138,23 @@ def preview(cases: DataFrame, most: int, by: str = "question_type") -> DataFrame
 def inventory(verdicts: DataFrame) -> DataFrame:
     """Rows and usable rows of each judge."""
     return verdicts.groupBy("judge_id").agg(F.count("*").alias("rows"), F.count_if(F.col("overall").isNotNull()).alias("usable"), F.count_distinct("config_id").alias("models"))
+
+
+def faceted(rows: DataFrame, facets: dict[str, list[str]]) -> DataFrame:
+    """Rows with one of the chosen values in each facet; a facet without a choice leaves out only unknown values."""
+    for name, values in facets.items():
+        held = F.coalesce(name, F.lit("unknown"))
+        rows = rows.where(held.isin(*values) if values else held != "unknown")
+    return rows
+
+
+def done_counts(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """Distinct answers done for each model and their share of the cases."""
+    total = cases.agg(F.count_distinct("case_id").alias("total"))  # one row
+    return rows.groupBy("config_id").agg(F.count_distinct("case_id").alias("done")).crossJoin(total).withColumn("percent", F.try_divide(F.col("done") * 100.0, F.col("total")))
+
+
+def repeated_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each id with how often the id occurs; blank ids have no row."""
+    known = rows.where(F.trim(F.col(key).cast("string")) != "")
+    return known.groupBy(key).agg(F.count("*").alias("times"), F.max(order).alias("kept"))

@@ -142,3 +142,22 @@ def forbidden_claims(spark, d):
 def texts_redacted(spark, d):
     """P43."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", disclosure.redacted(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_CASES} SELECT case_id FROM k WHERE qa_topic IN ('short', 'long') AND question_type IS NOT NULL AND question_type <> 'unknown'")
+def faceted_cases(spark, d):
+    """F4."""
+    return views.faceted(fx.cases(spark, d), {"qa_topic": ["short", "long"], "question_type": []}).select("case_id")
+
+
+@query(f"WITH {_NORMAL}, {_CASES} SELECT config_id, count(DISTINCT case_id) AS done, (SELECT count(DISTINCT case_id) FROM k) AS total, round(count(DISTINCT case_id) * 100.0 / (SELECT count(DISTINCT case_id) FROM k), 9) AS percent FROM p WHERE overall >= 0.5 GROUP BY 1")
+def answers_done(spark, d):
+    """A37."""
+    return views.done_counts(_v(spark, d).where("overall >= 0.5"), fx.cases(spark, d)).withColumn("percent", F.round("percent", 9))
+
+
+@query("SELECT o_custkey AS id, count(*) AS times, max(o_orderkey) AS kept FROM orders GROUP BY 1")
+def repeated_predictions(spark, d):
+    """Orders stand for predictions, customers for scenarios."""
+    out = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id"), "o_orderkey")
+    return views.repeated_ids(out, "id", "o_orderkey")
