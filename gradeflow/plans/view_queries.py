@@ -138,6 +138,13 @@ def forbidden_claims(spark, d):
     return docs.select("doc_id", F.array_join(F.transform(disclosure.forbidden_hits(F.col("text"), claims), lambda x: F.when(x == "tion", " tion ").otherwise(x)), ",").alias("hits"))
 
 
+@query()
+def forbidden_claims_all(spark, d):
+    """T10, over every text, denials and null texts and sources included; no SQL, as DuckDB knows less white space."""
+    claims = F.array(F.lit("the"), F.lit(" tion "), F.lit("카드번호"), F.col("source"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
+
+
 @query()
 def texts_redacted(spark, d):
     """P43."""

@@ -155,3 +155,25 @@ def test_conflict_feed_equals_batch(spark, tmp_path):
     progress.conflict_feed(spark.readStream.schema(v.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", judges.conflicts).awaitTermination(120)
     key = lambda df: {(r.config_id, r.case_id) for r in df.collect()}
     assert key(spark.read.parquet(f"{tmp_path}/out/consensus")) == key(judges.conflicts(v).where("conflict"))
+
+
+def test_excerpts_and_claims_over_every_text(spark, tmp_path):
+    denial = disclosure.DENIALS[0]
+    texts = [None, "", " a\u3000\u00a0b\n\tc ", "é" * 600, "the", "이것은 the " + denial, "the " + "가" * 70 + denial, denial + " t h e", "qua li täts sr\u2003c9", "s t ion"]
+    rows = [(i, t, None if i % 4 == 0 else "" if i % 4 == 1 else "src9") for i, t in enumerate(texts)] + [(None, "the tion", "tion")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    excerpts = {r.doc_id: r.excerpt for r in queries.QUERIES["answer_excerpts_all"](spark, str(tmp_path)).collect()}
+    assert excerpts == {i: None if t is None else " ".join(t.split())[:500] for i, t, _ in rows}
+
+    def hits(text, claims):
+        squeeze, out = lambda x: "".join(x.split()).lower(), []
+        for c in filter(None, (x.strip() for x in claims if x)):
+            at = text.find(c)
+            near = text[max(0, at - 40) : at + len(c) + 60] if at >= 0 else text
+            if (at >= 0 or squeeze(c) in squeeze(text)) and not any(d in near for d in disclosure.DENIALS):
+                out.append(c)
+        return ",".join(dict.fromkeys(out))
+
+    claims = {r.doc_id: r.hits for r in queries.QUERIES["forbidden_claims_all"](spark, str(tmp_path)).collect()}
+    assert claims == {i: hits(t or "", ["the", " tion ", "카드번호", s]) for i, t, s in rows}
+    assert claims[5] == "" and claims[6] == "the" and len(claims) == len(rows)
