@@ -26,10 +26,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {c: int(n) for n, cs in (
+    ("15", "NO"), ("16", "BE"), ("18", "DK FI FK FO GL NL SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU MN XK"), ("21", "CH HR LI LV"),
+    ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ OM SO TL"), ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"),
+    ("27", "BI DJ FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HN HU LB NI PL SV"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU YE"), ("31", "MT SC"), ("32", "LC"), ("33", "RU"),
+) for c in cs.split()}
+
 #: Score of a span before its context is read, and what words near it say.
 START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
 FOR = {
@@ -80,6 +87,28 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str, at: int) -> list[tuple[int, int]]:
+    """Spans that pass mod-97, left to right, from ``at`` on.
+
+    Capitals or numbers may follow a number, so several ends are tried: the length of the
+    country, then the last end; where no length is known, all ends, the last one first.
+    """
+    out = []
+    while m := _IBAN.search(text, at):
+        a, run = m.start(), m[0]
+        following = text[m.end() : m.end() + 1]
+        ends = [k for k in range(len(run), 14, -1) if run[k - 1] != " " and not ((run[k : k + 1] or following).isascii() and (run[k : k + 1] or following).isalnum())]
+        sizes = {k: k - run.count(" ", 0, k) for k in ends}
+        ends = [k for k in ends if 15 <= sizes[k] <= 34]
+        if length := IBAN_LENGTH.get(run[:2]):
+            ends = [k for k in ends if sizes[k] == length] + ends[:1]
+        found = next((k for k in ends if mod97(run[:k].replace(" ", ""))), None)
+        if found:
+            out.append((a, a + found))
+        at = a + (found or 4)
+    return out
+
+
 def proposed(text: str) -> list[tuple[str, int, int]]:
     """Confirmed spans (kind, start, end), kind by kind, before the context is read."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
@@ -92,9 +121,7 @@ def proposed(text: str) -> list[tuple[str, int, int]]:
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
-        for m in _IBAN.finditer(text, max(0, at - 2)):
-            if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c):
-                out.append(("iban", *m.span()))
+        out += [("iban", *span) for span in ibans(text, max(0, at - 2))]
         out += [("ssn", *m.span()) for m in _SSN.finditer(text, at) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     return out
 

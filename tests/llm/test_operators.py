@@ -279,6 +279,20 @@ def test_pii_checks_context_and_masks(spark):
     assert sorted(map(tuple, pii.redact_pii(docs).collect()), key=lambda r: r[0]) == [(1, "mail [EMAIL] or [IP]", "x"), (2, None, "y"), (3, "", "z")]
 
 
+def test_pii_ibans_before_capitals_and_numbers():
+    found = lambda t: [t[a:b] for k, a, b in pii.proposed(t) if k == "iban"]
+    plain, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    unknown = next(f"QX{k:02d}370400440532013000" for k in range(98) if pii.mod97(f"QX{k:02d}370400440532013000"))
+    for iban in (plain, spaced, unknown):
+        for after in ("", " BIC COBADEFFXXX", " 12", " 2024 EUR", " Bank", ".", " A B C D E F G H I J K L M N O P", "\nBIC", " BIC lower"):
+            assert found(f"IBAN {iban}{after}")[0].startswith(iban) and found(iban + after) == [iban], (iban, after)
+        assert found(iban + "X") == found("X" + iban) == found(iban + "x") == []
+    assert found(f"{plain} {spaced} AB12 {plain}") == [plain, spaced, plain]
+    assert found("GB83 WEST 1234 5698 7654 32 BIC") == [] and found("DE89 " * 20000) == []
+    t = f"IBAN {plain} BIC COBADEFFXXX"
+    assert pii.masked(t, pii.scored(t, 0.6)) == "IBAN [IBAN] BIC COBADEFFXXX"
+
+
 def labelled():
     rng = random.Random(5)
     vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(800)]
