@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import Batches, slices, utf8
@@ -53,8 +53,8 @@ def _frequencies(batches: Batches) -> Batches:
 
 def _sampled(batches: Batches) -> Batches:
     for batch in slices(batches, "text"):
-        c = counts(batch.column(1))
-        yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "v": pa.array([r.tobytes() for r in c], pa.binary())})
+        c = counts(batch.column(2))
+        yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "h": batch.column(1), "v": pa.array([r.tobytes() for r in c], pa.binary())})
 
 
 class Centroids:
@@ -104,23 +104,29 @@ def fit_languages(docs: DataFrame, train: Column, *, fit_rows: int = 2_000, per_
     """Fit on the rows where ``train`` holds and text and language are there.
 
     Document frequencies are counted over all of them; the centroids come from about
-    ``fit_rows`` rows, the same number for each language, chosen by a hash of the text.
+    ``fit_rows`` distinct texts, of each language the same number with the least hashes.
     """
     rows = docs.where(train).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     got = rows.select("text").mapInArrow(_frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(DIMS + 1)
     df[got.dim.to_numpy()] = got.df.to_numpy()
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    share = max(1, fit_rows // max(1, len(sizes)))
-    keep = F.lit(False)
-    for lang, size in sizes.items():
-        at_most = min(1.0, share / size)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int(at_most * (1 << 40)))))
-    sample = rows.where(keep).mapInArrow(_sampled, "lang string, v binary").limit(2 * fit_rows + len(sizes)).toPandas()
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    langs = hashed.select("lang").distinct().count()
+    drawn = least_hashes(hashed.select("lang", "h"), max(1, fit_rows // max(1, langs)))
+    texts = hashed.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = texts.mapInArrow(_sampled, "lang string, h long, v binary").toPandas().sort_values(["lang", "h"])
     vectors = np.stack([np.frombuffer(v, np.float32) for v in sample.v]) if len(sample) else np.zeros((0, DIMS), np.float32)
     return Centroids(df[:-1], int(df[-1]), sample.lang.tolist(), vectors, per_lang, reject)
 
 
+def least_hashes(pairs: DataFrame, most: int, parts: int = 64) -> DataFrame:
+    """Of distinct (lang, h) the ``most`` least h of each lang; first in parts, so that no task sorts a whole language."""
+    some = pairs.distinct().withColumn("_part", F.pmod("h", F.lit(parts)))
+    for by in (["lang", "_part"], ["lang"]):
+        some = some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("_n") <= most).drop("_n")
+    return some.select("lang", "h")
+
+
 def _named(batches: Batches, model: Centroids) -> Batches:
     for batch in slices(batches, "text"):
         lang, score, rejected = model.predict(batch.column(1))

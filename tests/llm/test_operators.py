@@ -340,6 +340,22 @@ def test_languages_on_held_out_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_languages_made_mostly_of_copies(spark):
+    rng = random.Random(16)
+    parts = {"xx": "ka ki ko lu mu", "yy": "ßen sch ung ein der", "zz": "ção ment que los est"}
+    text = lambda lang: " ".join("".join(rng.choice(parts[lang].split()) for _ in range(3)) for _ in range(30))
+    for salt in range(3):
+        rows = [(text(lang), lang) for lang in ("xx", "yy") for _ in range(200)] + [(text("zz"), "zz")] * 3000 + [(text("zz"), "zz") for _ in range(10)]
+        docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+        model = langid.fit_languages(docs, F.lit(True), fit_rows=30)
+        again = langid.fit_languages(docs.repartition(3), F.lit(True), fit_rows=30)
+        assert set(model.langs) == {"xx", "yy", "zz"} and model.langs == again.langs and np.array_equal(model.points, again.points)
+        assert {r.lang_pred for r in langid.identify(docs.where("lang = 'zz'"), model).collect()} == {"zz"}
+    pairs = [(lang, rng.randint(-50, 50)) for lang in "abc" for _ in range(80)] + [("d", 7)] * 9
+    got = langid.least_hashes(spark.createDataFrame(pairs, "lang string, h long"), 20, 4).collect()
+    assert sorted(map(tuple, got)) == sorted((lang, h) for lang in "abcd" for h in sorted({h for k, h in pairs if k == lang})[:20])
+
+
 def test_urls_against_every_rule(spark):
     rng = random.Random(7)
     hosts = ["net", "example.net", "m.example.net", "xexample.net", "a.b.c.org", "org", "b.c.org", "", "a..net", "EXAMPLE.net", "net.", "example.net:80", "ü.net"]
