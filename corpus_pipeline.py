@@ -26,14 +26,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays.
+    """Of each group of near duplicates (five words, 0.8) one row stays, that with the smallest id.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows are told apart by id and text, so rows that repeat an id with another text, and rows
+    without an id, are members of their own; an id goes before none, equal rows are one. Texts
+    without words have no near duplicates; of these only copies under the same id go.
     """
-    groups = jaccard_components(docs, words=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text"))
+    groups = jaccard_components(marked.select("_row", "text"), words=5, num=80, den=100, id_col="_row").distinct()
+    ids = groups.join(marked.select("_row", "doc_id").distinct(), "_row")
+    first = ids.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    stays = first.select("_row").unionByName(ids.where("n_shingles = 0 and doc_id is not null").select("_row"))
+    rest = [c for c in docs.columns if c != "text"]
+    kept = marked.join(stays, "_row").groupBy("_row").agg(F.min(F.struct(*rest)).alias("_rest"), F.min("text").alias("text"))
+    wordless = marked.where("doc_id is null").join(ids.where("n_shingles = 0 and doc_id is null").select("_row"), "_row")
+    return kept.select(*["text" if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns]).unionByName(wordless.select(docs.columns))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -419,3 +419,20 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert seen["pii"].where("text like '%@c.de%'").count() == 0 and ids("pii") == ids("ngram_jaccard_join")
     assert ids("mixing") == ids("pii") and ids("packing") == ids("mixing")
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    kind = "doc_id long, text string, source string"
+    rows = [(3, words(1), "s"), (5, words(1), "s"), (5, words(2), "s"), (5, words(3), "s"), (None, words(2) + " more", "s"), (None, words(4), "b"), (None, words(4), "a"), (None, words(4) + " more", "c"), (None, words(5), None), (9, words(6), "y"), (9, words(6), "x"), (None, None, "s"), (None, None, "s"), (None, "", "s"), (7, None, "s"), (7, "", "s"), (7, "", "s")]
+    want = {(3, words(1), "s"), (5, words(2), "s"), (5, words(3), "s"), (None, words(5), None), (9, words(6), "x")}
+    for parts in (1, 4):
+        got = [tuple(r) for r in corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, kind).repartition(parts), "").collect()]
+        assert sorted(map(repr, (r for r in got if not r[1]))) == sorted(map(repr, [(None, None, "s")] * 2 + [(None, "", "s"), (7, None, "s"), (7, "", "s")]))
+        fours = [r for r in got if r[1] and r[1].startswith(words(4))]
+        assert len(fours) == 1 and fours[0][2] in "ac"
+        rest = [r for r in got if r[1] and r not in fours]
+        assert set(rest) == want and len(rest) == len(want)
+    assert corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame([], kind), "").count() == 0
