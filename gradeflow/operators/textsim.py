@@ -17,22 +17,24 @@ def token_overlap(reference: Column, answer: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(r, tokens(answer))), F.size(r)), F.lit(0.0))
 
 
-def gram_cosine(pairs: DataFrame, n: int = 3) -> DataFrame:
-    """(key, cosine) of character n-gram counts of two texts.
+def gram_cosine(pairs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """(key, cosine) of character n-gram counts of two texts, the largest over ``sizes`` of n.
 
-    Grams are hashed and counted for each key before anything is joined; a text shorter than
-    ``n`` is one gram. ``pairs`` has key, reference and answer.
+    Grams are hashed and counted for each key before anything is joined; a text of up to n
+    characters is one gram, and one without any shares none. ``pairs`` has key, reference and answer.
     """
 
     def grams(c: str) -> DataFrame:
-        t = F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", ""))
-        cut = F.when(F.length(t) <= n, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        return pairs.select("key", F.explode(F.when(F.length(t) > 0, cut)).alias("g")).groupBy("key", F.xxhash64("g").alias("g")).agg(F.count("*").alias(c))
+        t = F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+", "")
+        cut = lambda n: F.when(F.length(t) <= n, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.length(t) > 0, cut(n)).alias("gs")) for n in sizes]))
+        rows = pairs.select("key", each.alias("s")).select("key", "s.n", F.explode_outer("s.gs").alias("g"))
+        return rows.groupBy("key", "n", F.when(F.col("g").isNotNull(), F.xxhash64("g")).alias("g")).agg(F.count("*").alias(c))
 
-    both = grams("reference").join(grams("answer"), ["key", "g"], "full")
+    both = grams("reference").join(grams("answer"), ["key", "n", "g"], "full")
     dot = F.sum(F.col("reference") * F.col("answer"))
     norms = F.sqrt(F.sum(F.col("reference") * F.col("reference"))) * F.sqrt(F.sum(F.col("answer") * F.col("answer")))
-    return both.groupBy("key").agg(F.coalesce(F.try_divide(dot.cast("double"), norms), F.lit(0.0)).alias("cosine"))
+    return both.groupBy("key", "n").agg(F.coalesce(F.try_divide(dot.cast("double"), norms), F.lit(0.0)).alias("cosine")).groupBy("key").agg(F.max("cosine").alias("cosine"))
 
 
 def numbers(c: Column) -> Column:

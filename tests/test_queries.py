@@ -177,3 +177,41 @@ def test_excerpts_and_claims_over_every_text(spark, tmp_path):
     claims = {r.doc_id: r.hits for r in queries.QUERIES["forbidden_claims_all"](spark, str(tmp_path)).collect()}
     assert claims == {i: hits(t or "", ["the", " tion ", "카드번호", s]) for i, t, s in rows}
     assert claims[5] == "" and claims[6] == "the" and len(claims) == len(rows)
+
+
+def test_lookups_and_procedures_unless_each_is_denied(spark):
+    import random
+    import re
+
+    lookup, internal = (re.compile(p.replace("(?idU)", "(?i)")) for p in disclosure.CONTEXTUAL.values())
+    rng = random.Random(4)
+    bits = ["조회 결과", "조회결과", "승인 \u2003결과", "사용내역", "내부", "직원", "절차", "승인", "안내", "제공", "입니다", "확인", "임의", "규정", "\n", "\r", " ", "x" * 25, "y" * 45, "😀" * 11, "불가", disclosure.DENIALS[0]]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(2, 14))) for _ in range(600)] + ["사용 내역 확인" + "z" * 70 + "불가", "사용내역 확인 불가", "사용내역 확인 불가" + "z" * 99 + "사용내역 확인", ""]
+
+    def kinds(t):
+        told = any(w in t for w in disclosure.SENSITIVE)
+        near = lambda m: t[max(0, m.start() - 40) : m.end() + 60]
+        return [k for k, p in zip(disclosure.CONTEXTUAL, (lookup, internal)) if told and any(not any(d in near(m) for d in disclosure.DENIALS) for m in p.finditer(t))]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", disclosure.disclosures(F.col("t")).alias("k"), disclosure.forbidden_hits(F.col("t"), F.array(F.lit("no such"), F.lit("1234"), F.lit(None))).alias("h"), disclosure.forbidden_hits(F.col("t"), F.array(F.lit("no such"))).alias("n")).collect()
+    assert {r.i: r.k for r in got} == {i: kinds(t) for i, t in enumerate(texts)}
+    assert all(r.h == r.k and r.n == [] for r in got) and {k for r in got for k in r.k} == set(disclosure.CONTEXTUAL)
+
+
+def test_gram_cosine_is_the_largest_over_sizes(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abA \n\u00a0é") for _ in range(rng.randint(0, 12)))
+    rows = [(i, text(), text()) for i in range(200)] + [(900, None, None), (901, "abc", None), (902, "ab", "ab c")]
+
+    def cosine(a, b, n):
+        a, b = (Counter([t] if len(t) <= n else [t[i : i + n] for i in range(len(t) - n + 1)]) if t else Counter() for t in ("".join((x or "").lower().split()) for x in (a, b)))
+        norms = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+        return sum(v * b[g] for g, v in a.items()) / norms if norms else 0.0
+
+    got = {r.key: r.cosine for r in textsim.gram_cosine(spark.createDataFrame(rows, "key int, reference string, answer string")).collect()}
+    assert set(got) == {i for i, _, _ in rows}
+    assert all(abs(got[i] - max(cosine(a, b, n) for n in (2, 3, 4))) < 1e-9 for i, a, b in rows)
