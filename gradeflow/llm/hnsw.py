@@ -4,9 +4,9 @@ Equal vectors are one class. The classes are dealt to shards; each shard is a hi
 navigable small-world graph, and every class asks every shard for what lies within the
 threshold. A beam whose members all lie within it is doubled until some do not, and the
 shard audits itself: known answers of a sample of its own vectors, found by comparing them
-with the whole shard, must come back, or all beams of the shard are doubled. What the
-beams hold is verified by cosine in double precision; links are counted and the components
-united. Searches run on blocks of queries at once.
+with the whole shard, must come back, vector by vector on average, or all beams of the shard
+are doubled. What the beams hold is verified by cosine in double precision; a link counts for
+both its ends, whichever found it, and the components are united. Searches run on blocks of queries at once.
 """
 
 from __future__ import annotations
@@ -176,16 +176,35 @@ class _Shard:
         self.graph, self.threshold, self.beam = HNSW(ids, vecs), threshold, beam
         self.ties: list[np.ndarray] = []
         g = self.graph
-        sample = np.arange(0, len(ids), max(1, len(ids) // audit))
-        dense = (unit(g.vecs)[sample] @ unit(g.vecs).T) >= threshold + 1e-9
-        known = int(dense.sum())
-        while True:
+        sample, dense = self._linked(audit)
+        known = dense.sum(1)
+        self.recall = 1.0
+        while len(sample):
             a, b = g.within(g.vecs[sample], threshold, self.beam)
-            self.recall = dense[a, b].sum() / max(1, known)
+            # vector by vector, so that a crowd's many links don't outweigh those of the others
+            got = np.bincount(a, dense[a, b], len(sample))
+            self.recall = float((got / known).mean())
             if self.recall >= recall or self.beam >= len(ids):
                 break
             self.beam *= 2
 
+    def _linked(self, audit: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """``audit`` vectors or more that have links, and these but for their own; all of eight samples where few have."""
+        g = self.graph
+        n, units = len(g.ids), unit(g.vecs)
+        step = max(1, n // audit)
+        rows, links = [], []
+        for start in sorted({k * step // rounds for k in range(rounds)}):
+            at = np.arange(start, n, step)
+            dense = (units[at] @ units.T) >= self.threshold + 1e-9
+            dense[np.arange(len(at)), at] = False
+            some = dense.any(1)
+            rows.append(at[some])
+            links.append(dense[some])
+            if sum(map(len, rows)) >= audit:
+                break
+        return np.concatenate(rows), np.concatenate(links)
+
 
 def _links(batches: Batches, threshold: float, beam: int, audit: int, recall: float) -> Batches:
     """(id, linked, peer): the classes that a query links with in a shard, and edges that span their union."""
@@ -220,6 +239,15 @@ def _links(batches: Batches, threshold: float, beam: int, audit: int, recall: fl
     return over_shards(batches, lambda ids, vecs: _Shard(ids, vecs, threshold, beam, audit, recall), ask, end, most=256)
 
 
+def link_counts(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, links) from what each class found (id, hits): a link counts at both ends, once, for each copy at the other end."""
+    pairs = found.select("id", F.explode("hits").alias("hit")).select(F.least("id", "hit").alias("a"), F.greatest("id", "hit").alias("b")).distinct()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("hit")), F.struct(F.col("b").alias("id"), F.col("a").alias("hit")))).alias("e")).select("e.*")
+    # classes of more than one vector count more than once
+    many = classes.where("copies > 1").select(F.col("rep").alias("hit"), "copies")
+    return ends.join(many, "hit", "left").groupBy("id").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("links"))
+
+
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, beam: int = 32, audit: int = 64, recall: float = 0.999, shard_rows: int = 200_000, least_shards: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links and components of vectors with a cosine of ``threshold`` or more.
 
@@ -237,12 +265,9 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, beam: int = 32,
     found = written(rows.mapInArrow(partial(_links, threshold=threshold, beam=beam, audit=audit, recall=recall), "id long, hits array<long>, peer long"), "hnsw-links")
     joined = connected_components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")), "hnsw-components")
 
-    many = classes.where("copies > 1").select(F.col("rep").alias("hit"), "copies")
-    plain = found.groupBy("id").agg(F.sum(F.size("hits")).alias("links"))
-    # classes of more than one vector count more than once
-    extra = found.select("id", F.explode("hits").alias("hit")).join(many, "hit").groupBy("id").agg(F.sum(F.col("copies") - 1).alias("extra"))
-    of_class = classes.select("rep", "copies").join(plain, F.col("rep") == plain.id, "left").drop("id").join(extra, F.col("rep") == extra.id, "left").drop("id").join(joined, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    counted = link_counts(found, classes)
+    of_class = classes.select("rep", "copies").join(counted, F.col("rep") == counted.id, "left").drop("id").join(joined, F.col("rep") == F.col("node"), "left")
+    of_class = of_class.select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     member = good.join(classes.select("vec", "rep"), "vec").select("id", "rep")
     out = ids.join(member, "id", "left").join(of_class, "rep", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

@@ -170,6 +170,34 @@ def test_graph_finds_crowded_neighbourhoods():
     assert true[a, shard.graph.ids[b]].all() and len(a) >= 0.999 * true.sum() and len(set(zip(a, b, strict=True))) == len(a)
 
 
+def test_audit_asks_for_ordinary_vectors_beside_a_crowd(monkeypatch):
+    rng = np.random.default_rng(1)
+    single = rng.normal(size=(300, 16))
+    crowd = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(900, 16))
+    vecs = np.concatenate([crowd, single, single + 0.01 * rng.normal(size=single.shape)])
+    whole = hnsw.HNSW.within
+
+    def losing(self, q, threshold, beam):
+        """Below a beam of 100 the links of all vectors but the crowd's are lost."""
+        a, b = whole(self, q, threshold, beam)
+        size = np.bincount(a, minlength=len(q))
+        own = np.array([(self.vecs[j] == q[i]).all() for i, j in zip(a, b, strict=True)], bool)
+        keep = own | (size[a] > 50) | (beam >= 100)
+        return a[keep], b[keep]
+
+    monkeypatch.setattr(hnsw.HNSW, "within", losing)
+    assert hnsw._Shard(np.arange(1500), vecs, 0.95, 16, 64, 0.999).beam >= 100
+    few = hnsw._Shard(np.arange(602), np.concatenate([rng.normal(size=(600, 16)), single[:1], single[:1] + 0.001]), 0.95, 16, 64, 0.999)
+    assert few.recall == 1.0 or few.beam >= 100
+    assert hnsw._Shard(np.arange(3), rng.normal(size=(3, 16)), 0.95, 16, 64, 0.999).recall == 1.0
+
+
+def test_a_link_found_from_one_end_counts_at_both(spark):
+    found = spark.createDataFrame([(1, [2, 3]), (2, [1]), (3, []), (4, [3]), (4, [3])], "id long, hits array<long>")
+    classes = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (4, 1), (5, 1)], "rep long, copies long")
+    assert {r.id: r.links for r in hnsw.link_counts(found, classes).collect()} == {1: 4, 2: 1, 3: 2, 4: 1}
+
+
 def test_hilbert_neighbours_touch(spark):
     for n, bits in ((2, 3), (3, 2), (4, 2)):
         axes = [F.floor(F.col("id") / (1 << (bits * k))).cast("long") % (1 << bits) for k in range(n)]
