@@ -155,6 +155,13 @@ def judge_summary(spark, d):
     return rounded(snapshot.judge_summary(_v(spark, d)).drop("acc", "com", "nac", "hal_pass"), "average", "lowest", "highest", "pass_rate")
 
 
+@query(f"WITH {_NORMAL} SELECT judge_id, config_id, count(*) AS n, round(avg(overall), 6) AS average, round(min(overall), 6) AS lowest, round(max(overall), 6) AS highest, round(avg(pass::INT), 6) AS pass_rate, round(avg(acc), 9) AS acc, round(avg(com), 9) AS com, round(avg(nac), 9) AS nac, round(avg(hal_pass), 9) AS hal_pass FROM p GROUP BY GROUPING SETS ((judge_id), (judge_id, config_id))")
+def judge_summary_all(spark, d):
+    """A13 with the metric means."""
+    out = rounded(snapshot.judge_summary(_v(spark, d)), "average", "lowest", "highest", "pass_rate")
+    return out.withColumns({m: F.round(m, 9) for m in ("acc", "com", "nac", "hal_pass")})
+
+
 @query(f"WITH {_CONSENSUS} SELECT count(*) AS n, round(avg(overall), 6) AS average, round(min(overall), 6) AS lowest, round(max(overall), 6) AS highest, count(*) FILTER (WHERE pass) AS passed FROM s")
 def run_summary(spark, d):
     """A15."""
@@ -193,6 +200,12 @@ def comparison_extremes(spark, d):
     return rounded(compare.extremes(_pairs(spark, d)).where("list <> 'gap'").select("list", "config_id", "case_id", "delta", "rank"), "delta")
 
 
+@query(f"WITH {_PAIRS}, t AS (SELECT 'up' AS list, config_id, case_id, delta, gap, row_number() OVER (ORDER BY delta DESC, config_id, case_id) AS rank FROM w UNION ALL SELECT 'down', config_id, case_id, delta, gap, row_number() OVER (ORDER BY delta, config_id, case_id) FROM w UNION ALL SELECT 'gap', config_id, case_id, delta, gap, row_number() OVER (ORDER BY gap DESC, config_id, case_id) FROM w) SELECT list, config_id, case_id, round(delta, 6) AS delta, round(gap, 6) AS gap, rank FROM t WHERE rank <= CASE WHEN list = 'gap' THEN 100 ELSE 30 END")
+def comparison_extremes_all(spark, d):
+    """W4, all three lists."""
+    return rounded(compare.extremes(_pairs(spark, d)).select("list", "config_id", "case_id", "delta", "gap", "rank"), "delta", "gap")
+
+
 @query(f"WITH {_CASES}, o AS (SELECT case_id, qa_category AS pool_id, row_number() OVER (PARTITION BY qa_category ORDER BY sha256('7:' || qa_category || ':' || case_id), case_id) AS n FROM k WHERE qa_category IN ('src0', 'src3', 'src5')) SELECT pool_id, case_id FROM o WHERE n <= 8")
 def quota_sample(spark, d):
     """W5, F1."""
