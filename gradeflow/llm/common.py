@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,24 +17,51 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where neither that setting nor a
-    checkpoint folder is there (tests on one machine) a temporary one is set.
+    It is what ``spark.checkpoint.dir`` names, or the checkpoint folder of the session. Only on a
+    local master, where all is one machine, a temporary one is set in their absence; on a
+    cluster that would lose rows, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: short lineage that survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: short lineage that survives lost executors.
+
+    What the write itself shuffled is no longer needed then and goes with the end of the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,15 +73,15 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of one slice hold about ``most`` bytes (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the texts of one slice hold about ``most`` bytes (or one row) and it has ``rows`` rows at most."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         ends = np.cumsum([0 if n is None else n for n in pc.binary_length(col).to_pylist()])
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

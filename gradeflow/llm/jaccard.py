@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import Batches, mix, row_sums, shingle_sets, slices, utf8, written
+from gradeflow.llm.common import Batches, dropped, mix, row_sums, shingle_sets, slices, utf8, written
 from gradeflow.llm.components import connected_components
 
 NODE = 16  # children of a tree node
@@ -131,54 +131,53 @@ def _fingerprints(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return v, row_sums(v, at).view(np.int64), row_sums(v * v ^ (v >> np.uint64(29)), at).view(np.int64)
 
 
-def _dealt(s: np.ndarray, v: np.ndarray, at: np.ndarray, num: int, den: int, law: Law, skip: np.ndarray | None = None) -> pa.Array:
-    """Each set's cells, in its own size class and as a visitor of those below it."""
+def _dealt(s: np.ndarray, v: np.ndarray, at: np.ndarray, num: int, den: int, law: Law, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of sets and whose they are: of each set in its own size class and as a visitor of those below it."""
     n = np.diff(at)
     plan = schemes(2 * int(n.max(initial=0)) + 64, num, den, law)
     ends, met = (np.array([p[i] for p in plan]) for i in (1, 2))
     own = np.searchsorted(ends, n, side="right")
-    if skip is not None:
-        own[skip] = -1
-    parts = []
+    own[skip] = -1
+    values, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     while (own >= 0).any():
-        values, bounds = cells(s, v, at, own, plan, num, den)
-        parts.append((values, np.repeat(np.arange(len(n)), np.diff(bounds))))
+        found, bounds = cells(s, v, at, own, plan, num, den)
+        values.append(found)
+        whose.append(np.repeat(np.arange(len(n)), np.diff(bounds)))
         own = np.where((own > 0) & (n <= met[own - 1]), own - 1, -1)
-    values = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    whose = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    order = np.argsort(whose, kind="stable")
-    bounds = np.searchsorted(whose[order], np.arange(len(n) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order].view(np.int64)))
+    return np.concatenate(values), np.concatenate(whose)
 
 
-def _signed(batches: Batches, text: str, words: int, num: int, den: int) -> Batches:
-    """Rows (doc_id, text) -> the size, two fingerprints and the cells of each set."""
-    seen: set[int] = set()
-    for batch in slices(batches, text):
+def _signed(batches: Batches, words: int) -> Batches:
+    """Rows (doc_id, text, h) -> the size and two fingerprints of each set."""
+    for batch in slices(batches, "text"):
         s, at = shingle_sets(*utf8(batch.column(1)), words)
-        v, one, two = _fingerprints(s, at)
+        _, one, two = _fingerprints(s, at)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "h": batch.column(2), "n": pa.array(np.diff(at).astype(np.int64)), "fp": pa.array(one), "fp2": pa.array(two)})
+
+
+def _keyed(batches: Batches, words: int, num: int, den: int, law: Law) -> Batches:
+    """Rows with a text -> (cell, fp), a row for each cell of each set; a copy met before in the task adds none."""
+    seen: set[int] = set()
+    for batch in slices(batches, "text"):
+        s, at = shingle_sets(*utf8(batch.column(batch.schema.get_field_index("text"))), words)
+        v, one, _ = _fingerprints(s, at)
         if len(seen) > 1_000_000:
             seen.clear()
         known = np.zeros(len(one), bool)
-        for i, f in enumerate(one.tolist()):  # a copy met before in this task has given its cells
+        for i, f in enumerate(one.tolist()):
             known[i] = f in seen
             seen.add(f)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(np.diff(at).astype(np.int64)), "fp": pa.array(one), "fp2": pa.array(two), "cells": _dealt(s, v, at, num, den, COARSE, known)})
+        cell, whose = _dealt(s, v, at, num, den, law, known)
+        yield pa.RecordBatch.from_pydict({"cell": cell.view(np.int64), "fp": one[whose]})
 
 
-def _signed_again(batches: Batches, words: int, num: int, den: int) -> Batches:
-    """Rows (fp, text) -> fp and its cells by the finer law."""
-    for batch in slices(batches, "text"):
-        s, at = shingle_sets(*utf8(batch.column(1)), words)
-        v, one, _ = _fingerprints(s, at)
-        fp = batch.column(0).to_numpy()
-        yield pa.RecordBatch.from_pydict({"fp": pa.array(fp), "cells": _dealt(s, v, at, num, den, FINE, one != fp)})
-
-
-def _joined_by_cells(signed: DataFrame, tag: str) -> DataFrame:
-    """(node, component) of fingerprints (fp, cells) that are joined by shared cells."""
-    keys = signed.select(F.explode("cells").alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell", "fp")
-    return connected_components(written(keys.mapInArrow(_stars, "a long, b long").distinct(), f"{tag}-stars"), tag)
+def _joined_by_cells(texts: DataFrame, words: int, num: int, den: int, law: Law, tag: str) -> DataFrame:
+    """(node, component) of the fingerprints of texts that are joined by shared cells. Cells pass one shuffle and are never stored."""
+    keys = texts.mapInArrow(partial(_keyed, words=words, num=num, den=den, law=law), "cell long, fp long").repartition("cell").sortWithinPartitions("cell", "fp")
+    stars = written(keys.mapInArrow(_stars, "a long, b long").distinct(), f"{tag}-stars")
+    out = connected_components(stars, tag)
+    dropped(stars)
+    return out
 
 
 def _stars(batches: Batches) -> Batches:
@@ -288,27 +287,30 @@ def _families(batches: Batches, text: str, words: int, num: int, den: int) -> Ba
         yield done(fps, sets, sides)
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 1024) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of num/den or more.
 
     Returns (id, n_shingles, component_id), a row for each row of ``docs``. A document's set
     is its distinct shingles of ``words`` lower-cased (A-Z) words, the whole sequence where it
     has fewer, and empty without words or text (null too): such a document is its own
-    component. ``component_id`` is the smallest id reachable. Rows that repeat an id with
-    another text count as texts of their own; a null id has no text to fetch again, so it
-    joins only equal texts. Other columns of ``docs``, whatever their names, play no part.
+    component. ``component_id`` is the smallest id reachable, null where no member has one. Rows
+    that repeat an id with another text, and rows without an id, count as texts of their own.
+    Other columns of ``docs``, whatever their names, play no part.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(partial(_signed, text="text", words=words, num=num, den=den), "doc_id long, n long, fp long, fp2 long, cells array<long>"), "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    families = _joined_by_cells(signed, "jaccard-families")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    signed = written(texts.mapInArrow(partial(_signed, words=words), "doc_id long, h long, n long, fp long, fp2 long"), "jaccard-signed")
+    classes = signed.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.min("h").alias("rep_h"))
+    families = _joined_by_cells(texts, words, num, den, COARSE, "jaccard-families")
 
-    # the texts of what shares a cell, once
+    # the texts of what shares a cell, each once
     sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("members"))
-    found = families.join(sizes, families.component == sizes.family).join(classes, F.col("node") == F.col("fp")).where("rep is not null").select("rep", "fp", "n", "family", "members")
-    live = written(texts.where("doc_id is not null").join(found, texts.doc_id == found.rep).select("fp", "n", "family", "members", "text"), "jaccard-live")
+    found = families.join(sizes, families.component == sizes.family).join(classes, F.col("node") == F.col("fp")).select("rep", "rep_h", "fp", "n", "family", "members")
+    named = texts.where("doc_id is not null").join(found, texts.doc_id == found.rep).select("fp", "n", "family", "members", "text")
+    nameless = texts.where("doc_id is null").join(found.where("rep is null"), texts.h == found.rep_h).select("fp", "n", "family", "members", "text").dropDuplicates(["fp"])
+    live = written(named.unionByName(nameless), "jaccard-live")
+    dropped(families)
     large = F.col("members") > leaf_rows
-    finer = _joined_by_cells(live.where(large).select("fp", "text").mapInArrow(partial(_signed_again, words=words, num=num, den=den), "fp long, cells array<long>"), "jaccard-finer")
+    finer = _joined_by_cells(live.where(large).select("text"), words, num, den, FINE, "jaccard-finer")
     members = live.where(~large).select("fp", "n", "family").unionByName(live.where(large).select("fp", "n").join(finer, F.col("fp") == F.col("node")).select("fp", "n", F.col("component").alias("family"))).distinct()
 
     counts = members.groupBy("family").agg(F.count("*").alias("members"))
@@ -322,9 +324,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     # every pair of blocks meets once; one block alone is a pair with itself
     placed = placed.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")))
     placed = written(placed.select("fp", F.xxhash64("family", "band", "pair.i", "pair.j").alias("block"), F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int")).alias("side")), "jaccard-placed")
+    dropped(finer)
     rows = placed.join(live.select("fp", "text"), "fp").select("block", "fp", "side", "text").repartition("block").sortWithinPartitions("block", "fp")
     links = written(rows.mapInArrow(partial(_families, text="text", words=words, num=num, den=den), "a long, b long"), "jaccard-links")
+    dropped(placed, live)
     joined = connected_components(links, "jaccard-joined")
+    dropped(links)
 
     named = classes.join(joined, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

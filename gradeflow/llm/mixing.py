@@ -5,7 +5,8 @@ exponent is bisected: downward from one until the weights' entropy reaches a tar
 upward from zero until no source is repeated more often than a limit. A token budget is then
 dealt out: each source's documents are cut into blocks by a hash, each pass over the source
 takes its blocks in an order of its own, and passes are taken whole until the source's part of
-the budget runs out inside a pass, inside a block.
+the budget runs out inside a pass, inside a block. Ids, hashes and token counts are written once;
+all windows run on these slim rows.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeflow.llm.common import written
+
 ROUNDS = 60
 
 
 def token_count(text: Column) -> Column:
-    """White-space words; none for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    """Words between ASCII white space; none for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
 
 
 def source_weights(sizes: DataFrame, *, target_entropy: float | None = None, most_repeats: float | None = None, budget: int | str = "corpus") -> DataFrame:
@@ -85,32 +88,76 @@ def source_weights(sizes: DataFrame, *, target_entropy: float | None = None, mos
     return out.select("source", "tokens", "docs", "alpha", "weight", "budget", F.coalesce(F.try_divide(F.col("budget").cast("double"), F.col("tokens")), F.lit(0.0)).alias("repeats"))
 
 
-def mixed(docs: DataFrame, *, target_entropy: float | None = None, most_repeats: float | None = None, budget: int | str = "corpus", block_docs: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_tokens``, ``_weight``, ``_repeats`` (of the source) and ``_copies``: how often the mixture takes the row.
+def row_hash(id_: Column, text: Column, salt: int) -> Column:
+    """60 bits of the sha256 of salt, id and md5 of the text; any SQL engine can compute them."""
+    said = F.concat_ws(":", F.lit(str(salt)), F.coalesce(id_.cast("string"), F.lit("")), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("long")
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """What tells rows apart here: source as text (null is a source too), id, and a hash of id and text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return {"mix_source": F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("null")), "mix_id": F.col(f"`{id_col}`"), "mix_hash": row_hash(F.col(f"`{id_col}`"), text, 5)}
+
+
+def _units(slim: DataFrame, weights: DataFrame, block_docs: int) -> DataFrame:
+    """Distinct rows with their block, its turn in the last pass, the tokens before them in that pass, and their copies."""
+    plan = weights.select(F.col("source").alias("mix_source"), "weight", "repeats", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).cast("int").alias("blocks"), F.when(F.col("tokens") > 0, F.floor(F.col("repeats"))).otherwise(1).cast("long").alias("passes"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest"))
+    units = slim.groupBy("mix_source", "mix_id", "mix_hash").agg(F.count("*").alias("rows"), F.sum("tokens").alias("held"))
+    # a row for each source
+    units = units.join(F.broadcast(plan), "mix_source").withColumn("block", F.pmod("mix_hash", "blocks").cast("int"))
+
+    # the last pass takes the blocks in an order of its own
+    order = F.sha2(F.concat_ws(":", "mix_source", F.col("block").cast("string"), F.col("passes").cast("string")), 256)
+    turns = Window.partitionBy("mix_source").orderBy(order, "block")
+    blocks = units.groupBy("mix_source", "block", "passes").agg(F.sum("held").alias("sum"))
+    blocks = blocks.select("mix_source", "block", F.row_number().over(turns).alias("turn"), (F.sum("sum").over(turns.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum")).alias("before"))
+    units = units.join(blocks, ["mix_source", "block"])
+    inside = Window.partitionBy("mix_source", "block").orderBy("mix_hash", "mix_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("before") + F.sum("held").over(inside) - F.col("held")
+    units = units.withColumn("start", start)
+    once_more = (F.col("held") > 0) & (F.col("start") + F.col("held") <= F.col("rest"))
+    named = [F.col(c).alias(f"unit_{c}") for c in ("mix_source", "mix_id", "mix_hash")]  # apart from the rows' own in a join
+    return units.select(*named, "weight", "repeats", "passes", "block", "turn", "start", (F.col("passes") + F.when(once_more, 1).otherwise(0)).alias("copies"))
+
+
+def mixed(docs: DataFrame, *, target_entropy: float | None = None, most_repeats: float | None = None, budget: int | str = "corpus", block_docs: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often the mixture takes each row of ``docs``, and where it stands in it.
+
+    Returns a row for each row: (id, source, tokens, weight, repeats, passes, block, turn, start,
+    copies). Each row is taken in each whole pass over its source, and once more if the last, cut
+    pass reaches it: that pass takes the source's blocks in ``turn``, an order of its own, and the
+    documents of a block by hash; ``start`` counts the tokens before the row in it, and what ends
+    within the budget's rest is taken, so a source takes its budget to within one document. Equal
+    rows (source, id and text) stand together and are taken alike. Rows without tokens (null or
+    empty texts) cost nothing and go with the whole passes; in a source without tokens every row
+    is taken once. Null is a source like any other. No row is dropped: those not taken have 0
+    copies. Other columns of ``docs``, whatever their names, play no part. Texts are read once and never moved.
+    """
+    slim = written(docs.select(*[c.alias(n) for n, c in _keys(docs, id_col, text_col, source_col).items()], F.col(f"`{source_col}`").alias("mix_named"), token_count(F.col(f"`{text_col}`").cast("string")).alias("tokens")), "mixing")
+    units = _units(slim, _weights(slim, target_entropy, most_repeats, budget), block_docs)
+    # row by row again; null ids are equal to each other
+    key = [F.col(c).eqNullSafe(F.col(f"unit_{c}")) for c in ("mix_source", "mix_id", "mix_hash")]
+    return slim.join(units, key).select(F.col("mix_id").alias(id_col), F.col("mix_named").alias(source_col), "tokens", "weight", "repeats", "passes", "block", "turn", "start", "copies")
+
+
+def drawn(docs: DataFrame, *, least: int = 0, target_entropy: float | None = None, most_repeats: float | None = None, budget: int | str = "corpus", block_docs: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixture itself: ``docs`` with each row as often as ``mixed`` takes it, ``least`` times at least.
 
-    Each row is taken once in each whole pass over its source, and once more if it lies in
-    the part of the last pass that the budget still covers: whole blocks in that pass's order
-    while they fit, then documents of the next block while they fit, so that a source takes its
-    budget to within one document. Rows without tokens (null or empty texts) cost nothing and go
-    with the whole passes; in a source without tokens every row is taken once. Null is a source
-    like any other. No row is dropped: those not taken have 0 copies.
+    Columns stay as they are, whatever their names. Each text is moved once.
     """
-    rows = docs.withColumns({"_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")), "_tokens": token_count(F.col(text_col)), "_hash": F.xxhash64(F.col(id_col), F.lit(5))})
-    slim = rows.select(F.col("_source").alias("source"), "_tokens")
-    sizes = slim.groupBy("source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs"))
-    weights = source_weights(sizes, target_entropy=target_entropy, most_repeats=most_repeats, budget=budget)
-    plan = weights.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("repeats").alias("_repeats"), F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).cast("int").alias("_blocks"), F.when(F.col("tokens") > 0, F.floor(F.col("repeats"))).otherwise(1).cast("long").alias("_passes"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("_rest"))
-    block = F.pmod(F.col("_hash"), F.col("_blocks")).cast("int")
-
-    # last pass: blocks in its order, tokens before each
-    blocks = rows.select("_source", "_tokens", "_hash").join(F.broadcast(plan), "_source").groupBy("_source", block.alias("_block"), "_rest").agg(F.sum("_tokens").alias("_held"))
-    turn = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "_block", F.lit(9)), "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("_before", F.sum("_held").over(turn) - F.col("_held"))
-    blocks = blocks.select("_source", "_block", (F.col("_rest") - F.col("_before")).alias("_left"))
-
-    dealt = rows.join(F.broadcast(plan.select("_source", "_weight", "_repeats", "_blocks", "_passes")), "_source").withColumn("_block", block).drop("_blocks")
-    dealt = dealt.join(blocks, ["_source", "_block"])
-    inside = Window.partitionBy("_source", "_block").orderBy(F.xxhash64("_hash"), F.col(id_col), "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = F.sum("_tokens").over(inside)
-    once_more = (F.col("_tokens") > 0) & (taken <= F.col("_left"))
-    return dealt.withColumn("_copies", F.col("_passes") + F.when(once_more, 1).otherwise(0)).drop("_source", "_block", "_hash", "_left", "_passes")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    cols = {k: f"c{names.index(v)}" for k, v in (("id_col", id_col), ("text_col", text_col), ("source_col", source_col))}
+    keys = _keys(plain, **cols)
+    slim = written(plain.select(*[c.alias(n) for n, c in keys.items()], token_count(F.col(cols["text_col"]).cast("string")).alias("tokens")), "mixing")
+    units = _units(slim, _weights(slim, target_entropy, most_repeats, budget), block_docs)
+    taken = units.select(*[f"unit_{c}" for c in keys], F.greatest(F.lit(least), F.col("copies")).cast("int").alias("copies")).where("copies > 0")
+    rows = plain.withColumns(keys)
+    both = rows.join(taken, [F.col(c).eqNullSafe(F.col(f"unit_{c}")) for c in keys])
+    return both.withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*plain.columns).toDF(*names)
+
+
+def _weights(slim: DataFrame, target_entropy: float | None, most_repeats: float | None, budget: int | str) -> DataFrame:
+    sizes = slim.groupBy(F.col("mix_source").alias("source")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+    return source_weights(sizes, target_entropy=target_entropy, most_repeats=most_repeats, budget=budget)

@@ -140,11 +140,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 10_000, h
     rows. None without positives.
     """
     may = (id_crc("doc_id") % held_out != 0) if held_out else F.lit(True)
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     trusted = labels.where("quality = 1 and doc_id is not null").where(may).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     others = docs.where("doc_id is not null").where(may).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(fit_rows)
     # 16 bytes for each of so many rows: bounded by the parameter
     chosen = trusted.withColumn("positive", F.lit(1)).unionByName(others.withColumn("positive", F.lit(0)))
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("positive", "text")
+    # an id that repeats adds one text: of its rows that of least hash
+    first = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(first.alias("text")).select("positive", "text")
     got = rows.mapInArrow(_described, "positive int, x array<double>").toPandas()
     x = np.stack(got.x.to_numpy()) if len(got) else np.zeros((0, FEATURES))
     positive, unlabelled = x[got.positive.to_numpy() == 1], x[got.positive.to_numpy() == 0]
@@ -156,16 +159,26 @@ def _scores(batches: Batches, model: PUModel | None, text: str) -> Batches:
         i = batch.schema.get_field_index(text)
         score = model.score(features(batch.column(i))) if model else np.ones(batch.num_rows)
         columns = {n: batch.column(j) for j, n in enumerate(batch.schema.names)}
-        yield pa.RecordBatch.from_pydict(columns | {"_score": pa.array(score)})
+        yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(score)})
+
+
+def _judged(docs: DataFrame, model: PUModel | None, text_col: str) -> DataFrame:
+    """``docs`` with columns named by their places, c0 and so on, and ``score``."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = ", ".join([*(f"{n} {k}" for n, k in plain.dtypes), "score double"])
+    return plain.mapInArrow(partial(_scores, model=model, text=f"c{names.index(text_col)}"), schema)
 
 
 def with_quality(docs: DataFrame, model: PUModel | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, higher for good text. Null and empty texts get the score of an empty text.
 
-    Without a model (no trusted positives) nothing is held against a text: 1.
+    Without a model (no trusted positives) nothing is held against a text: 1. Columns may have
+    any names; a caller's column named ``score_col`` stays beside the new one.
     """
-    names = docs.columns
-    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    text = f"_{names.index(text_col)}"
-    schema = ", ".join([*(f"`{n}` {k}" for n, k in plain.dtypes), "_score double"])
-    return plain.mapInArrow(partial(_scores, model=model, text=text), schema).toDF(*names, score_col)
+    return _judged(docs, model, text_col).toDF(*docs.columns, score_col)
+
+
+def good_documents(docs: DataFrame, model: PUModel | None, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, columns as they were, whatever their names."""
+    return _judged(docs, model, text_col).where(F.col("score") >= least).drop("score").toDF(*docs.columns)

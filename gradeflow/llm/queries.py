@@ -80,12 +80,15 @@ def op9_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules, otherwise="allow")
 
 
+#: What the mixing query aims at: nearly equal weights, of the largest entropy this part; no source more than four times.
+ENTROPY, REPEATS = 0.9999, 4.0
+
+
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gradeflow.llm.mixing import mixed
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mixed(docs, target_entropy=0.97, most_repeats=4.0, budget="corpus")
-    return out.select("doc_id", "source", F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_repeats").alias("repeats"), F.col("_copies").alias("copies"))
+    out = mixed(table(spark, sf_dir, "documents"), target_entropy=ENTROPY, most_repeats=REPEATS, budget="corpus")
+    return out.withColumns({c: F.round(c, 9) for c in ("weight", "repeats")})
 
 
 def queries() -> dict:
@@ -114,6 +117,28 @@ r(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), (
 m AS (SELECT p.page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS verdict
   FROM p JOIN r ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, q) GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op10_temperature_mixing": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'null') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens,
+  ('0x' || substr(sha256(concat_ws(':', '5', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''))), 1, 15))::BIGINT AS h FROM documents),
+size AS (SELECT src, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY 1),
+share AS (SELECT tokens / (SELECT sum(tokens) FROM size)::DOUBLE AS s FROM size WHERE tokens > 0),
+cool(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+    (SELECT ln(sum(pow(s, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(s, (lo + hi) / 2) * ln(s)) / sum(pow(s, (lo + hi) / 2)) >= {ENTROPY} * ln(count(*)) FROM share) AS ok FROM cool WHERE i < 60)),
+warm(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+    (SELECT pow(min(s), (lo + hi) / 2 - 1) / sum(pow(s, (lo + hi) / 2)) <= {REPEATS} FROM share) AS ok FROM warm WHERE i < 60)),
+alpha AS (SELECT greatest(CASE WHEN (SELECT -sum(s * ln(s)) >= {ENTROPY} * ln(count(*)) FROM share) THEN 1 ELSE (SELECT lo FROM cool WHERE i = 60) END,
+  CASE WHEN (SELECT 1 / min(s) / count(*) <= {REPEATS} FROM share) THEN 0 ELSE (SELECT hi FROM warm WHERE i = 60) END) AS a),
+w AS (SELECT src, docs, tokens, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM size)::DOUBLE, a) / (SELECT sum(pow(s, a)) FROM share) ELSE 0 END AS weight FROM size, alpha),
+b AS (SELECT *, round(weight * (SELECT sum(tokens) FROM size))::BIGINT AS budget FROM w),
+plan AS (SELECT *, coalesce(budget::DOUBLE / nullif(tokens, 0), 0) AS repeats, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest, greatest(1, -(-docs // 256)) AS blocks FROM b),
+u AS (SELECT d.src, doc_id, h, (h % blocks)::INT AS block, sum(d.tokens)::BIGINT AS held FROM d JOIN plan USING (src) GROUP BY ALL),
+t AS (SELECT src, block, row_number() OVER o AS turn, sum(held) OVER (o ROWS UNBOUNDED PRECEDING) - held AS before
+  FROM (SELECT src, block, sum(held)::BIGINT AS held FROM u GROUP BY 1, 2) JOIN plan USING (src) WINDOW o AS (PARTITION BY src ORDER BY sha256(concat_ws(':', src, block, passes)), block)),
+x AS (SELECT src, doc_id, h, block, turn, held, (before + sum(held) OVER (PARTITION BY src, block ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - held)::BIGINT AS start FROM u JOIN t USING (src, block))
+SELECT d.doc_id, d.source, d.tokens, round(weight, 9) AS weight, round(repeats, 9) AS repeats, passes, block, turn, start, passes + (held > 0 AND start + held <= rest)::INT AS copies
+FROM d JOIN x ON d.src = x.src AND d.h = x.h AND d.doc_id IS NOT DISTINCT FROM x.doc_id JOIN plan ON plan.src = d.src""",
 }
 
 

@@ -74,9 +74,11 @@ def test_jaccard_against_all_pairs(spark, words, num, den, leaf):
 def test_jaccard_empty_table_null_ids_and_repeated_rows(spark):
     kind = "doc_id long, text string"
     assert jaccard.jaccard_components(spark.createDataFrame([], kind)).count() == 0
-    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None), (9, None)]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None), (9, None), (None, long), (None, long), (7, long + " end"), (None, "z " + long)]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, kind)).collect()
-    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 2, 3), (3, 2, 3), (3, 2, 3), (9, 0, 9)]
+    # a row without an id links like any other
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 2, 3), (-1, 56, 7), (-1, 56, 7), (-1, 57, 7), (3, 2, 3), (3, 2, 3), (7, 57, 7), (9, 0, 9)]
 
 
 @pytest.mark.parametrize("law", [jaccard.COARSE, jaccard.FINE])
@@ -95,8 +97,8 @@ def test_every_linked_pair_shares_a_cell(law):
                     break
                 t = u
             v = jaccard._fingerprints(np.concatenate([s, t]), at := np.array([0, len(s), len(s) + len(t)]))[0]
-            a, b = jaccard._dealt(np.concatenate([s, t]), v, at, 85, 100, law).to_pylist()
-            assert set(a) & set(b) or np.array_equal(s, t)
+            cell, whose = jaccard._dealt(np.concatenate([s, t]), v, at, 85, 100, law, np.zeros(2, bool))
+            assert set(cell[whose == 0]) & set(cell[whose == 1]) or np.array_equal(s, t)
 
 
 def test_shingle_sets_count_whole_texts():
@@ -402,26 +404,85 @@ def test_urls_against_every_rule(spark):
     assert urlfilter.judge_urls(pages.limit(0), none).count() == 0
 
 
-def test_mixing_weights_and_budgets(spark):
+def mixing_rows():
     rng = random.Random(2)
-    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "hot" if i % 3 else rng.choice(["a", "b", "c", None])) for i in range(3000)] + [(5000, None, "a"), (5001, "", "b"), (5002, None, "empty"), (5003, "w w", "tiny")]
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "hot" if i % 3 else rng.choice(["a", "b", "c", None])) for i in range(3000)]
+    return rows + [(5000, None, "a"), (5001, "", "b"), (5002, None, "empty"), (5003, "w w", "tiny"), (None, "n n n", "a"), (None, "n n n", "a"), (7, rows[7][1], rows[7][2]), (8, "x" * 300_000, "a")]
+
+
+def brute_mixture(rows, entropy, budget, block_docs):
+    """Copies of each row by hand, from whole passes and the order of blocks in the last one."""
+    sizes, docs = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+        docs[s] += 1
+    total = sum(sizes.values())
+    part = {s: n / total for s, n in sizes.items() if n}
+
+    def spread(a):
+        w = np.array([p**a for p in part.values()])
+        return float(-(w / w.sum() * np.log(w / w.sum())).sum() / np.log(len(w)))
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        lo, hi = ((lo + hi) / 2, hi) if spread((lo + hi) / 2) >= entropy else (lo, (lo + hi) / 2)
+    z = sum(p**lo for p in part.values())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out = {}
+    for s in sizes:
+        name = "null" if s is None else "s" + s
+        units = defaultdict(int)
+        for i, t, o in rows:
+            if o == s:
+                h = int(sha(f"5:{'' if i is None else i}:{'' if t is None else hashlib.md5(t.encode()).hexdigest()}")[:15], 16)
+                units[h, i] += len((t or "").split())
+        amount = round(part.get(s, 0) ** lo / z * budget * total) if s in part else 0
+        passes, rest = divmod(amount, sizes[s]) if sizes[s] else (1, 0)
+        blocks = max(1, -(-docs[s] // block_docs))
+        at = 0
+        for block in sorted(range(blocks), key=lambda b: sha(f"{name}:{b}:{passes}")):
+            for h, i in sorted(k for k in units if k[0] % blocks == block):
+                n = units[h, i]
+                out[s, h, i] = (passes + (n > 0 and at + n <= rest), at)
+                at += n
+    return out, lo
+
+
+def test_mixing_against_brute_force(spark):
+    rows = mixing_rows()
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, tokens int, `a.b` int, weight int")
+    want, alpha = brute_mixture(rows, 0.97, 1, 64)
+    assert 0 < alpha < 1
+    sha = lambda i, t: int(hashlib.sha256(f"5:{'' if i is None else i}:{'' if t is None else hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+    where = {(s, i, sha(i, t)): want[s, sha(i, t), i] for i, t, s in rows}
+    for parts in (1, 7):
+        got = mixing.mixed(docs.repartition(parts), target_entropy=0.97, block_docs=64).collect()
+        assert sorted(((r.doc_id or -1, r.source or "", r.copies, r.start) for r in got)) == sorted((i or -1, s or "", *where[s, i, sha(i, t)]) for i, t, s in rows)
+    assert len({r.copies for r in got}) > 1
+    out = mixing.drawn(docs, target_entropy=0.97, block_docs=64)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+
+
+def test_mixing_weights_and_budgets(spark):
+    rows = mixing_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
     total = sum(sizes.values())
     got = mixing.mixed(docs, target_entropy=0.9, most_repeats=None, block_docs=64).collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
-    weight = {r.source: r._weight for r in got}
+    assert sorted(r.doc_id or -1 for r in got) == sorted(i or -1 for i, _, _ in rows)
+    weight = {r.source: r.weight for r in got}
     w = np.array([weight[s] for s in sizes if sizes[s]])
     assert abs(w.sum() - 1) < 1e-9 and abs(-(w * np.log(w)).sum() / np.log(len(w)) - 0.9) < 1e-6
     for s in sizes:
-        drawn = sum(r._copies * r._tokens for r in got if r.source == s)
+        drawn = sum(r.copies * r.tokens for r in got if r.source == s)
         assert weight[s] * total - 41 <= drawn <= weight[s] * total + 1 or not sizes[s]
-    assert {r._copies for r in got if r.source == "empty"} == {1}
+    assert {r.copies for r in got if r.source == "empty"} == {1}
     capped = mixing.mixed(docs, most_repeats=3.0, budget="cover").collect()
-    assert max(r._repeats for r in capped) <= 3.01 and min(r._copies for r in capped) >= 1 and max(r._copies for r in capped) <= 3
+    assert max(r.repeats for r in capped) <= 3.01 and min(r.copies for r in capped) >= 1 and max(r.copies for r in capped) <= 3
     assert mixing.mixed(docs.limit(0), most_repeats=2.0).count() == 0
+    assert mixing.drawn(docs.limit(0), most_repeats=2.0).count() == 0
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
