@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from gradeflow.llm.common import table, written
 from gradeflow.llm.jaccard import jaccard_components
-from gradeflow.llm.mixing import mixed
+from gradeflow.llm.mixing import drawn
 from gradeflow.llm.packing import packed_sequences
 from gradeflow.llm.pii import redact_pii
-from gradeflow.llm.quality import fit_quality, with_quality
+from gradeflow.llm.quality import fit_quality, good_documents
 
 #: Documents scored below are rejected.
 QUALITY = 0.3
@@ -21,8 +21,7 @@ REPEATS = 2.0
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model takes for junk go; all others stay as they are."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out=5)
-    return with_quality(docs, model, score_col="_score").where(F.col("_score") >= QUALITY).drop("_score")
+    return good_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels"), held_out=5), QUALITY)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +29,21 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows are told apart by id and text, so rows that repeat an id with another text, and rows
     without an id, are members of their own; an id goes before none, equal rows are one. Texts
-    without words have no near duplicates; of these only copies under the same id go.
+    without words have no near duplicates; of these only copies under the same id go. Columns
+    are known by their places here, so they may have any names.
     """
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text"))
-    groups = jaccard_components(marked.select("_row", "text"), words=5, num=80, den=100, id_col="_row").distinct()
-    ids = groups.join(marked.select("_row", "doc_id").distinct(), "_row")
-    first = ids.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    stays = first.select("_row").unionByName(ids.where("n_shingles = 0 and doc_id is not null").select("_row"))
-    rest = [c for c in docs.columns if c != "text"]
-    kept = marked.join(stays, "_row").groupBy("_row").agg(F.min(F.struct(*rest)).alias("_rest"), F.min("text").alias("text"))
-    wordless = marked.where("doc_id is null").join(ids.where("n_shingles = 0 and doc_id is null").select("_row"), "_row")
-    return kept.select(*["text" if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns]).unionByName(wordless.select(docs.columns))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    marked = plain.withColumn("row", F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), doc_id, text))
+    groups = jaccard_components(marked.select("row", text), words=5, num=80, den=100, id_col="row", text_col=text).distinct()
+    ids = groups.join(marked.select("row", F.col(doc_id).alias("id")).distinct(), "row")
+    first = ids.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    stays = written(first.select("row").unionByName(ids.where("n_shingles = 0 and id is not null").select("row")), "pipeline-stays")
+    rest = [c for c in plain.columns if c != text]
+    kept = marked.join(stays, "row").groupBy("row").agg(F.min(F.struct(*rest)).alias("rest"), F.min(text).alias("text"))
+    wordless = marked.where(F.col(doc_id).isNull()).join(ids.where("n_shingles = 0 and id is null").select("row"), "row")
+    return kept.select(*["text" if c == text else F.col("rest")[c] for c in plain.columns]).union(wordless.select(plain.columns)).toDF(*names)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +53,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are drawn towards equal weights as far as ``REPEATS`` allows; a row for each copy."""
-    taken = mixed(docs, most_repeats=REPEATS, budget="cover")
-    return taken.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.greatest(F.lit(1), F.col("_copies")).cast("int")))).select(docs.columns)
+    """Sources are drawn towards equal weights as far as ``REPEATS`` allows; a row for each copy, one at least."""
+    return drawn(docs, least=1, most_repeats=REPEATS, budget="cover")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
