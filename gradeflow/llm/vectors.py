@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import Batches
@@ -27,46 +27,29 @@ def shard_count(rows: int, shard_rows: int, least: int) -> int:
     return max(least, -(-rows // shard_rows))
 
 
-def to_shards(held: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """Rows (shard, dim, asks, id, vec): each held vector in one shard, each asked one in all, sorted for streaming."""
-    own = held.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "vec")
-    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "vec")
-    rows = own.unionByName(every).select("shard", F.size("vec").alias("dim"), "asks", "id", "vec")
-    return rows.repartition(4 * shards, "shard", "dim").sortWithinPartitions("shard", "dim", "asks", "id")
-
-
-def over_shards(batches: Batches, build: Callable[[np.ndarray, np.ndarray], object], ask: Callable[[object, np.ndarray, np.ndarray], pa.RecordBatch | None], end: Callable[[object], pa.RecordBatch | None] = lambda index: None, most: int = 512) -> Batches:
-    """Run over rows of ``to_shards``: gather a shard's vectors, build its index, then answer its queries in blocks."""
-
-    def runs() -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            ids, lists = batch.column(3).to_numpy(), batch.column(4)
-            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield tuple(keys[a].tolist()), ids[a:b], lists.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
-
-    shard, index, gathered = None, None, []
-    for (number, dim, asks), ids, vecs in runs():
-        if (number, dim) != shard:
-            if index is not None and (out := end(index)) is not None:
-                yield out
-            shard, index, gathered = (number, dim), None, []
-        if not asks:
-            gathered.append((ids, vecs))
-            continue
-        if gathered:
-            index = build(np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered]))
-            gathered = []
-        if index is None:  # no vector of this length in this shard
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+
+
+def by_task(df: DataFrame, tasks: int, *order: str) -> DataFrame:
+    """``df`` with each value of ``task`` (0 .. tasks-1) in a partition of its own, sorted by ``order`` in it."""
+    return df.repartitionById(tasks, F.col("task")).sortWithinPartitions(*order)
+
+
+def runs(batches: Batches, keys: int) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Cut sorted batches at each change of their first ``keys`` (integer) columns."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        for a in range(0, len(ids), most):
-            if (out := ask(index, ids[a : a + most], vecs[a : a + most])) is not None:
-                yield out
-    if index is not None and (out := end(index)) is not None:
-        yield out
+        key = np.stack([batch.column(k).to_numpy() for k in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield tuple(key[a].tolist()), batch.slice(a, b - a)
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length, a row for each."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def unit(vecs: np.ndarray) -> np.ndarray:

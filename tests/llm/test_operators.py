@@ -151,53 +151,104 @@ def test_nearest_exact_relaxed_and_odd_vectors(spark):
     assert vptree.nearest(df.limit(0), asked).count() == 0
 
 
+def test_nearest_ranks_parallel_vectors_by_the_final_measure(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=24)
+    rows = [(i, (v * c).tolist()) for i, c in enumerate(rng.uniform(0.01, 100, 60))] + [(60 + i, rng.normal(size=24).tolist()) for i in range(40)] + [(100 + i, (v * 2).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    from gradeflow.llm.vectors import cosines
+
+    x = np.array([r[1] for r in rows])
+    got = defaultdict(list)
+    for r in vptree.nearest(df, df, k=5, shard_rows=50, block_queries=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(len(rows)):
+        score = cosines(np.repeat(x[q : q + 1], len(x), 0), x)
+        want = [(j, score[j]) for j in sorted((j for j in range(len(x)) if j != q), key=lambda j: (-score[j], j))[:5]]
+        assert got[q] == want, q
+
+
 def test_near_vectors_against_all_pairs(spark):
     rows = vectors(600)
     df = spark.createDataFrame([*rows, rows[5]], "vec_id long, embedding array<float>")
     links = [p for p, c in brute_cosines(rows).items() if c >= 0.95]
     root = components(700, links)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_vectors(df, shard_rows=150).collect()}
     want = {i: (sum(a == i for a, _ in links), root[i], root[i] == i) for i, _ in rows if i is not None}
-    assert got == want
+    for how in ({"shard_rows": 150}, {"shard_rows": 90, "widest": 1, "beam": 1}, {"least_shards": 1}):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_vectors(df, **how).collect()}
+        assert got == want, how
     assert hnsw.near_vectors(df.limit(0)).count() == 0
 
 
-def test_graph_finds_crowded_neighbourhoods():
+def test_near_vectors_audits_each_search_on_planted_groups(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(120, 32))
+    vecs = np.concatenate([rng.normal(size=(1500, 32)), np.repeat(centres, 6, 0) + 0.08 * rng.normal(size=(720, 32)), rng.normal(size=(1, 32)) + 0.05 * rng.normal(size=(700, 32))])
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    out, audits = hnsw.audited_near_vectors(df, widest=128)
+    audits = audits.collect()
+    assert {(r.graph_shard, r.asking_shard) for r in audits} == {(i, j) for i in range(4) for j in range(4)}
+    assert all(r.sampled > 20 and r.recall >= 0.999 for r in audits)
+    unit = vecs.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in out.collect()}
+    found = np.array([got[i] for i in range(len(vecs))])
+    assert (found <= true).all() and found.sum() >= 0.999 * true.sum() and (found[2220:] == true[2220:]).all()
+
+
+def graph(vecs, ids=None, copies=None):
+    return hnsw.HNSW(np.arange(len(vecs)) if ids is None else ids, vecs, copies)
+
+
+def test_graph_finds_crowded_neighbourhoods_and_comes_back_from_bytes():
     rng = np.random.default_rng(0)
     vecs = np.concatenate([rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(300, 16)), rng.normal(size=(700, 16))])
-    shard = hnsw._Shard(np.arange(1000), vecs, 0.95, 16, 64, 0.999)
-    a, b = shard.graph.within(vecs, 0.95, shard.beam)
+    g = hnsw.HNSW.unpacked(graph(vecs).packed())
+    a, b, crowded = g.within(vecs, 0.95, 64)
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     true = (unit @ unit.T) >= 0.95
-    assert true[a, shard.graph.ids[b]].all() and len(a) >= 0.999 * true.sum() and len(set(zip(a, b, strict=True))) == len(a)
+    assert not len(crowded) and true[a, g.ids[b]].all() and len(a) >= 0.999 * true.sum() and len(set(zip(a, b, strict=True))) == len(a)
+    assert set(g.within(vecs, 0.95, 16, 128)[2]) == set(range(300))
 
 
 def test_audit_asks_for_ordinary_vectors_beside_a_crowd(monkeypatch):
     rng = np.random.default_rng(1)
     single = rng.normal(size=(300, 16))
     crowd = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(900, 16))
-    vecs = np.concatenate([crowd, single, single + 0.01 * rng.normal(size=single.shape)])
+    g = graph(np.concatenate([crowd, single, single + 0.01 * rng.normal(size=single.shape)]))
     whole = hnsw.HNSW.within
 
-    def losing(self, q, threshold, beam):
+    def losing(self, q, threshold, beam, widest=None):
         """Below a beam of 100 the links of all vectors but the crowd's are lost."""
-        a, b = whole(self, q, threshold, beam)
+        a, b, crowded = whole(self, q, threshold, beam, widest)
         size = np.bincount(a, minlength=len(q))
         own = np.array([(self.vecs[j] == q[i]).all() for i, j in zip(a, b, strict=True)], bool)
         keep = own | (size[a] > 50) | (beam >= 100)
-        return a[keep], b[keep]
+        return a[keep], b[keep], crowded
 
     monkeypatch.setattr(hnsw.HNSW, "within", losing)
-    assert hnsw._Shard(np.arange(1500), vecs, 0.95, 16, 64, 0.999).beam >= 100
-    few = hnsw._Shard(np.arange(602), np.concatenate([rng.normal(size=(600, 16)), single[:1], single[:1] + 0.001]), 0.95, 16, 64, 0.999)
-    assert few.recall == 1.0 or few.beam >= 100
-    assert hnsw._Shard(np.arange(3), rng.normal(size=(3, 16)), 0.95, 16, 64, 0.999).recall == 1.0
+    assert hnsw._Direction(g, g, 0.95, 16, 4096, 64, 0.999).beam >= 100
+    # where no beam is wide enough, all are compared with all
+    narrow = hnsw._Direction(g, g, 0.95, 16, 64, 64, 0.999)
+    assert narrow.recall < 0.999 and len(narrow.crowded) == 1500
+    lone = graph(rng.normal(size=(3, 16)))
+    assert hnsw._Direction(lone, lone, 0.95, 16, 512, 64, 0.999).recall is None
+
+
+def test_a_link_found_from_one_end_counts_at_both(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 8))
+    left, right = graph(base), graph(base + 0.001, np.arange(40) + 100, np.full(40, 3))
+    whole = hnsw.HNSW.within
 
+    def one_way(self, q, *how):
+        a, b, crowded = whole(self, q, *how)
+        return (a, b, crowded) if self is right else (a[:0], b[:0], crowded)
 
-def test_a_link_found_from_one_end_counts_at_both(spark):
-    found = spark.createDataFrame([(1, [2, 3]), (2, [1]), (3, []), (4, [3]), (4, [3])], "id long, hits array<long>")
-    classes = spark.createDataFrame([(1, 1), (2, 3), (3, 1), (4, 1), (5, 1)], "rep long, copies long")
-    assert {r.id: r.links for r in hnsw.link_counts(found, classes).collect()} == {1: 4, 2: 1, 3: 2, 4: 1}
+    monkeypatch.setattr(hnsw.HNSW, "within", one_way)
+    counts, label, _ = hnsw.links_between(left, right, 0.99999, audit=0)
+    assert (counts[:40] == 3).all() and (counts[40:] == 1).all() and len(set(label)) == 40
 
 
 def test_hilbert_neighbours_touch(spark):
