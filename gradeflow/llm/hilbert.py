@@ -11,21 +11,40 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeflow.llm.common import written
+from gradeflow.llm.common import dropped, written
 
 
 def as_number(df: DataFrame, name: str) -> Column:
-    """A long that keeps a column's order: numbers as they are, text by its first six bytes. Null comes first."""
-    kind = dict(df.dtypes)[name]
-    col = F.col(f"`{name}`")
-    if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+    """A long that keeps the order of a column of numbers or times. Null comes first."""
+    kind, col = dict(df.dtypes)[name], F.col(f"`{name}`")
     if kind in ("timestamp", "date", "timestamp_ntz"):
-        col = F.unix_micros(col.cast("timestamp"))
-    return F.coalesce(F.expr(f"try_cast({'floor(`' + name + '`)' if kind in ('double', 'float') or kind.startswith('decimal') else '`' + name + '`'} as long)") if kind not in ("timestamp", "date", "timestamp_ntz") else col, F.lit(-(2**62)).cast("long"))
+        value = F.unix_micros(col.cast("timestamp"))
+    else:
+        value = (F.floor(col) if kind in ("double", "float") or kind.startswith("decimal") else col).try_cast("long")
+    return F.coalesce(value, F.lit(-(2**62)).cast("long"))
+
+
+def text_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """The least value of each cell but the lowest, where values in order are dealt to ``cells`` cells of equal row counts.
+
+    Values are counted first; their places are prefix sums over the partitions of a range
+    sort. At most ``cells`` values come to the driver.
+    """
+    counts = df.select(F.col(f"`{name}`").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    ordered = written(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()), "hilbert-values")
+    part = F.shiftrightunsigned("at", 33).cast("int")
+    own = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ordered.groupBy(part.alias("part")).agg(F.sum("n").alias("rows"))
+    # a row for each partition of the sort, whatever the size of the input
+    every = sums.agg(F.array_sort(F.collect_list(F.struct("part", "rows"))).alias("parts"), F.sum("rows").alias("total"))
+    before = F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + F.when(p["part"] < F.col("part"), p["rows"]).otherwise(0))
+    placed = ordered.withColumn("part", part).join(F.broadcast(every)).withColumn("cell", F.floor((before + F.sum("n").over(own) - F.col("n")) * cells / F.col("total")))
+    cuts = [r.v for r in placed.groupBy("cell").agg(F.min("v").alias("v")).orderBy("cell").collect()]
+    dropped(ordered)
+    return cuts[1:]
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -61,16 +80,21 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """Columns _q0, _q1, ...: the cell of each dimension, cut at quantiles over all rows."""
-    numbers = df.select(*[as_number(df, d).alias(f"_v{i}") for i, d in enumerate(dims)])
-    share = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = numbers.agg(*[F.percentile_approx(f"_v{i}", share, 1000).alias(f"_v{i}") for i in range(len(dims))]).first()
+    """Columns _q0, _q1, ...: the cell of each dimension, cut at quantiles over all rows.
+
+    Texts are cut at whole values, in binary order, so values that begin alike fall into cells of their own.
+    """
+    kinds, cells = dict(df.dtypes), 1 << bits
+    texts = {i: text_cuts(df, d, cells) for i, d in enumerate(dims) if kinds[d] == "string"}
+    numbers = [i for i in range(len(dims)) if i not in texts]
+    share = [k / cells for k in range(1, cells)]
+    cuts = df.agg(*[F.percentile_approx(as_number(df, dims[i]), share, 1000).alias(f"_v{i}") for i in numbers]).first() if numbers else []
+    edges = texts | {i: sorted(set(c or [])) for i, c in zip(numbers, cuts, strict=True)}
     out = df
     for i, d in enumerate(dims):
-        edges = sorted(set(cuts[i] or []))
-        # a value falls above every cut that is not larger; at most 2^bits - 1 cuts
-        value = as_number(df, d)
-        below = [F.when(F.lit(e).cast("long") <= value, 1).otherwise(0) for e in edges]
+        value = F.col(f"`{d}`") if i in texts else as_number(df, d)
+        # a value falls above every cut that is not larger; null below all; at most 2^bits - 1 cuts
+        below = [F.when(F.lit(e) <= value, 1).otherwise(0) for e in edges[i]]
         out = out.withColumn(f"_q{i}", reduce(add, below, F.lit(0)).cast("long"))
     return out
 
@@ -86,8 +110,11 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, dims: tuple[str, ...] =
     Texts themselves are not moved: ids and numbers are sorted, and joined back by whoever
     writes files (``write_shards``).
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slim = quantised(docs.select(F.col(id_col).cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.col(d) for d in dims]), list(dims), bits)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = [F.col(f"`{d}`").alias(f"dim{i}") for i, d in enumerate(dims)]
+    # texts are read once; all else runs on these slim rows
+    slim = written(docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *own), "hilbert-slim")
+    slim = quantised(slim, [f"dim{i}" for i in range(len(dims))], bits)
     slim = slim.select("_id", "size", "text_crc32", hilbert_index([F.col(f"_q{i}") for i in range(len(dims))], bits).alias("curve"))
     order = ["curve", "text_crc32", "size", "_id"]
     ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -105,11 +132,21 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, dims: tuple[str, ...] =
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "curve", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 1_000_000) -> None:
     """Write the documents as Parquet, a folder for each shard, rows in curve order.
 
-    For ids that are unique: the assignment is joined back by id.
+    The assignment is joined back by id (null too), size and crc of the text; where rows
+    agree in all three, each takes one of their places, so every row is written once. Columns may
+    have any names but ``shard``, which names the folders.
     """
-    joined = docs.join(shards.select(id_col, F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), id_col)
-    runs = joined.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").withColumnRenamed("_shard", "shard").drop("_slot")
-    runs.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    keyed = plain.withColumns({"own_id": doc_id.cast("long"), "own_size": (F.octet_length(text) + 1).cast("long"), "own_crc": F.crc32(text.cast("binary"))})
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("own_id", "own_size", "own_crc").orderBy(F.lit(0))))
+    held = shards.select(F.col(id_col).cast("long").alias("i"), "size", F.col("text_crc32").alias("crc"), "shard", "slot")
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy("i", "size", "crc").orderBy("shard", "slot")))
+    joined = keyed.join(held, F.col("own_id").eqNullSafe(F.col("i")) & (F.col("own_size") == F.col("size")) & (F.col("own_crc") == F.col("crc")) & (F.col("nth") == F.col("place")))
+    runs = joined.select(*plain.columns, "shard", "slot").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot")
+    runs.toDF(*names, "shard").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)

@@ -43,7 +43,7 @@ class Tokenised:
     keep their capitals.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -122,7 +122,7 @@ class Tokenised:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         words = pa.concat_arrays([g[0] for g in got]).dictionary_encode()
         rows = np.concatenate([[0], *[g[1][1:] + sum(len(h[0]) for h in got[:i]) for i, g in enumerate(got)]])
-        if len(self.known) > self.most:
+        if len(self.known) + len(words.dictionary) > self.most:
             self.clear()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
@@ -176,7 +176,7 @@ class Levels:
 def _packed(batches: Batches, tokenizer: str, window: int, end_id: int | None) -> Batches:
     tokens, levels = Tokenised(tokenizer), Levels(window)
     block = TaskContext.get().partitionId() << 40
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         ids, ends = tokens.encode(batch.column(1))
         counts = np.diff(ends)
         if end_id is not None:
@@ -202,7 +202,8 @@ def packed_sequences(docs: DataFrame, *, tokenizer: str, window: int = 2048, end
     of one sequence follow each other from offset 0 without gaps. ``tokenizer`` is the path
     of a tokenizer file that every executor has. ``end_id`` closes each document (None: no
     closing id; then a document without ids has no piece). Null texts are empty; rows that
-    repeat an id are documents of their own. An empty table has no rows.
+    repeat an id, or have none, are documents of their own. An empty table has no rows. There
+    is a block for each ``block_docs`` documents, ``most_blocks`` at most; beyond that blocks grow.
     """
     blocks = max(1, min(most_blocks, -(-docs.count() // block_docs)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -1,14 +1,17 @@
 """Personal data in texts (operator 5).
 
 Regular expressions propose spans, checksums (Luhn, mod-97) and number rules confirm them,
-and words near a span raise or lower its score. All patterns run in time linear in the
+and words near a span raise or lower its score. A run of letters and digits is a secret (a key,
+a token) only where words near it say so. All patterns run in time linear in the
 text: none may start inside a run it has already rejected.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import partial
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from gradeflow.llm.common import Batches, slices
 
 #: Kinds in the order in which spans are listed; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,6 +31,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Characters of an IBAN by country.
@@ -38,7 +42,7 @@ IBAN_LENGTH = {c: int(n) for n, cs in (
 ) for c in cs.split()}
 
 #: Score of a span before its context is read, and what words near it say.
-START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+START = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.4}
 FOR = {
     "email": {"email", "mail", "contact", "write", "address"},
     "ip": {"ip", "address", "host", "server", "login", "from"},
@@ -46,6 +50,7 @@ FOR = {
     "phone": {"phone", "call", "tel", "telephone", "mobile", "fax", "contact"},
     "iban": {"iban", "bank", "account", "transfer", "konto", "cuenta", "compte"},
     "ssn": {"ssn", "social", "security", "taxpayer"},
+    "secret": {"token", "secret", "key", "apikey", "api", "password", "passwd", "bearer", "credential", "credentials", "auth"},
 }
 AGAINST = {
     "email": {"example", "sample"},
@@ -54,6 +59,7 @@ AGAINST = {
     "phone": {"order", "serial", "part"},
     "iban": {"serial", "model", "part"},
     "ssn": {"part", "order", "serial", "model"},
+    "secret": {"checksum", "commit", "digest", "sha", "md"},
 }
 REACH = 40  # code points read on each side
 
@@ -72,6 +78,14 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def random_looking(run: str) -> bool:
+    """Letters and digits in so many kinds, of 512 characters at most, that a run is no word, number or line of marks."""
+    if len(run) > 512 or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+        return False
+    counts = Counter(run)
+    return -sum(n / len(run) * log2(n / len(run)) for n in counts.values()) >= 3.0
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost, non-overlapping; found at each @ so that long runs without one cost nothing."""
     out, end = [], 0
@@ -123,6 +137,7 @@ def proposed(text: str) -> list[tuple[str, int, int]]:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
         out += [("iban", *span) for span in ibans(text, max(0, at - 2))]
         out += [("ssn", *m.span()) for m in _SSN.finditer(text, at) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
+        out += [("secret", *m.span()) for m in _SECRET.finditer(text) if random_looking(m[0])]
     return out
 
 
@@ -168,7 +183,8 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", id_cols: tuple[str, ...
     """``id_cols`` and spans array<struct<kind, start, end, score, text>> for each row.
 
     Start and end are code points, end exclusive; spans come kind by kind (``KINDS``), then by
-    start. Kinds beyond the base need a score of ``keep``. Null and empty texts have none.
+    start. Kinds beyond the base need a score of ``keep``. Null and empty texts have none. Rows
+    that repeat an id are rows of their own, and other columns play no part. Each whole text is read once.
     """
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(id_cols)], F.col(text_col).cast("string").alias("_text"))
     kinds = dict(rows.dtypes)

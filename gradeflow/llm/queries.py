@@ -47,7 +47,8 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), scores)
 
 
 def op6_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out=5)
     out = with_quality(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(id_crc("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_jaccard_count_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def op8_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit_languages(docs, id_crc("doc_id") % 3 != 1))
-    return out.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(id_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, otherwise: str = "allow",
     and path, null where none fits, and the verdict is then ``otherwise``. A null url or one
     without ``://`` has an empty host and path. Rules with a null part or an empty host fit nothing.
     Repeated pages have a row each. The ranges are cut at a sample of about ``sample_rows`` keys (it
-    decides only how even they are); all pages and rules are judged.
+    decides only how even they are, as do the 256 characters of a key that are looked at); all pages and rules are judged.
     """
     spark = pages.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,7 +129,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, otherwise: str = "allow",
     rows = page.count()
     share = min(1.0, sample_rows / max(1, rows))
     # about sample_rows keys, the same on every run
-    sampled = sorted(r[0] for r in page.where(F.pmod(F.xxhash64("sort_key"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("sort_key").limit(2 * sample_rows).collect())
+    sampled = sorted(r[0] for r in page.where(F.pmod(F.xxhash64("sort_key"), F.lit(1 << 30)) <= int(share * (1 << 30))).select(F.substring("sort_key", 1, 256)).limit(2 * sample_rows).collect())
     cuts = sorted({sampled[len(sampled) * k // ranges] for k in range(1, ranges)}) if sampled else []
     schema = ", ".join(f"{n} {k}" for n, k in page.dtypes) + ", part int"
     events = page.mapInArrow(partial(_deal, cuts=cuts, rules=False), schema).unionByName(rule.mapInArrow(partial(_deal, cuts=cuts, rules=True), schema))

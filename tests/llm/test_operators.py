@@ -278,6 +278,26 @@ def test_hilbert_shards_are_even_runs(spark):
     assert {r.shard for r in hilbert.hilbert_shards(docs.limit(3)).collect()} <= set(range(8))
 
 
+def test_hilbert_cuts_texts_at_whole_values(spark):
+    rows = [(i, f"common_crawl_{2000 + i % 8}" if i % 9 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, `a.b` string").repartition(5)
+    assert hilbert.text_cuts(df, "a.b", 8) == [f"common_crawl_{y}" for y in range(2001, 2008)]
+    assert len({r._q0 for r in hilbert.quantised(df, ["a.b"], 3).collect()}) == 8
+    hot = spark.createDataFrame([(["hot", "hot", f"s{i:04}"][i % 3],) for i in range(999)], "v string")
+    cuts = hilbert.text_cuts(hot, "v", 8)
+    assert len(cuts) == 3 and cuts == sorted(cuts) and cuts[0] == "s0002"
+    assert hilbert.text_cuts(hot.limit(0), "v", 8) == []
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "b", "x"), (7, "c", "y"), (7, "d", "z"), (7, "d", "z"), (8, None, None), (9, "", "é"), (10, "long " * 100_000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'de' as lang", "1 as n_chars", "5 as _slot")
+    hilbert.write_shards(docs, hilbert.hilbert_shards(docs, shards=3), f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(map(repr, (tuple(r) for r in back.select("doc_id", "text", "source").collect()))) == sorted(map(repr, rows))
+    assert "_slot" in back.columns and back.select("shard").distinct().count() == 3
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -374,6 +394,14 @@ def test_pii_ibans_before_capitals_and_numbers():
     assert pii.masked(t, pii.scored(t, 0.6)) == "IBAN [IBAN] BIC COBADEFFXXX"
 
 
+def test_pii_secrets_need_words_near_them(spark):
+    hexed = "04db9f8e7c6a5b4d3e2f1a0b9c8d7e6f5a4b3c2d"
+    texts = [f'so token = "{hexed}" here', f"TOKEN: {hexed.upper()}", f"checksum of it {hexed} here", f"plain {hexed} run", "secret " + "x" * 50, "key " + "1" * 40, "token " + "a1" * 20, "token " + hexed * 20]
+    found = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[(s.kind, s.text) for s in found[i]] for i in range(len(texts))] == [[("secret", hexed)], [("secret", hexed.upper())], [], [], [], [], [], []]
+    assert pii.masked(texts[0], pii.scored(texts[0], 0.6)) == 'so token = "[SECRET]" here'
+
+
 def labelled():
     rng = random.Random(5)
     vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(800)]
