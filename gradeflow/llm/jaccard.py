@@ -11,14 +11,16 @@ into more groups than the largest symmetric difference that the threshold leaves
 then two linked sets agree on a group that neither has empty. The agreement on a group
 (with a fingerprint of its members, finer than the count alone) is a cell; sets too small
 for that share a cell for one of their first tokens in the order of hashes. Documents
-that share cells are joined into families. Passages that many documents share may join
-families that have nothing more in common, so a family of more than ``leaf_rows`` is dealt again
-by a finer law with fuller groups, and what is still large is cut into bands of sizes and
-those into blocks. Each family, or pair of blocks, is one tree. No link is lost and no candidate capped.
+that share cells are joined into families; a large family is cut into bands of sizes and
+those into blocks. Each family, or pair of blocks, is one tree over the points alone, which
+decides by its bounds which documents may have a link there. Passages that many documents
+share join families whose members have little more in common; these end at the tree. Only the
+texts of the rest are fetched, to verify the pairs. No link is lost and no candidate capped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 from math import factorial
 from typing import NamedTuple
@@ -32,6 +34,7 @@ from gradeflow.llm.common import Batches, dropped, mix, row_sums, shingle_sets,
 from gradeflow.llm.components import connected_components
 
 NODE = 16  # children of a tree node
+LEAF = 512  # points of a leaf
 
 
 def least_overlap(total: np.ndarray | int, num: int, den: int):
@@ -43,18 +46,17 @@ ONE_BY_ONE = -1
 
 
 class Law(NamedTuple):
-    """How sets are dealt to cells. Both laws keep every link; the finer one has more cells, each for more tokens."""
+    """How sets are dealt to cells; every law keeps every link."""
 
     wide: int  # percent by which a size class grows, from 128 tokens on; smaller ones grow by 10
     few: int  # a group of fewer tokens makes no cell, if the sizes allow it
 
 
-COARSE = Law(50, 2)
-FINE = Law(10, 3)
+LAW = Law(50, 2)
 TINY = 12  # size classes that begin below are too small to be cut into groups
 
 
-def schemes(largest: int, num: int, den: int, law: Law = COARSE) -> list[tuple[int, int, int, int, int, int]]:
+def schemes(largest: int, num: int, den: int, law: Law = LAW) -> list[tuple[int, int, int, int, int, int]]:
     """(first size, end of the own sizes, largest size met, groups, room, few) of each size class.
 
     A size class holds sets of the sizes first .. end-1, and as visitors the larger sets
@@ -147,15 +149,36 @@ def _dealt(s: np.ndarray, v: np.ndarray, at: np.ndarray, num: int, den: int, law
     return np.concatenate(values), np.concatenate(whose)
 
 
+def points(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The group counts of each set as 16-bit numbers: 128 groups, 512 from 1024 tokens on.
+
+    Groups are the low bits of the tokens' hashes, so a longer point folds into a shorter one.
+    """
+    n = np.diff(at)
+    wide = n >= 1024
+    out = []
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        size = 512 if wide[k] else 128
+        out.append(np.minimum(np.bincount((s[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size), 65535).astype("<u2").tobytes())
+    return out
+
+
+def folded(raw: list[bytes]) -> np.ndarray:
+    """Points of one length, a row for each: longer ones have their groups added up."""
+    size = min(map(len, raw), default=2) // 2
+    # counts are added in 32 bits: a point may only ever promise too much
+    return np.stack([np.frombuffer(r, "<u2").astype(np.int32).reshape(-1, size).sum(0) for r in raw])
+
+
 def _signed(batches: Batches, words: int) -> Batches:
-    """Rows (doc_id, text, h) -> the size and two fingerprints of each set."""
+    """Rows (doc_id, text, h) -> the size, two fingerprints and the point of each set."""
     for batch in slices(batches, "text"):
         s, at = shingle_sets(*utf8(batch.column(1)), words)
         _, one, two = _fingerprints(s, at)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "h": batch.column(2), "n": pa.array(np.diff(at).astype(np.int64)), "fp": pa.array(one), "fp2": pa.array(two)})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "h": batch.column(2), "n": pa.array(np.diff(at).astype(np.int64)), "fp": pa.array(one), "fp2": pa.array(two), "point": pa.array(points(s, at), pa.binary())})
 
 
-def _keyed(batches: Batches, words: int, num: int, den: int, law: Law) -> Batches:
+def _keyed(batches: Batches, words: int, num: int, den: int) -> Batches:
     """Rows with a text -> (cell, fp), a row for each cell of each set; a copy met before in the task adds none."""
     seen: set[int] = set()
     for batch in slices(batches, "text"):
@@ -167,13 +190,13 @@ def _keyed(batches: Batches, words: int, num: int, den: int, law: Law) -> Batche
         for i, f in enumerate(one.tolist()):
             known[i] = f in seen
             seen.add(f)
-        cell, whose = _dealt(s, v, at, num, den, law, known)
+        cell, whose = _dealt(s, v, at, num, den, LAW, known)
         yield pa.RecordBatch.from_pydict({"cell": cell.view(np.int64), "fp": one[whose]})
 
 
-def _joined_by_cells(texts: DataFrame, words: int, num: int, den: int, law: Law, tag: str) -> DataFrame:
+def _joined_by_cells(texts: DataFrame, words: int, num: int, den: int, tag: str) -> DataFrame:
     """(node, component) of the fingerprints of texts that are joined by shared cells. Cells pass one shuffle and are never stored."""
-    keys = texts.mapInArrow(partial(_keyed, words=words, num=num, den=den, law=law), "cell long, fp long").repartition("cell").sortWithinPartitions("cell", "fp")
+    keys = texts.mapInArrow(partial(_keyed, words=words, num=num, den=den), "cell long, fp long").repartition("cell").sortWithinPartitions("cell", "fp")
     stars = written(keys.mapInArrow(_stars, "a long, b long").distinct(), f"{tag}-stars")
     out = connected_components(stars, tag)
     dropped(stars)
@@ -199,33 +222,63 @@ def _stars(batches: Batches) -> Batches:
 
 
 class CountTree:
-    """An R-tree over group counts, packed by size and counts, built level by level."""
+    """An R-tree over group counts, packed by size and counts, built level by level.
+
+    Leaves hold their points column by column, so that a sum over groups runs along memory.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         order = np.lexsort([points[:, np.argmax(points.var(0))], sizes]) if len(points) else np.zeros(0, int)
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        hi, lo_n, hi_n = self.points, self.sizes, self.sizes
+        kind = np.uint16 if sizes.max(initial=0) < 65536 else np.int64  # sums of minima never exceed a size
+        self.order, self.sizes = order, sizes[order]
+        cut = np.arange(0, len(order), LEAF)
+        sorted_points = points[order].astype(kind)
+        self.leaves = [np.ascontiguousarray(sorted_points[a : a + LEAF].T) for a in cut.tolist()]
+        hi, lo_n, hi_n = sorted_points, self.sizes, self.sizes
         self.levels = []
-        while True:
-            cut = np.arange(0, len(hi), NODE)
+        while len(cut):
             hi, lo_n, hi_n = np.maximum.reduceat(hi, cut, axis=0), np.minimum.reduceat(lo_n, cut), np.maximum.reduceat(hi_n, cut)
             self.levels.append((hi, lo_n, hi_n))
-            if len(cut) <= 1:
+            if len(cut) == 1:
                 break
+            cut = np.arange(0, len(hi), NODE)
 
     def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
         """Rows whose bound leaves room for a link with a set of ``size`` tokens at ``point``."""
+        if not self.levels:
+            return self.order
+        point = np.minimum(point, 65535).astype(self.leaves[0].dtype) if self.leaves[0].dtype == np.uint16 else point
         at = np.arange(len(self.levels[-1][0]))
-        for level in range(len(self.levels) - 1, -2, -1):
-            hi, lo_n, hi_n = self.levels[level] if level >= 0 else (self.points, self.sizes, self.sizes)
+        for level in range(len(self.levels) - 1, -1, -1):
+            hi, lo_n, hi_n = self.levels[level]
             at = at[(lo_n[at] * num <= size * den) & (hi_n[at] * den >= size * num)]
-            bound = np.minimum(np.minimum(hi[at], point).sum(1, dtype=np.int64), size)
-            at = at[bound >= least_overlap(size + np.maximum(lo_n[at], -(-size * num // den)), num, den)]
-            if level >= 0:
-                below = len(self.levels[level - 1][0]) if level else len(self.points)
+            bound = np.minimum(hi[at], point).sum(1, dtype=np.int64)
+            at = at[np.minimum(bound, size) >= least_overlap(size + np.maximum(lo_n[at], -(-size * num // den)), num, den)]
+            if level:
                 at = (at[:, None] * NODE + np.arange(NODE)).ravel()
-                at = at[at < below]
-        return self.order[at]
+                at = at[at < len(self.levels[level - 1][0])]
+        column, found = point[:, None], []
+        for k in at.tolist():
+            held = self.sizes[k * LEAF : (k + 1) * LEAF]
+            bound = np.add.reduce(np.minimum(self.leaves[k], column), axis=0, dtype=column.dtype)
+            found.append(np.flatnonzero((bound >= least_overlap(size + held, num, den)) & (held * num <= size * den) & (held * den >= size * num)) + k * LEAF)
+        return self.order[np.concatenate(found)] if found else self.order[:0]
+
+
+def candidates(tree: CountTree, held: np.ndarray, asked: np.ndarray, pts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asking row with the held rows whose bounds leave room for a link; a row is none of its own."""
+    for i in asked.tolist():
+        found = held[tree.search(pts[i], int(sizes[i]), num, den)]
+        found = found[found != i]
+        if len(found):
+            yield i, found
+
+
+def _sides(side: np.ndarray, pts: np.ndarray, sizes: np.ndarray) -> tuple[CountTree, np.ndarray, np.ndarray]:
+    """The tree over one side of a block pair (or over all of one block), its rows, and the rows that ask."""
+    two = side.any() and not side.all()
+    held = np.flatnonzero(side == 1) if two else np.arange(len(side))
+    return CountTree(pts[held], sizes[held]), held, np.flatnonzero(side == 0) if two else held
 
 
 def link_forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +288,7 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
     """
     sizes = np.array([len(s) for s in sets])
     groups = int(np.clip(1 << int(np.median(sizes)).bit_length(), 16, 1024))
-    points = np.stack([np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535) for s in sets]).astype(np.uint16)
+    pts = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
     root, out = list(range(len(sets))), []
 
     def find(i: int) -> int:
@@ -243,14 +296,9 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
             root[i] = i = root[root[i]]
         return i
 
-    two = side.any() and not side.all()
-    held = np.flatnonzero(side == 1) if two else np.arange(len(sets))
-    tree = CountTree(points[held], sizes[held])
-    for i in np.flatnonzero(side == 0) if two else held:
-        for j in held[tree.search(points[i], int(sizes[i]), num, den)]:
-            if not two and j <= i:
-                continue
-            a, b = find(int(i)), find(int(j))
+    for i, found in candidates(*_sides(side, pts, sizes), pts, sizes, num, den):
+        for j in found.tolist():
+            a, b = find(i), find(j)
             if a == b:
                 continue
             same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -261,7 +309,39 @@ def link_forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
     return pairs[:, 0], pairs[:, 1]
 
 
-def _families(batches: Batches, text: str, words: int, num: int, den: int) -> Batches:
+def _blocks(batches: Batches) -> Iterator[pa.Table]:
+    """The rows of each block in turn, from rows sorted by block (the first column)."""
+    parts, block = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if key[a] != block:
+                if parts:
+                    yield pa.Table.from_batches(parts)
+                parts, block = [], key[a]
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _surviving(batches: Batches, num: int, den: int) -> Batches:
+    """Rows (block, fp, side, n, point) sorted by block -> (block, fp, side) of those that the tree's bounds leave a partner."""
+    for rows in _blocks(batches):
+        if rows.num_rows < 2:
+            continue
+        pts, sizes, side = folded(rows.column(4).to_pylist()), rows.column(3).to_numpy(), rows.column(2).to_numpy()
+        keep = np.zeros(rows.num_rows, bool)
+        for i, found in candidates(*_sides(side, pts, sizes), pts, sizes, num, den):
+            keep[i] = True
+            keep[found] = True
+        if keep.any():
+            yield from rows.select([0, 1, 2]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _families(batches: Batches, words: int, num: int, den: int) -> Batches:
     """Rows (block, fp, side, text) sorted by block -> edges between linked sets."""
 
     def done(fps: list, sets: list, sides: list) -> pa.RecordBatch:
@@ -270,7 +350,7 @@ def _families(batches: Batches, text: str, words: int, num: int, den: int) -> Ba
         return pa.RecordBatch.from_pydict({"a": fp[a], "b": fp[b]})
 
     block, fps, sets, sides = None, [], [], []
-    for batch in slices(batches, text):
+    for batch in slices(batches, "text"):
         tokens, at = shingle_sets(*utf8(batch.column(3)), words)
         _, got, _ = _fingerprints(tokens, at)
         own = np.split(tokens, at[1:-1])
@@ -287,7 +367,7 @@ def _families(batches: Batches, text: str, words: int, num: int, den: int) -> Ba
         yield done(fps, sets, sides)
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 4096, leaf_tokens: int = 1 << 21) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of num/den or more.
 
     Returns (id, n_shingles, component_id), a row for each row of ``docs``. A document's set
@@ -295,39 +375,37 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     has fewer, and empty without words or text (null too): such a document is its own
     component. ``component_id`` is the smallest id reachable, null where no member has one. Rows
     that repeat an id with another text, and rows without an id, count as texts of their own.
-    Other columns of ``docs``, whatever their names, play no part.
+    Other columns of ``docs``, whatever their names, play no part. A tree holds ``leaf_rows`` sets
+    or ``leaf_tokens`` tokens; larger families take several, and every pair of them meets.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    signed = written(texts.mapInArrow(partial(_signed, words=words), "doc_id long, h long, n long, fp long, fp2 long"), "jaccard-signed")
-    classes = signed.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.min("h").alias("rep_h"))
-    families = _joined_by_cells(texts, words, num, den, COARSE, "jaccard-families")
-
-    # the texts of what shares a cell, each once
-    sizes = families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("members"))
-    found = families.join(sizes, families.component == sizes.family).join(classes, F.col("node") == F.col("fp")).select("rep", "rep_h", "fp", "n", "family", "members")
-    named = texts.where("doc_id is not null").join(found, texts.doc_id == found.rep).select("fp", "n", "family", "members", "text")
-    nameless = texts.where("doc_id is null").join(found.where("rep is null"), texts.h == found.rep_h).select("fp", "n", "family", "members", "text").dropDuplicates(["fp"])
-    live = written(named.unionByName(nameless), "jaccard-live")
-    dropped(families)
-    large = F.col("members") > leaf_rows
-    finer = _joined_by_cells(live.where(large).select("text"), words, num, den, FINE, "jaccard-finer")
-    members = live.where(~large).select("fp", "n", "family").unionByName(live.where(large).select("fp", "n").join(finer, F.col("fp") == F.col("node")).select("fp", "n", F.col("component").alias("family"))).distinct()
+    signed = written(texts.mapInArrow(partial(_signed, words=words), "doc_id long, h long, n long, fp long, fp2 long, point binary"), "jaccard-signed")
+    classes = written(signed.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.min("h").alias("rep_h"), F.min("point").alias("point")), "jaccard-classes")
+    families = _joined_by_cells(texts, words, num, den, "jaccard-families")
 
-    counts = members.groupBy("family").agg(F.count("*").alias("members"))
-    # a family that is still large is cut by size: linked sets are of one band or of neighbouring ones
+    sized = families.join(classes, F.col("node") == F.col("fp")).select("fp", "n", F.col("component").alias("family"))
+    large = families.groupBy(F.col("component").alias("family")).agg((F.count("*") > leaf_rows).alias("large"))
+    # a large family is cut by size: linked sets are of one band or of neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(den / num)) * (1 + 1e-9))).cast("int")
-    bands = F.when(large, F.array(band, band - 1)).otherwise(F.array(F.lit(-1)))
-    placed = members.join(counts, "family").select("fp", "family", F.explode(bands).alias("band"))
-    held = placed.groupBy("family", "band").agg(F.count("*").alias("held"))
-    placed = placed.join(held, ["family", "band"]).where("held > 1").withColumn("blocks", F.ceil(F.col("held") / F.lit(leaf_rows)).cast("int"))
+    placed = sized.join(large, "family").select("fp", "n", "family", F.explode(F.when(F.col("large"), F.array(band, band - 1)).otherwise(F.array(F.lit(-1)))).alias("band"))
+    held = placed.groupBy("family", "band").agg(F.count("*").alias("held"), F.sum("n").alias("tokens"))
+    blocks = F.when(F.col("band") < 0, 1).otherwise(F.least("held", F.ceil(F.greatest(F.col("tokens") / F.lit(leaf_tokens), F.col("held") / F.lit(leaf_rows)))))
+    placed = placed.join(held, ["family", "band"]).where("held > 1").withColumn("blocks", blocks.cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # every pair of blocks meets once; one block alone is a pair with itself
     placed = placed.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")))
-    placed = written(placed.select("fp", F.xxhash64("family", "band", "pair.i", "pair.j").alias("block"), F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int")).alias("side")), "jaccard-placed")
-    dropped(finer)
-    rows = placed.join(live.select("fp", "text"), "fp").select("block", "fp", "side", "text").repartition("block").sortWithinPartitions("block", "fp")
-    links = written(rows.mapInArrow(partial(_families, text="text", words=words, num=num, den=den), "a long, b long"), "jaccard-links")
-    dropped(placed, live)
+    placed = placed.select("fp", F.xxhash64("family", "band", "pair.i", "pair.j").alias("block"), F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int")).alias("side"))
+    rows = placed.join(classes.select("fp", "n", "point"), "fp").select("block", "fp", "side", "n", "point").repartition("block").sortWithinPartitions("block", "fp")
+    alive = written(rows.mapInArrow(partial(_surviving, num=num, den=den), "block long, fp long, side int"), "jaccard-alive")
+    dropped(families)
+
+    # the texts of what the trees left, each fetched once
+    wanted = alive.groupBy("fp").agg(F.collect_list(F.struct("block", "side")).alias("places")).join(classes.select("fp", "rep", "rep_h"), "fp")
+    named = texts.where("doc_id is not null").join(wanted, texts.doc_id == wanted.rep).select("fp", "places", "text")
+    nameless = texts.where("doc_id is null").join(wanted.where("rep is null"), texts.h == wanted.rep_h).select("fp", "places", "text").dropDuplicates(["fp"])
+    rows = named.unionByName(nameless).select("fp", "text", F.explode("places").alias("p")).select("p.block", "fp", "p.side", "text").repartition("block").sortWithinPartitions("block", "fp")
+    links = written(rows.mapInArrow(partial(_families, words=words, num=num, den=den), "a long, b long"), "jaccard-links")
+    dropped(alive)
     joined = connected_components(links, "jaccard-joined")
     dropped(links)
 

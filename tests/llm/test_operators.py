@@ -67,8 +67,28 @@ def test_jaccard_against_all_pairs(spark, words, num, den, leaf):
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
     want = [(i, len(sets[i]), c) for i, c in enumerate(components(len(rows), links))]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n string, fp int").repartition(5)
-    got = jaccard.jaccard_components(docs, words=words, num=num, den=den, leaf_rows=leaf)
-    assert sorted(map(tuple, got.collect())) == want
+    for tokens in (1 << 21, 300):
+        got = jaccard.jaccard_components(docs, words=words, num=num, den=den, leaf_rows=leaf, leaf_tokens=tokens)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_bounds_of_count_points_keep_every_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (3, 40, 300, 1000, 1100, 5000):
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        for change in (0, size // 20, size // 9, size // 3):
+            sets.append(np.unique(np.concatenate([base[change:], rng.integers(0, 2**64, change, dtype=np.uint64)])))
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    pts, sizes = jaccard.folded(jaccard.points(np.concatenate(sets), at)), np.diff(at)
+    assert pts.shape == (len(sets), 128) and (pts.sum(1) == sizes).all()
+    found = {(i, j) for i, js in jaccard.candidates(*jaccard._sides(np.zeros(len(sets), int), pts, sizes), pts, sizes, 80, 100) for j in js.tolist()}
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            same = len(np.intersect1d(s, t))
+            if i != j and 100 * same >= 80 * (len(s) + len(t) - same):
+                assert (i, j) in found
+    assert len(found) < 100
 
 
 def test_jaccard_empty_table_null_ids_and_repeated_rows(spark):
@@ -81,7 +101,7 @@ def test_jaccard_empty_table_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 2, 3), (-1, 56, 7), (-1, 56, 7), (-1, 57, 7), (3, 2, 3), (3, 2, 3), (7, 57, 7), (9, 0, 9)]
 
 
-@pytest.mark.parametrize("law", [jaccard.COARSE, jaccard.FINE])
+@pytest.mark.parametrize("law", [jaccard.LAW, jaccard.Law(10, 3)])
 def test_every_linked_pair_shares_a_cell(law):
     rng = np.random.default_rng(5)
     for size in (7, 13, 20, 33, 60, 200, 900):
