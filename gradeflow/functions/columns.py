@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,13 +56,28 @@ def score01(c: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), part)
 
 
+def _compact(c: Column) -> Column:
+    """Lower case, runs of white space and hyphens as one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[\s-]+", "_"), "^_+|_+$", "")
+
+
 def error_type(c: Column) -> Column:
-    """One of ``ERROR_TYPES``; blank is normal, unknown text a partial inaccuracy."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    out = F.when(t == "", "normal")
+    """One of ``ERROR_TYPES``; blank is normal, unknown text a partial inaccuracy (P13). Other names count in their compact form too."""
+    t = squeezed(F.coalesce(c, F.lit("")))
+    out, k = F.when(t == "", "normal"), _compact(t)
     for name, others in OTHER_NAMES.items():
         out = out.when(t.isin(*others), name)
-    return out.when(t.isin(*ERROR_TYPES), t).otherwise("partial_inaccuracy")
+    for name, others in OTHER_NAMES.items():
+        out = out.when(k.isin(*others), name)
+    return out.when(k.isin(*ERROR_TYPES), k).otherwise("partial_inaccuracy")
+
+
+def is_error_type(text: object) -> bool:
+    """Whether a text names an error type; blank and other values do not."""
+    t = " ".join(str(text or "").split())
+    k = re.sub(r"[\s-]+", "_", t.lower()).strip("_")
+    names = {n for others in OTHER_NAMES.values() for n in others}
+    return bool(t) and (t in names or k in names or k in ERROR_TYPES)
 
 
 def raw_metrics(accuracy: Column, completeness: Column, numerical: Column, hallucination: Column) -> dict[str, Column]:

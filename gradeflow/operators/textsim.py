@@ -1,42 +1,217 @@
-"""Similarity of answers to references as DataFrame jobs."""
+"""Similarity of answers to references."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from gradeflow.functions.columns import match_key, squeezed
+
+# What ends a sentence, marks around a token, numbers and codes that count as conditions.
+SENTENCE_ENDS = "\n\r.!?。！？;；"
+TOKEN_MARKS = " \t\r\n\"'`.,;:!?()[]{}<>"
+_UNITS = "(?:원|만원|억원|%|퍼센트|개월|년|일|회|번|점|시간|분|초|영업일)"
+NUMBER_PATTERNS = (
+    r"\d{4}\s*[-./년]\s*\d{1,2}\s*[-./월]\s*\d{1,2}\s*일?",
+    r"\d{1,2}\s*[:시]\s*\d{2}\s*분?",
+    r"\d{2,4}\s*[- ]\s*\d{3,4}\s*[- ]\s*\d{4}",
+    rf"\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?\s*{_UNITS}?",
+    rf"\d+(?:\.\d+)?\s*{_UNITS}",
+    r"[A-Z]{2,}[-_]?\d{2,}[A-Z0-9_-]*",
+    r"\b\d{4,}\b",
+)
+EXACT_LENGTH, SIMILAR = 6, 55.0
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-cased tokens of more than one character."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"(?U)\s+"), lambda t: F.length(t) > 1))
+    """Distinct tokens between white space."""
+    return F.array_distinct(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
 
 
 def token_overlap(reference: Column, answer: Column) -> Column:
-    """Share of the reference's tokens that the answer has; 0 without tokens."""
-    r = tokens(reference)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(r, tokens(answer))), F.size(r)), F.lit(0.0))
+    """Share of the reference's tokens of more than one character that the answer has; 0 without any."""
+    r = F.filter(tokens(F.coalesce(reference, F.lit(""))), lambda t: F.length(t) > 1)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(r, tokens(F.coalesce(answer, F.lit(""))))), F.size(r)), F.lit(0.0))
+
+
+def sentences(c: Column) -> Column:
+    """The parts of a text between sentence ends; the whole text where it has none."""
+    parts = F.filter(F.transform(F.split(squeezed(c), f"[{re.escape(SENTENCE_ENDS)}]+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.filter(F.array(squeezed(c)), lambda x: x != ""))
+
+
+class Grams:
+    """Counts of the character n-grams of several texts without white space, in lower case: one row for each (text, gram)."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, texts: list[str], n: int) -> None:
+        size = np.array([len(t) for t in texts])
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(texts)), size)
+        gram, whose = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(code) >= n:
+            gram = np.zeros(len(code) - n + 1, np.uint64)
+            for k in range(n):
+                gram = (gram ^ (gram >> np.uint64(29))) * self.FACTOR + code[k : k + len(gram)]
+            inside = owner[n - 1 :] == owner[: len(gram)]
+            gram, whose = gram[inside], owner[: len(gram)][inside]
+        order = np.lexsort((gram, whose))
+        gram, whose = gram[order], whose[order]
+        head = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (whose[1:] != whose[:-1])])) if len(gram) else np.zeros(0, int)
+        self.gram, self.whose = gram[head], whose[head]
+        self.count = np.diff(np.append(head, len(gram))).astype(float)
+        self.norm = np.sqrt(np.bincount(self.whose, self.count**2, len(texts)))
+
+    def cosines(self, other: Grams) -> np.ndarray:
+        """The cosine of each of these texts with the only text of ``other``."""
+        out = np.zeros(len(self.norm))
+        if len(other.gram) and len(self.gram):
+            at = np.minimum(np.searchsorted(other.gram, self.gram), len(other.gram) - 1)
+            hit = other.gram[at] == self.gram
+            dot = np.bincount(self.whose[hit], self.count[hit] * other.count[at[hit]], len(out))
+            some = self.norm > 0
+            out[some] = dot[some] / (self.norm[some] * other.norm[0])
+        return out
+
+
+def gram_similarity(reference: str, texts: list[Grams], short: list[str]) -> float:
+    """The largest cosine over n = 2, 3, 4 and over the texts, given as compact strings; a text shorter than n is one gram."""
+    best = 0.0
+    for n, grams in zip((2, 3, 4), texts, strict=True):
+        if len(reference) < n:
+            best = max(best, float(bool(reference) and reference in short))
+        elif len(grams.norm):
+            best = max(best, float(grams.cosines(Grams([reference], n)).max()))
+    return best
+
+
+class Answer:
+    """An answer made ready to be compared with many references."""
+
+    def __init__(self, text: str | None) -> None:
+        self.text = " ".join((text or "").split())
+        parts = [x for p in re.split(f"[{re.escape(SENTENCE_ENDS)}]+", self.text) if (x := p.strip())]
+        self.parts = [self.text, *(parts or [self.text])] if self.text else []
+        self.compact = ["".join(p.lower().split()) for p in self.parts]
+        self.tokens = [set(p.split()) for p in self.parts]
+        self.grams: list[Grams] | None = None
+
+    def similarity(self, reference: str) -> float:
+        """1 if the reference is contained, else the best of token overlap and gram cosine over the answer and its sentences."""
+        key = "".join(reference.lower().split())
+        if not key or not self.text:
+            return 0.0
+        if key in self.compact[0]:
+            return 1.0
+        if self.grams is None:
+            self.grams = [Grams(self.compact, n) for n in (2, 3, 4)]
+        return min(1.0, max(self.overlap(reference), gram_similarity(key, self.grams, self.compact)))
+
+    def overlap(self, reference: str, whole: bool = False) -> float:
+        wanted = {t for t in reference.split() if len(t) > 1}
+        return max((len(wanted & t) for t in (self.tokens[:1] if whole else self.tokens)), default=0) / len(wanted) if wanted else 0.0
 
+    def evidence(self, reference: str) -> float:
+        """Percent; a few copied keywords of a long reference are no grounding (T5)."""
+        key = "".join(reference.lower().split())
+        if not key or not self.text:
+            return 0.0
+        if key in self.compact[0]:
+            return 100.0
+        lexical = round(100 * self.overlap(reference, whole=True), 2)
+        terms, own = ({t for w in x.split() if len(t := w.strip(TOKEN_MARKS).lower()) > 1} for x in (reference, self.text))
+        length, cover = min(1.0, len(self.compact[0]) / len(key)), len(terms & own) / len(terms) if terms else 0.0
+        if len(key) > 40 and length <= 0.32 and cover < 0.35:
+            return round(min(19.0, lexical + 5), 2)
+        similar = round(100 * self.similarity(reference), 2)
+        return round(max(lexical, min(similar, 35.0) if len(key) > 40 and length < 0.45 and cover < 0.45 else similar), 2)
 
-def gram_cosine(pairs: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """(key, cosine) of character n-gram counts of two texts, the largest over ``sizes`` of n.
 
-    Grams are hashed and counted for each key before anything is joined; a text of up to n
-    characters is one gram, and one without any shares none. ``pairs`` has key, reference and answer.
+SIMILARITIES = ArrayType(StructType([StructField(n, DoubleType()) for n in ("overlap", "similarity", "evidence")]))
+
+
+def with_similarities(rows: DataFrame, answer: str, references: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: an array of overlap, similarity and evidence similarity in percent of an answer with each of an array of references.
+
+    All of a row's comparisons happen in its task: no gram leaves it. Null and blank texts are similar to nothing.
     """
+    kind = pa.list_(pa.struct([(n, pa.float64()) for n in ("overlap", "similarity", "evidence")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (answer, references))
+            out = []
+            for text, refs in zip(texts, wanted, strict=True):
+                own = Answer(text)
+                told = [" ".join((r or "").split()) for r in refs or ()]
+                out.append([{"overlap": round(100 * own.overlap(r, whole=True), 2), "similarity": round(100 * own.similarity(r), 2), "evidence": own.evidence(r)} for r in told])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, SIMILARITIES)]))
+
+
+def _gram_cosines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in batches:
+        out = []
+        for pair in zip(left, right, strict=True):
+            a, b = ("".join((t or "").lower().split()) for t in pair)
+            out.append(gram_similarity(a, [Grams([b], n) for n in (2, 3, 4)], [b]) if a and b else 0.0)
+        yield pd.Series(out, dtype=float)
+
+
+def gram_cosine(reference: Column, answer: Column) -> Column:
+    """Cosine of character n-gram counts of two texts, the largest over n = 2, 3, 4 (T2), row by row."""
+    return F.pandas_udf(_gram_cosines, "double")(reference, answer)
 
-    def grams(c: str) -> DataFrame:
-        t = F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+", "")
-        cut = lambda n: F.when(F.length(t) <= n, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.length(t) > 0, cut(n)).alias("gs")) for n in sizes]))
-        rows = pairs.select("key", each.alias("s")).select("key", "s.n", F.explode_outer("s.gs").alias("g"))
-        return rows.groupBy("key", "n", F.when(F.col("g").isNotNull(), F.xxhash64("g")).alias("g")).agg(F.count("*").alias(c))
 
-    both = grams("reference").join(grams("answer"), ["key", "n", "g"], "full")
-    dot = F.sum(F.col("reference") * F.col("answer"))
-    norms = F.sqrt(F.sum(F.col("reference") * F.col("reference"))) * F.sqrt(F.sum(F.col("answer") * F.col("answer")))
-    return both.groupBy("key", "n").agg(F.coalesce(F.try_divide(dot.cast("double"), norms), F.lit(0.0)).alias("cosine")).groupBy("key").agg(F.max("cosine").alias("cosine"))
+def vector_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; 0 where one is null, zero or of another length (T4, 2.8)."""
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(total(a, b), F.sqrt(total(a, a)) * F.sqrt(total(b, b))), F.lit(0.0))).otherwise(0.0)
 
 
 def numbers(c: Column) -> Column:
-    """Distinct numbers in a text, thousands separators dropped."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "")))
+    """Distinct numbers, dates, amounts and codes in a text, pattern by pattern."""
+    text = squeezed(F.coalesce(c, F.lit("")))
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0)) for p in NUMBER_PATTERNS]))
+    bare = F.transform(found, lambda x: F.regexp_replace(x, r"^[ ,.;:()\[\]{}<>]+|[ ,.;:()\[\]{}<>]+$", ""))
+    return F.array_distinct(F.filter(bare, lambda x: x != ""))
+
+
+def contains_condition(answer: Column, condition: Column) -> Column:
+    """Whether an answer holds a condition, as it stands or white space and case aside; a blank one it does not."""
+    c = F.trim(condition)
+    return (c != "") & (F.coalesce(answer, F.lit("")).contains(c) | match_key(F.coalesce(answer, F.lit(""))).contains(match_key(c)))
+
+
+def wants_exact(condition: Column) -> Column:
+    """Conditions that similarity can't meet: up to six characters, or with a number or code in them."""
+    return (F.length(match_key(condition)) <= EXACT_LENGTH) | (F.size(numbers(condition)) > 0)
+
+
+def condition_hits(answer: Column, required: Column, scores: Column, least: float = SIMILAR) -> Column:
+    """The required conditions that an answer meets (T7); ``scores`` are the similarities of the answer with them."""
+    met = F.zip_with(required, scores, lambda c, s: F.struct(c.alias("c"), (contains_condition(answer, c) | (~wants_exact(c) & (s["similarity"] >= least))).alias("hit")))
+    return F.transform(F.filter(met, lambda x: x["hit"]), lambda x: x["c"])
+
+
+def numeric_accuracy(gold: Column, required: Column, hits: Column, answer: Column, question_type: Column, numeric_type: str, marks: tuple[str, ...]) -> Column:
+    """Percent of the numbers and codes asked for that an answer has (T8); 100 where none is asked, but 0 for a numeric case without an answer."""
+    digits = lambda xs: F.filter(xs, lambda x: x.rlike(r"(?U)\d"))
+    asked = F.array_distinct(F.concat(numbers(gold), digits(required)))
+    kind = F.coalesce(question_type, F.lit(""))
+    numeric = kind == numeric_type
+    for m in marks:
+        numeric = numeric | F.lower(kind).contains(m)
+    found = F.size(F.filter(asked, lambda c: contains_condition(answer, c)))
+    got = F.when((found == 0) & (F.size(hits) > 0), F.size(digits(hits))).otherwise(found)
+    none = F.when(numeric & (F.coalesce(answer, F.lit("")) == ""), 0.0).otherwise(100.0)
+    return F.when(F.size(asked) == 0, none).otherwise(F.bround(F.try_divide(F.lit(100.0) * got, F.size(asked)), 2))

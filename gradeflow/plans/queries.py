@@ -237,9 +237,26 @@ def text_search(spark, d):
     return views.searched(spark.read.parquet(f"{d}/documents.parquet"), "TION the", ["text", "source"]).select("doc_id")
 
 
-@query()
+#: White space as Unicode knows it, for SQL.
+WS = "[\\t\\n\\x0B\\f\\r \\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def grams_sql(pairs: str, keys: str) -> str:
+    """CTEs of n-gram counts of the compact texts t of (keys, side, t) in the table ``pairs``, for n = 2, 3, 4."""
+    return f"""ch AS (SELECT {keys}, side, length(t) AS size, t, unnest(string_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM {pairs} WHERE t <> ''),
+ld AS (SELECT {keys}, side, size, t, i, c || lead(c, 1) OVER w AS g2, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS g3, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w AS g4 FROM ch WINDOW w AS (PARTITION BY {keys}, side ORDER BY i)),
+gr AS (SELECT {keys}, side, n, CASE WHEN size < n THEN t WHEN n = 2 THEN g2 WHEN n = 3 THEN g3 ELSE g4 END AS g FROM ld, (VALUES (2), (3), (4)) AS sizes(n) WHERE size >= n OR i = 1),
+gc AS (SELECT {keys}, side, n, g, count(*) AS m FROM gr WHERE g IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""WITH p AS (SELECT a.doc_id AS key, lower(regexp_replace(coalesce(a.text, ''), '{WS}', '', 'g')) AS l, lower(regexp_replace(coalesce(b.text, ''), '{WS}', '', 'g')) AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+tx AS (SELECT key, 'l' AS side, l AS t FROM p UNION ALL SELECT key, 'r', r FROM p), {grams_sql("tx", "key")},
+nm AS (SELECT key, n, sqrt(sum(m * m) FILTER (WHERE side = 'l')) AS ln, sqrt(sum(m * m) FILTER (WHERE side = 'r')) AS rn FROM gc GROUP BY ALL),
+dt AS (SELECT a.key, a.n, sum(a.m * b.m)::DOUBLE AS dot FROM gc a JOIN gc b ON a.key = b.key AND a.n = b.n AND a.g = b.g AND a.side = 'l' AND b.side = 'r' GROUP BY ALL),
+cs AS (SELECT key, max(dot / (ln * rn)) AS cosine FROM dt JOIN nm USING (key, n) GROUP BY 1)
+SELECT key, round(coalesce(cosine, 0), 9) AS cosine FROM p LEFT JOIN cs USING (key)""")
 def answer_gram_cosine(spark, d):
     """Each document against the next one."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     pairs = docs.alias("a").join(docs.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).selectExpr("a.doc_id as key", "a.text as reference", "b.text as answer")
-    return textsim.gram_cosine(pairs)
+    return pairs.select("key", F.round(textsim.gram_cosine(F.col("reference"), F.col("answer")), 9).alias("cosine"))

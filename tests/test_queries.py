@@ -77,7 +77,7 @@ def test_sampling_ignores_row_order_and_checks_quotas(spark):
 
 def test_gram_cosine_of_equal_disjoint_and_short_texts(spark):
     df = spark.createDataFrame([(1, "hello world", "hello world"), (2, "aaaa", "bbbb"), (3, "ab", "ab"), (4, "", "abc")], "key int, reference string, answer string")
-    got = {r.key: round(r.cosine, 9) for r in textsim.gram_cosine(df).collect()}
+    got = {r.key: round(r.cosine, 9) for r in df.select("key", textsim.gram_cosine(F.col("reference"), F.col("answer")).alias("cosine")).collect()}
     assert got == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0}
 
 
@@ -212,6 +212,7 @@ def test_gram_cosine_is_the_largest_over_sizes(spark):
         norms = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
         return sum(v * b[g] for g, v in a.items()) / norms if norms else 0.0
 
-    got = {r.key: r.cosine for r in textsim.gram_cosine(spark.createDataFrame(rows, "key int, reference string, answer string")).collect()}
+    df = spark.createDataFrame(rows, "key int, reference string, answer string")
+    got = {r.key: r.cosine for r in df.select("key", textsim.gram_cosine(F.col("reference"), F.col("answer")).alias("cosine")).collect()}
     assert set(got) == {i for i, _, _ in rows}
     assert all(abs(got[i] - max(cosine(a, b, n) for n in (2, 3, 4))) < 1e-9 for i, a, b in rows)
