@@ -1,10 +1,146 @@
-"""Composing evaluation sets: filters, samples and quotas."""
+"""Composing evaluation sets: labels, pools, samples, quotas and order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names of question types and topics, and the words that point to them, the first that fits.
+QUESTION_TYPES = (
+    ("민감", ("민감", "sensitive")),
+    ("수치추론/계산", ("수치", "numerical", "numeric", "calculation", "계산")),
+    ("복합추론", ("복합", "multi-hop", "multihop", "multi hop")),
+    ("비교대조", ("비교", "comparison", "compare", "대조")),
+    ("단일추론(사실추출)", ("단일", "사실", "single", "fact")),
+)
+TOPICS = (
+    ("카드/결제", ("카드/결제", "card", "payment", "결제", "카드")),
+    ("대출/여신", ("대출", "여신", "loan", "credit")),
+    ("예적금", ("예적금", "예/적금", "예금", "적금", "deposit", "savings")),
+    ("투자/펀드", ("투자", "펀드", "investment", "fund")),
+)
+
+
+def labelled(values: list[Column], rules: tuple, own: Column | None = None, rest: str | None = None) -> Column:
+    """The first label one of whose words the values hold; else what ``own`` says, else ``rest`` or the last label (P10)."""
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(v.cast("string"), F.lit("")) for v in values]))
+    out = F.when(F.lit(False), "")
+    for label, words in rules:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | text.contains(w)
+        out = out.when(hit, label)
+    otherwise = F.lit(rest or rules[-1][0])
+    return out.otherwise(F.coalesce(F.nullif(F.trim(own), F.lit("")), otherwise) if own is not None else otherwise)
+
+
+@dataclass(frozen=True)
+class Pool:
+    """A pool of cases, how many it gives, and what its cases are marked with."""
+
+    pool_id: str
+    quota: int
+    role: str = "regression"
+    gate_eligible: bool | None = None
+    prefix: str = ""
+    version: str = "v0"
+    public: bool = False
+    defaults: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def gates(self) -> bool:
+        return self.role != "benchmark" if self.gate_eligible is None else self.gate_eligible
+
+
+def case_ids(rows: DataFrame, names: tuple[str, ...] = ("case_id", "scenario_id", "id")) -> Column:
+    """The id of a case, or one made from a hash of the whole row."""
+    made = F.concat(F.lit("COMPOSED-"), F.upper(F.substring(F.sha1(F.to_json(F.struct(*sorted(rows.columns)))), 1, 12)))
+    return F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in rows.columns], made)
+
+
+def lifecycle_defaults(status: Column, gold: Column, pool: Pool, release: Column | None = None, review: Column | None = None) -> dict[str, Column]:
+    """Whether a case may gate a release and whether people must see it, where it does not say so itself."""
+    can = (status == "active") & gold
+    said = F.coalesce(release, F.lit(pool.gates)) if release is not None else F.lit(pool.gates)
+    needs = status.isin("draft", "shadow") | ~gold
+    return {"release_gate_eligible": said & can, "human_review_required": F.coalesce(review, needs) if review is not None else needs}
+
+
+def annotated(cases: DataFrame, pool: Pool, seed: str, profile: str = "", source_hash: str = "") -> DataFrame:
+    """Cases of a pool with prefixed ids, role, version, hash, seed, profile and lifecycle (P12). Takes case_status and gold_verified; a case's own flags win."""
+    own = lambda c: F.col(c) if c in cases.columns else None
+    gold = F.coalesce("gold_verified", F.lit(False))
+    plain = F.col("case_id")
+    prefixed = F.when(plain.startswith(f"{pool.prefix}::"), plain).otherwise(F.concat(F.lit(f"{pool.prefix}::"), plain)) if pool.prefix else plain
+    flags = lifecycle_defaults(F.col("case_status"), gold, pool, own("release_gate_eligible"), own("human_review_required"))
+    marks = {"dataset_pool_id": pool.pool_id, "dataset_role": pool.role, "dataset_version": pool.version, "source_hash": source_hash, "is_public": pool.public, "selection_seed": seed, "profile_id": profile}
+    out = cases.withColumns({"source_case_id": plain, "case_id": prefixed, "gold_verified": gold, **flags, **{k: F.lit(v) for k, v in marks.items()}})
+    out = out.withColumn("gate_eligible", F.lit(pool.gates) & F.col("release_gate_eligible"))
+    return out.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in cases.columns else F.lit(v) for k, v in pool.defaults.items()})
+
+
+def composed(cases: DataFrame, pools: list[Pool], *, seed: str, profile: str = "", strict: bool = True) -> DataFrame:
+    """An evaluation set from pools in order.
+
+    ``cases`` has pool_id, case_id, ordinal, case_status and gold_verified. Of a pool's cases with one id
+    the first counts; only active ones are taken, shadow ones where a pool has no active one (F3); a
+    case that an earlier pool took is passed over, so later pools reach deeper. A loop over the few
+    pools; cases themselves never come to the driver. With ``strict`` a pool that falls short fails.
+    """
+    once = cases.withColumn("_n", F.row_number().over(Window.partitionBy("pool_id", "case_id").orderBy("ordinal"))).where("_n = 1").drop("_n")
+    taken = out = None
+    for pool in pools:
+        own = once.where(F.col("pool_id") == pool.pool_id)
+        wanted = "active" if not own.where("case_status = 'active'").isEmpty() else "shadow"
+        own = own.where(F.col("case_status") == wanted)
+        if taken is not None:
+            own = own.join(taken, "case_id", "left_anti")
+        part = sampled(own, {pool.pool_id: pool.quota}, seed, strict)
+        taken = part.select("case_id") if taken is None else taken.unionByName(part.select("case_id"))
+        marked = annotated(part, pool, seed, profile)
+        out = marked if out is None else out.unionByName(marked, allowMissingColumns=True)
+    return out
+
+
+def summary(chosen: DataFrame) -> DataFrame:
+    """(figure, value, n): cases by pool, role, status and gate."""
+    gate = F.when(F.col("gate_eligible"), "eligible").otherwise("not_eligible")
+    each = F.array(*[F.struct(F.lit(n).alias("figure"), F.coalesce(c, F.lit("unknown")).alias("value")) for n, c in (("selected", F.col("dataset_pool_id")), ("role", F.col("dataset_role")), ("status", F.col("case_status")), ("gate", gate))])
+    return chosen.select(F.explode(each).alias("e")).groupBy("e.figure", "e.value").agg(F.count("*").alias("n"))
+
+
+def all_registered(pools: list[Pool], role: str) -> list[Pool]:
+    """Every pool of a role, for a set of all registered cases."""
+    return [p for p in pools if p.role == role]
+
+
+def catalogue(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pools of a runtime catalogue: those listed, and discovered datasets that no entry has, marked as such."""
+    new = found.join(listed.select("path").distinct(), "path", "left_anti").withColumn("discovered", F.lit(True))
+    return listed.withColumn("discovered", F.lit(False)).unionByName(new, allowMissingColumns=True)
+
+
+def first_source(sources: list[DataFrame]) -> DataFrame:
+    """Cases of several sources in order of priority; of one id the first source counts."""
+    out = sources[0].withColumn("_source", F.lit(0))
+    for k, s in enumerate(sources[1:], 1):
+        out = out.unionByName(s.withColumn("_source", F.lit(k)), allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in ("case_id", "_source")]
+    return out.groupBy("case_id").agg(F.min_by(F.struct(*rest), "_source").alias("_r")).select("case_id", "_r.*")
+
+
+def first_named(rows: DataFrame, key: str, name: str, order: Column) -> DataFrame:
+    """The first name of each key that is not empty."""
+    return rows.groupBy(key).agg(F.min_by(name, F.when(F.coalesce(F.trim(name), F.lit("")) != "", order)).alias(name))
+
+
+def in_order(rows: DataFrame, configs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Rows by the positions of models, then cases, which they are given; unknown ones last, by name (W6). ``configs`` is a small list."""
+    out = rows.join(F.broadcast(configs.select("config_id", F.col("position").alias("config_place"))), "config_id", "left").join(cases.select("case_id", F.col("position").alias("case_place")), "case_id", "left")
+    return out.orderBy(F.col("config_place").asc_nulls_last(), "config_id", F.col("case_place").asc_nulls_last(), "case_id")
+
 
 def sampled(cases: DataFrame, quotas: dict[str, int], seed: str, strict: bool = True) -> DataFrame:
     """Per pool the ``quota`` cases of least hash of seed, pool and id; the order of rows plays no part.

@@ -68,7 +68,7 @@ def consensus(v: DataFrame) -> DataFrame:
     """Plain means, gaps and agreement of the judges on each answer."""
     gap = F.round(F.max("overall") - F.min("overall"), 6)
     widest = F.greatest(*[F.coalesce(F.max(m) - F.min(m), F.lit(0.0)) for m in METRICS])
-    out = v.groupBy(*KEY).agg(*[F.avg(m).alias(m) for m in METRICS], F.avg("overall").alias("judge_average"), gap.alias("overall_gap"), widest.alias("metric_max_gap"), (F.count_distinct("pass") > 1).alias("pass_mismatch"), F.bool_or("critical_fail").alias("critical_fail"), F.count("*").alias("judges"))
+    out = v.groupBy(*KEY).agg(*[F.avg(m).alias(m) for m in METRICS], F.avg("overall").alias("judge_average"), gap.alias("overall_gap"), widest.alias("metric_max_gap"), (F.bool_or("pass") & F.bool_or(~F.col("pass"))).alias("pass_mismatch"), F.bool_or("critical_fail").alias("critical_fail"), F.count("*").alias("judges"))
     out = out.withColumn("overall", applicable_mean(*(F.col(m) for m in METRICS)))
     status = F.when(F.col("pass_mismatch") | (F.col("overall_gap") >= 0.3), "review_needed").when(F.col("overall_gap") >= 0.15, "borderline").otherwise("stable")
     return out.withColumn("agreement_status", status).withColumn("pass", passes(F.col("overall"), F.col("critical_fail")))
@@ -77,7 +77,7 @@ def consensus(v: DataFrame) -> DataFrame:
 def conflicts(v: DataFrame) -> DataFrame:
     """Whether judges disagree on an answer: on passing, by a gap of 0.3, or on the error."""
     errors = F.array_sort(F.collect_set(F.when(F.col("error_type") != "normal", F.col("error_type"))))
-    out = v.groupBy(*KEY).agg(F.count("*").alias("judges"), (F.count_distinct("pass") > 1).alias("pass_conflict"), (F.max("overall") - F.min("overall")).alias("gap"), errors.alias("errors"))
+    out = v.groupBy(*KEY).agg(F.count("*").alias("judges"), (F.bool_or("pass") & F.bool_or(~F.col("pass"))).alias("pass_conflict"), (F.max("overall") - F.min("overall")).alias("gap"), errors.alias("errors"))
     several = F.col("judges") > 1
     reason = F.concat_ws("; ", F.when(F.col("pass_conflict"), "judge pass/fail disagreement"), F.when(F.col("gap") >= CONFLICT_GAP, F.format_string("judge score gap %.3f", "gap")), F.when(F.size("errors") > 1, F.concat(F.lit("judge error-type disagreement: "), F.array_join("errors", ", "))))
     return out.withColumn("reason", F.when(several, reason).otherwise("")).withColumn("conflict", F.col("reason") != "")

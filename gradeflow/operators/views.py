@@ -1,4 +1,4 @@
-"""Filtered, searched and ordered views."""
+"""Filtered, searched and ordered views."""
 
 from __future__ import annotations
 
@@ -23,12 +23,6 @@ def result_matrix(scores: DataFrame, review: Column, most: int = 120) -> DataFra
     return out.orderBy(F.desc("has_failure"), F.desc("has_review"), "worst", "case_id").limit(most)
 
 
-def review_queue(gated: DataFrame, most: int = 160) -> DataFrame:
-    """What people should look at, by priority, then score."""
-    priority = F.when(F.col("critical_fail"), 0).when(F.col("final_gate") == "review", 1).otherwise(2)
-    return gated.where((F.col("final_gate") != "pass") | F.col("critical_fail")).withColumn("priority", priority).orderBy("priority", "overall", "config_id", "case_id").limit(most)
-
-
 def profile(df: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
     """The most frequent values of each column."""
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])).alias("p")).select("p.*")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradeflow.functions.columns import squeezed
 from gradeflow.operators import apply, cases, facts, judges
 from gradeflow.plans import fixtures as fx
-from gradeflow.plans.queries import _CONSENSUS, _NORMAL, _s, _v, query, rounded
+from gradeflow.plans.queries import WS, _CONSENSUS, _NORMAL, _s, _v, query, rounded
 
 #: Cases as they come: mixed capitals, blanks and unknown words; every second one keeps its role and gold mark in metadata.
 RAW_SQL = """
@@ -187,16 +188,17 @@ def unmatched_keys(spark, d):
     return facts.unmatched(outputs(spark, d), judges.normalised(fx.arbiter(spark, d)), ["config_id", "case_id"])
 
 
-@query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 500) AS excerpt FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query(f"SELECT doc_id, substr(trim(regexp_replace(text, '{WS}', ' ', 'g')), 1, 500) AS excerpt FROM documents")
 def answer_excerpts(spark, d):
-    """P25, over the texts in ASCII, where both engines know the same white space."""
-    return spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike(r"^[\x00-\x7F]*\z")).select("doc_id", facts.excerpt(F.col("text")).alias("excerpt"))
+    """P25, over every text."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", facts.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query()
+@query(f"SELECT doc_id, length(trim(regexp_replace(text, '{WS}', ' ', 'g'))) AS size, substr(trim(regexp_replace(text, '{WS}', ' ', 'g')), 1, 500) AS excerpt FROM documents")
 def answer_excerpts_all(spark, d):
-    """P25, over every text; no SQL, as DuckDB knows less white space."""
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", facts.excerpt(F.col("text")).alias("excerpt"))
+    """P25, with the length of the text that the excerpt is of."""
+    t = F.col("text")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(squeezed(t)).alias("size"), facts.excerpt(t).alias("excerpt"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text, CASE WHEN length(source) > 3 THEN substr(source, 1, 3) || '...' ELSE source END AS source FROM documents")

@@ -59,7 +59,7 @@ ANSWERS_SQL = _ANSWERS
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the tables of ``sf_dir`` that it names."""
-    names = ("benchmark", "pages", "documents", "labels", "region", "events", "conversations", "embeddings", "lineitem", "part", "orders")
+    names = ("benchmark", "pages", "documents", "labels", "region", "events", "conversations", "embeddings", "lineitem", "part", "orders", "supplier", "customer")
     return _with_views(spark, sf_dir, sql, names)
 
 

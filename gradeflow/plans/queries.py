@@ -93,11 +93,19 @@ def judge_conflicts(spark, d):
     return judges.conflicts(_v(spark, d)).select("config_id", "case_id", "conflict", "reason")
 
 
-@query()
+_ARBITER = _NORMAL.replace(fx.VERDICTS_SQL, fx.ARBITER_SQL).replace("v AS (", "av AS (").replace("p AS (", "ap AS (").replace("FROM v)", "FROM av)")
+
+
+@query(f"""WITH {_NORMAL}, {_ARBITER}, cf AS (SELECT config_id, case_id, count(DISTINCT pass) > 1 OR max(overall) - min(overall) >= 0.3 OR count(DISTINCT error_type) FILTER (WHERE error_type <> 'normal') > 1 AS conflict FROM p GROUP BY 1, 2),
+b AS (SELECT *, false AS settled FROM p UNION ALL SELECT *, true FROM ap), vt AS (SELECT b.*, cf.conflict FROM b JOIN cf USING (config_id, case_id) WHERE NOT settled OR conflict),
+g AS (SELECT config_id, case_id, conflict, bool_or(settled) AS settled, {", ".join(f"CASE WHEN count({m}) >= 3 AND count(*) >= 3 THEN (sum({m}) - min({m}) - max({m})) / (count({m}) - 2) ELSE avg({m}) END AS {m}" for m in ("acc", "com", "nac", "hal_pass"))}, bool_or(critical_fail) AS critical_fail FROM vt GROUP BY 1, 2, 3),
+o AS (SELECT *, {_MEAN} AS overall FROM g)
+SELECT config_id, case_id, round(overall, 6) AS overall, overall >= 0.6 AND NOT critical_fail AS pass, conflict, CASE WHEN settled THEN 'three_judge' WHEN conflict THEN 'unresolved' ELSE 'none' END AS resolution, conflict AND NOT settled AS unresolved FROM o""")
 def conflicts_resolved_with_arbiter(spark, d):
     """A9, J6."""
     arb = judges.normalised(fx.arbiter(spark, d))
-    return judges.resolved(_v(spark, d), arb, "three_judge").select("config_id", "case_id", "overall", "pass", "conflict", "resolution", "unresolved")
+    out = judges.resolved(_v(spark, d), arb, "three_judge").select("config_id", "case_id", "overall", "pass", "conflict", "resolution", "unresolved")
+    return rounded(out, "overall")
 
 
 @query(f"WITH {_CONSENSUS} SELECT config_id, count(*) AS total_questions, count(*) FILTER (WHERE agreement_status <> 'review_needed') AS scored_questions, count(*) FILTER (WHERE agreement_status = 'review_needed') AS review_pending_count, round(avg(pass::INT), 6) AS pass_rate, round(avg(overall), 6) AS overall_score, round(avg(pass::INT) FILTER (WHERE agreement_status <> 'review_needed'), 6) AS scored_pass_rate, round(avg(overall) FILTER (WHERE agreement_status <> 'review_needed'), 6) AS scored_average, round(avg(acc), 6) AS acc, round(avg(com), 6) AS com, round(avg(nac), 6) AS nac, round(avg(hal_pass), 6) AS hal_pass FROM s GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.operators import disclosure, judges, tables, views
 from gradeflow.plans import fixtures as fx
-from gradeflow.plans.queries import _CASES, _CONSENSUS, _NORMAL, _s, _v, query, rounded
+from gradeflow.plans.queries import WS, _CASES, _CONSENSUS, _NORMAL, _s, _v, query, rounded
 
 #: Consensus with the first judge's error type, a gate, and the change against the first model.
 _ROWS = f"""{_CONSENSUS}, {_CASES}, w AS (SELECT s.config_id, s.case_id, s.acc, s.overall, s.pass, p.error_type, CASE WHEN s.agreement_status = 'review_needed' THEN 'review' WHEN s.pass THEN 'pass' WHEN k.severity = 'critical' THEN 'block' ELSE 'review' END AS release_gate, k.qa_topic, k.question_type, s.overall - b.overall AS score_delta
@@ -123,24 +123,41 @@ def fallen_cases(spark, d):
     return rounded(out.select("config_id", "case_id", "score_delta"), "score_delta")
 
 
-@query()
+def _kind(name: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(t, '{pattern}') THEN '{name}' END"
+
+
+_DIGIT_RUNS = "regexp_extract_all(t, '\\b(?:\\d[ -]?){13,19}\\b')"
+_LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 1 THEN (x[i]::INT * 2) // 10 + (x[i]::INT * 2) % 10 ELSE x[i]::INT END)) % 10 = 0"
+_TOLD = " OR ".join(f"contains(t, '{w}')" for w in disclosure.SENSITIVE)
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS (SELECT *, {_TOLD} AS told, [regexp_replace(x, '[^0-9]', '', 'g') FOR x IN {_DIGIT_RUNS}] AS runs FROM t)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN len(runs) > 0 AND (told OR len(list_filter(runs, lambda x: {_LUHN})) > 0) THEN 'card_number_pattern' END,
+  {_kind("cvc_value_pattern", "(?i)\\bCVC\\b\\s*(?:[:：=]|는|은)?\\s*\\d{3,4}\\b")}, {_kind("password_value_pattern", "(?i)(비밀번호|패스워드|password)\\s*(?:[:：=]|는|은)?\\s*\\d{4,}")}, {_kind("resident_id_pattern", "\\b\\d{6}[- ]?\\d{7}\\b")}], lambda x: x IS NOT NULL), ',') AS kinds FROM r""")
 def text_disclosures(spark, d):
     """Kinds of sensitive values in each whole text."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.array_join(disclosure.disclosures(F.col("text")), ",").alias("kinds"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(['the', ' tion ', source], lambda c: contains(regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g'), regexp_replace(lower(trim(c)), '\\s+', '', 'g')) OR contains(coalesce(text, ''), trim(c))), ',') AS hits FROM (SELECT doc_id, text, coalesce(source, '') AS source FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$') AND source <> '')")
+_DENIED = " OR ".join(f"contains(n, '{x}')" for x in disclosure.DENIALS)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT doc_id, text, trim(c) AS c, k FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(['the', ' tion ', source]) AS c, unnest([1, 2, 3]) AS k FROM documents) WHERE trim(c) <> ''),
+w AS (SELECT *, instr(text, c) AS pos, contains(lower(regexp_replace(text, '{WS}', '', 'g')), lower(regexp_replace(c, '{WS}', '', 'g'))) AS loose FROM c),
+n AS (SELECT *, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 40), pos + length(c) + 60 - greatest(1, pos - 40)) ELSE text END AS n FROM w),
+h AS (SELECT doc_id, c, min(k) AS k FROM n WHERE (pos > 0 OR loose) AND NOT ({_DENIED}) GROUP BY ALL)
+SELECT d.doc_id, coalesce((SELECT string_agg(c, ',' ORDER BY k) FROM h WHERE h.doc_id = d.doc_id), '') AS hits FROM documents d""")
 def forbidden_claims(spark, d):
-    """T10, over the texts in ASCII, which hold no denial."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("source <> ''").where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*\z"))
+    """T10, over every text; claims that are not sensitive."""
     claims = F.array(F.lit("the"), F.lit(" tion "), F.col("source"))
-    return docs.select("doc_id", F.array_join(F.transform(disclosure.forbidden_hits(F.col("text"), claims), lambda x: F.when(x == "tion", " tion ").otherwise(x)), ",").alias("hits"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
 
 
 @query()
 def forbidden_claims_all(spark, d):
-    """T10, over every text, denials and null texts and sources included; no SQL, as DuckDB knows less white space."""
+    """T10 with a sensitive claim, whose kinds of disclosure follow."""
     claims = F.array(F.lit("the"), F.lit(" tion "), F.lit("카드번호"), F.col("source"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
 
