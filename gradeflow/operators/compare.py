@@ -16,10 +16,57 @@ def compared(base: DataFrame, other: DataFrame, floor: float = 1.0) -> DataFrame
     return out.withColumns({"gap": F.abs("delta"), "relative": F.abs("delta") / F.greatest(F.abs("base_score"), F.lit(floor)) * 100})
 
 
-def summary(pairs: DataFrame) -> DataFrame:
+def summary(pairs: DataFrame, approximate: bool = False) -> DataFrame:
     """Means, exact quantiles by linear interpolation, signs."""
-    q = lambda p: F.percentile("gap", p)
-    return pairs.agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.avg("gap").alias("mean_gap"), q(0.5).alias("median_gap"), q(0.9).alias("p90_gap"), q(0.95).alias("p95_gap"), F.count_if(F.col("delta") > 0).alias("up"), F.count_if(F.col("delta") < 0).alias("down"), F.count_if(F.col("base_pass") != F.col("other_pass")).alias("pass_changed"))
+    # one buffer of distinct gaps for all three; pass approximate=True where gaps are too many for it
+    return _quantiles(pairs.agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.avg("gap").alias("mean_gap"), (F.percentile_approx if approximate else F.percentile)("gap", [0.5, 0.9, 0.95]).alias("_q"), F.count_if(F.col("delta") > 0).alias("up"), F.count_if(F.col("delta") < 0).alias("down"), F.count_if(F.col("base_pass") != F.col("other_pass")).alias("pass_changed")))
+
+
+def _quantiles(df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.get("_q", F.lit(k)) for k, n in enumerate(("median_gap", "p90_gap", "p95_gap"))}).drop("_q")
+
+
+def marked(base: DataFrame, other: DataFrame, *, mode: str = "points", threshold: float = 0.3, error_types: bool = True, arbiter: DataFrame | None = None, floor: float = 1.0) -> DataFrame:
+    """Pairs with whether they differ in gap (points or ``relative_percent``), passing and error type, and what an arbiter said."""
+    extra = lambda df, p: df.select(*KEY, F.col("error_type").alias(f"{p}_error"))
+    out = compared(base, other, floor).join(extra(base, "base"), KEY).join(extra(other, "other"), KEY)
+    out = out.withColumn("selected_gap", F.col("relative") if mode == "relative_percent" else F.col("gap"))
+    out = out.withColumns({"gap_met": F.col("selected_gap") >= threshold, "pass_mismatch": F.col("base_pass") != F.col("other_pass"), "error_mismatch": F.col("base_error") != F.col("other_error")})
+    out = out.withColumn("conflict", F.col("gap_met") | F.col("pass_mismatch") | (F.col("error_mismatch") if error_types else F.lit(False)))
+    if arbiter is None:
+        return out.withColumns({"arbiter_score": F.lit(None).cast("double"), "arbiter_pass": F.lit(None).cast("boolean")})
+    return out.join(arbiter.select(*KEY, F.col("overall").alias("arbiter_score"), F.col("pass").alias("arbiter_pass")), KEY, "left")
+
+
+def report(pairs: DataFrame, base: DataFrame, other: DataFrame) -> DataFrame:
+    """One row about a comparison: rows of each side, matched and missing; scores, gaps and their quantiles; mismatches, conflicts, what the arbiter settled, final scores.
+
+    The final score of an answer is the mean of both where they agree, the arbiter's where they don't and it spoke.
+    """
+    agreed = ~F.col("conflict")
+    settled = F.col("conflict") & F.col("arbiter_score").isNotNull()
+    final = F.when(agreed, (F.col("base_score") + F.col("other_score")) / 2).when(settled, F.col("arbiter_score"))
+    passed = F.when(agreed, F.col("base_pass")).when(settled, F.col("arbiter_pass"))
+    many = {"candidate_higher": F.col("delta") > 0, "baseline_higher": F.col("delta") < 0, "same_score": F.col("delta") == 0, "gap_met": F.col("gap_met"), "pass_mismatch": F.col("pass_mismatch"), "error_mismatch": F.col("error_mismatch"), "conflict": F.col("conflict"), "arbiter_settled": settled, "arbiter_missing": F.col("conflict") & ~settled, "final_complete": final.isNotNull(), "final_pass": F.coalesce(passed, F.lit(False)), "baseline_pass": F.col("base_pass"), "candidate_pass": F.col("other_pass")}
+    means = {"baseline_avg": F.col("base_score"), "candidate_avg": F.col("other_score"), "avg_delta": F.col("delta"), "avg_gap": F.col("gap"), "avg_selected_gap": F.col("selected_gap"), "final_avg": final}
+    out = pairs.agg(F.count("*").alias("matched_rows"), *[F.count_if(c).alias(f"{n}_rows") for n, c in many.items()], *[F.avg(c).alias(n) for n, c in means.items()], F.percentile("gap", [0.5, 0.9, 0.95]).alias("_q"), F.percentile("selected_gap", 0.9).alias("p90_selected_gap"))
+    sides = {"baseline_source_rows": base.agg(F.count("*").alias("n")), "candidate_source_rows": other.agg(F.count("*").alias("n")), "missing_candidate_rows": base.join(other, KEY, "left_anti").agg(F.count("*").alias("n")), "missing_baseline_rows": other.join(base, KEY, "left_anti").agg(F.count("*").alias("n"))}
+    out = _quantiles(out)
+    for name, one in sides.items():  # single rows
+        out = out.crossJoin(one.select(F.col("n").alias(name)))
+    return out
+
+
+def by_dimension(pairs: DataFrame, column: str) -> DataFrame:
+    """Comparison by model, category or topic, the largest mean change first."""
+    out = pairs.groupBy(F.coalesce(F.col(column), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.avg("gap").alias("mean_gap"))
+    return out.orderBy(F.desc(F.abs("mean_delta")), "value")
+
+
+def band_rates(counts: DataFrame) -> DataFrame:
+    """Bands with their share of all gaps (A18); a row for each band."""
+    total = counts.agg(F.sum("n").alias("_t"))
+    return counts.crossJoin(total).withColumn("rate", F.coalesce(F.try_divide(F.col("n"), F.col("_t")), F.lit(0.0))).drop("_t")
 
 
 def bands(pairs: DataFrame, edges: tuple = EDGES) -> DataFrame:

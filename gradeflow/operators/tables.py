@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.functions.columns import METRICS
@@ -25,8 +25,10 @@ def model_summary(scores: DataFrame, review: Column) -> DataFrame:
 
 def regressions(scores: DataFrame, baseline: str, delta: float = 5.0) -> DataFrame:
     """Every other model's cases against the baseline's."""
-    base = scores.where(F.col("config_id") == baseline).select("case_id", F.col("pass").alias("baseline_pass"), F.col("overall").alias("baseline_score"))
-    out = scores.where(F.col("config_id") != baseline).join(base, "case_id").withColumn("score_delta", F.col("overall") - F.col("baseline_score"))
+    # the baseline's row of a case through a window, so that the scores are derived once
+    first = F.max(F.when(F.col("config_id") == baseline, F.struct(F.col("overall").alias("o"), F.col("pass").alias("p")))).over(Window.partitionBy("case_id"))
+    out = scores.withColumn("_b", first).where(F.col("_b").isNotNull() & (F.col("config_id") != baseline))
+    out = out.withColumns({"baseline_pass": F.col("_b")["p"], "baseline_score": F.col("_b")["o"]}).drop("_b").withColumn("score_delta", F.col("overall") - F.col("baseline_score"))
     kind = F.when(F.col("baseline_pass") & ~F.col("pass"), "new_failure").when(~F.col("baseline_pass") & F.col("pass"), "fixed_failure").when(~F.col("baseline_pass"), "persistent_failure").when(F.col("score_delta") <= -delta, "score_drop").when(F.col("score_delta") >= delta, "score_gain").otherwise("stable")
     return out.withColumn("regression_type", kind)
 

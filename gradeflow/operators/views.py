@@ -30,6 +30,12 @@ def profile(df: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
     return pairs.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def profile_flags(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """(flag, n): the total and how many rows each flag holds for (A22), in one pass."""
+    out = df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    return out.select(F.explode(F.array(*[F.struct(F.lit(n).alias("flag"), F.col(n).alias("n")) for n in ("total", *flags)])).alias("e")).select("e.*")
+
+
 def failing(threshold: float = 0.6) -> Column:
     """Whether a row failed or lies below the threshold."""
     return ~F.col("pass") | (F.col("overall") < threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeflow.operators import disclosure, judges, tables, views
@@ -18,9 +19,9 @@ def rows(spark, d):
     s = _s(spark, d)
     first = _v(spark, d).where("judge_id = 'j0'").select("config_id", "case_id", "error_type")
     out = s.join(first, ["config_id", "case_id"]).join(fx.cases(spark, d).select("case_id", "severity", "qa_topic", "question_type"), "case_id")
-    base = s.where("config_id = 'm0'").select("case_id", F.col("overall").alias("_base"))
     gate = F.when(F.col("agreement_status") == "review_needed", "review").when(F.col("pass"), "pass").when(F.col("severity") == "critical", "block").otherwise("review")
-    return out.join(base, "case_id").withColumns({"release_gate": gate, "score_delta": F.col("overall") - F.col("_base")}).select("config_id", "case_id", "acc", "overall", "pass", "error_type", "release_gate", "qa_topic", "question_type", "score_delta")
+    base = F.max(F.when(F.col("config_id") == "m0", F.col("overall"))).over(Window.partitionBy("case_id"))
+    return out.withColumn("_base", base).where("_base is not null").withColumns({"release_gate": gate, "score_delta": F.col("overall") - F.col("_base")}).select("config_id", "case_id", "acc", "overall", "pass", "error_type", "release_gate", "qa_topic", "question_type", "score_delta")
 
 
 def _mode(mode: str, test: str) -> None:

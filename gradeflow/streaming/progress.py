@@ -14,23 +14,32 @@ def progress(verdicts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataF
     return verdicts.withWatermark(ts, late).dropDuplicatesWithinWatermark(["config_id", "case_id"]).groupBy("config_id").agg(F.count("*").alias("done"))
 
 
-def incremental(verdicts: DataFrame, path: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def incremental(verdicts: DataFrame, path: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame], buckets: int = 256) -> StreamingQuery:
     """Keep verdicts as they come and a consensus of the touched answers for each batch.
 
-    Each batch appends its verdicts, then computes ``summarise`` over all verdicts of the answers it
-    touched into a folder of the batch; a batch that runs again overwrites its own folders.
+    Verdicts are kept by batch and by a bucket of their answer's hash. A batch adds its own, then
+    computes ``summarise`` over all verdicts of the answers it touched, for which it reads their buckets
+    only, into a folder of the batch; a batch that runs again overwrites its own folders.
     """
+    key = ["config_id", "case_id"]
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
-        held = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{path}/verdicts/batch={n}" for n in range(number + 1)])
-        touched = batch.select("config_id", "case_id").distinct()
-        summarise(held.join(touched, ["config_id", "case_id"], "left_semi")).write.mode("overwrite").parquet(f"{path}/consensus/batch={number}")
+        spark = batch.sparkSession
+        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        marked.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/verdicts/batch={number}")
+        own = spark.read.parquet(f"{path}/verdicts/batch={number}") if not marked.isEmpty() else None
+        if own is None:
+            return
+        touched = [r[0] for r in own.select("bucket").distinct().collect()]  # so many numbers as there are buckets at most
+        kind = batch.schema.add("batch", "int").add("bucket", "int")
+        held = spark.read.schema(kind).parquet(f"{path}/verdicts").where(F.col("bucket").isin(touched) & (F.col("batch") <= number)).drop("batch", "bucket")
+        answers = own.select(*key).distinct()
+        summarise(held.join(answers, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/consensus/batch={number}")
 
     return verdicts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
 
 
-#: Marks of a run log: an event, its model, and how many of how many it has done.
+#: Fixed value: marks of a run log: an event, its model, and how many of how many it has done.
 _EVENT = r"^(?:DRY\s+)?(ANSWER_DONE|JUDGE_DONE|JUDGE_START)\s+\[([^\]]+)\]\s+(\d+)/(\d+)\s+(\S+)"
 
 
