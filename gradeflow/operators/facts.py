@@ -53,6 +53,50 @@ def cache_key(*parts: Column) -> Column:
     return content_hash(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
+def fingerprint(**parts: Column) -> Column:
+    """The hash of named parts as canonical JSON: names sorted, absent values as null (P45). Parts may be lists and structs."""
+    whole = F.struct(*[parts[n].alias(n) for n in sorted(parts)])
+    return content_hash(F.to_json(whole, {"ignoreNullFields": "false"}))
+
+
+def output_fingerprint(config_id: Column, case_id: Column, question: Column, prompt: Column) -> Column:
+    """What determines an answer: model, case, question and prompt."""
+    return fingerprint(config_id=config_id, case_id=case_id, question=question, prompt=prompt)
+
+
+def answer_cache_key(provider: Column, model: Column, prompt: Column, question: Column) -> Column:
+    """What determines an answer whatever the run: provider, model, prompt and question."""
+    return fingerprint(provider=provider, model=model, prompt=prompt, question=question)
+
+
+def judge_cache_key(judge_id: Column, prompt_hash: Column, output_hash: Column, answer: Column) -> Column:
+    """What determines a verdict: judge, prompt and the answer that is judged."""
+    return fingerprint(judge_id=judge_id, prompt_hash=prompt_hash, output_fingerprint=output_hash, answer=answer)
+
+
+def score_fingerprint(output_hash: Column, mode: Column, weight: Column, threshold: Column, judges: Column) -> Column:
+    """What determines a score: the answer, how it is scored, and by which judges, in any order."""
+    return fingerprint(output_fingerprint=output_hash, mode=mode, weight=weight, threshold=threshold, judges=F.array_sort(judges))
+
+
+def wide_cases(fact: DataFrame, most: int = 700) -> DataFrame:
+    """The wide question-case table from a joined fact (P24): identity, labels, lifecycle, answer and excerpt, static, judge and final scores, regression and gate, whichever the fact has."""
+    names = ("case_id", "config_id", "qa_category", "question_type", "qa_topic", "question", "gold_answer", "source_title", "source_url", "expected_behavior", "suite", "severity", "priority", "task_type", "dataset_pool_id", "dataset_role", "dataset_version", "source_hash", "case_source", "benchmark_group", "case_status", "gold_verified", "gate_eligible", "release_gate_eligible", "human_review_required", "provider", "model", "status", "latency_ms", "model_answer", "acc", "com", "nac", "hal_pass", "applicable_metrics", "overall", "pass", "critical_fail", "error_type", "reason", "static_overall", "static_pass", "judge_overall", "judge_pass", "judge_status", "judges", "judge_ids", "conflict", "unresolved", "overall_gap", "pass_mismatch", "agreement_status", "baseline_score", "score_delta", "regression_type", "release_gate")
+    kept = [F.col(n) for n in names if n in fact.columns]
+    if "model_answer" in fact.columns:
+        kept.append(excerpt(F.col("model_answer"), most).alias("answer_excerpt"))
+    if "hal_pass" in fact.columns:
+        kept.append((1 - F.col("hal_pass")).alias("hal_rate"))
+    return fact.select(*kept, F.when(F.col("pass"), "Pass").otherwise("Fail").alias("pass_fail"))
+
+
+def with_fingerprints(rows: DataFrame, known: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows with the fingerprints of their answers (J15); one without any fails, or drops out if not ``strict``."""
+    if strict and (lost := rows.join(known, KEY, "left_anti").select(*KEY).limit(5).collect()):
+        raise ValueError(f"no fingerprint for {[tuple(r) for r in lost]}")
+    return rows.join(known.select(*KEY, "output_fingerprint").distinct(), KEY)
+
+
 def reusable(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Wanted answers found in the cache under their key (J7, J8); only good, non-blank ones count.
 

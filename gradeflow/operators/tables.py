@@ -23,6 +23,11 @@ def model_summary(scores: DataFrame, review: Column) -> DataFrame:
     return marked.groupBy("config_id").agg(F.count("*").alias("total_questions"), F.when(scored > 0, scored).otherwise(F.count("*")).alias("scored_questions"), F.count_if(F.col("_review")).alias("review_pending_count"), F.avg(won).alias("pass_rate"), F.avg("overall").alias("overall_score"), only(won).alias("scored_pass_rate"), only(F.col("overall")).alias("scored_average"), *[F.avg(m).alias(m) for m in METRICS])
 
 
+def latency_means(outputs: DataFrame) -> DataFrame:
+    """Mean latency of each model's good answers; null without any (A1)."""
+    return outputs.groupBy("config_id").agg(F.avg(F.when(F.col("status") == "ok", F.col("latency_ms"))).alias("avg_latency_ms"), F.count_if(F.col("status") == "ok").alias("ok_answers"))
+
+
 def regressions(scores: DataFrame, baseline: str, delta: float = 5.0) -> DataFrame:
     """Every other model's cases against the baseline's."""
     # the baseline's row of a case through a window, so that the scores are derived once

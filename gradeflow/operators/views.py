@@ -154,6 +154,27 @@ def done_counts(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.groupBy("config_id").agg(F.count_distinct("case_id").alias("done")).crossJoin(total).withColumn("percent", F.try_divide(F.col("done") * 100.0, F.col("total")))
 
 
+def id_faults(rows: DataFrame, key: str) -> DataFrame:
+    """(fault, id, n): ids that occur more than once, and how many rows have a blank id."""
+    known = F.coalesce(F.trim(F.col(key).cast("string")), F.lit(""))
+    counts = rows.groupBy(known.alias("id")).agg(F.count("*").alias("n"))
+    return counts.where("id = '' or n > 1").select(F.when(F.col("id") == "", "blank").otherwise("duplicate").alias("fault"), "id", "n")
+
+
+def run_list(models: DataFrame) -> DataFrame:
+    """A row for each run from the rows of its models: mean of their scores, largest total, mean of rates, worst gate, newest first."""
+    worst = F.min_by("release_gate", F.struct(gate_rank(F.col("release_gate")), "release_gate"))
+    out = models.groupBy("run_id").agg(F.count("*").alias("models"), F.max("n").alias("total"), F.avg("average").alias("average"), F.avg("pass_rate").alias("pass_rate"), worst.alias("worst_gate"), F.max("started_at").alias("started_at"))
+    return out.orderBy(F.desc("started_at"), "run_id")
+
+
+def weakest_cells(rows: DataFrame, dims: tuple[str, str, str], least: int = 5, most: int = 30) -> DataFrame:
+    """Cells of three dimensions by their mean score, the weakest first, with whether they hold enough cases to say so."""
+    known = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in dims})
+    cells = known.groupBy(*dims).agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"), F.avg("overall").alias("average"), F.avg(F.col("pass").cast("int")).alias("pass_rate"))
+    return cells.withColumn("reliability", F.when(F.col("cases") >= least, "reliable").otherwise("low_sample")).orderBy("average", *dims).limit(most)
+
+
 def repeated_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each id with how often the id occurs; blank ids have no row."""
     known = rows.where(F.trim(F.col(key).cast("string")) != "")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeflow import api
-from gradeflow.operators import compare, requests, views
+from gradeflow.operators import compare, facts, merge, requests, review, tables, textsim, views
 from gradeflow.plans import fixtures as fx
-from gradeflow.plans.queries import _CASES, _NORMAL, _PAIRS, WS, _pairs, _v, query, rounded
+from gradeflow.plans.merge_queries import _RUNS, runs
+from gradeflow.plans.queries import _CASES, _CONSENSUS, _NORMAL, _PAIRS, SQL, WS, _pairs, _s, _v, query, rounded
+from gradeflow.plans.view_queries import _ROWS, rows
 
 _TURNS = "SELECT conv_id AS case_id, turn, role, text FROM conversations"
 
@@ -115,3 +117,93 @@ def dataset_flags(spark, d):
     i = F.col("case_id")
     flags = {"tools": i % 3 == 0, "final_answer": F.col("n_chars") > 0, "format": i % 5 == 0, "active_gold": F.col("active") & F.col("gold_verified"), "eligible": F.col("gate_eligible"), "gold": F.col("gold_verified"), "review": ~F.col("active") | ~F.col("gold_verified")}
     return views.profile_flags(fx.cases(spark, d), flags)
+
+
+@query("SELECT CASE WHEN id = '' THEN 'blank' ELSE 'duplicate' END AS fault, id, n FROM (SELECT CASE WHEN o_custkey % 10 = 0 THEN '' ELSE '' || o_custkey END AS id, count(*) AS n FROM orders GROUP BY 1) WHERE id = '' OR n > 1")
+def prediction_id_faults(spark, d):
+    """Orders stand for predictions, customers for scenarios."""
+    return views.id_faults(fx.frame(spark, d, "SELECT CASE WHEN o_custkey % 10 = 0 THEN ' ' ELSE '' || o_custkey END AS id FROM orders"), "id")
+
+
+@query(f"WITH {_ROWS}, m AS (SELECT case_id % 5 AS run_id, config_id, count(*) AS n, avg(overall) AS average, avg(pass::INT) AS pass_rate, CASE WHEN bool_or(release_gate = 'block') THEN 0 WHEN bool_or(release_gate = 'review') THEN 1 ELSE 2 END AS g FROM w GROUP BY 1, 2) SELECT run_id, count(*) AS models, max(n) AS total, round(avg(average), 6) AS average, round(avg(pass_rate), 6) AS pass_rate, ['block', 'review', 'pass'][min(g) + 1] AS worst_gate, run_id * 2 AS started_at FROM m GROUP BY 1")
+def run_list(spark, d):
+    """Fifths of the cases stand for runs."""
+    r = rows(spark, d)
+    gate = F.min_by("release_gate", F.struct(views.gate_rank(F.col("release_gate")), "release_gate"))
+    per = r.groupBy((F.col("case_id") % 5).alias("run_id"), "config_id").agg(F.count("*").alias("n"), F.avg("overall").alias("average"), F.avg(F.col("pass").cast("int")).alias("pass_rate"), gate.alias("release_gate"))
+    return rounded(views.run_list(per.withColumn("started_at", F.col("run_id") * 2)), "average", "pass_rate")
+
+
+@query(f"WITH {_ROWS}, cl AS (SELECT qa_topic, coalesce(question_type, 'unknown') AS question_type, config_id, count(*) AS n, count(DISTINCT case_id) AS cases, round(avg(overall), 6) AS average, round(avg(pass::INT), 6) AS pass_rate FROM w GROUP BY 1, 2, 3) SELECT *, CASE WHEN cases >= 5 THEN 'reliable' ELSE 'low_sample' END AS reliability FROM cl")
+def benchmark_cells(spark, d):
+    """All cells of three dimensions, weakest first."""
+    return rounded(views.weakest_cells(rows(spark, d), ("qa_topic", "question_type", "config_id"), most=100_000), "average", "pass_rate")
+
+
+@query("WITH " + SQL["slice_scores"].removeprefix("WITH ").replace("SELECT config_id, concat_ws(' x '", "SELECT config_id, 3 - ga - gb - gc AS level, concat_ws(' x '"))
+def slices_in_order(spark, d):
+    """K10, A4, A12."""
+    return rounded(review.slices_in_order(tables.slices(_s(spark, d), fx.cases(spark, d))), "overall", "pass_rate").select("config_id", "level", "dimension", "value", "case_count", "row_count", "overall", "pass_rate", "reliability")
+
+
+@query(SQL["release_gates"].replace("ELSE 'pass' END AS release_gate FROM r", "ELSE 'pass' END AS release_gate, CASE WHEN gate_eligible_cases = 0 THEN 'no gate-eligible cases' WHEN block_count > 0 AND coalesce(core < 0.5, false) THEN 'block_cases=' || block_count || '; core_pass_rate below minimum' WHEN block_count > 0 THEN 'block_cases=' || block_count WHEN coalesce(core < 0.5, false) THEN 'core_pass_rate below minimum' WHEN review_count > 0 THEN 'review_cases=' || review_count ELSE 'all case gates passed' END AS reason FROM r"))
+def release_gates_reasoned(spark, d):
+    """The gate table, worst gate first, with reasons."""
+    scores = _s(spark, d).withColumn("error_type", F.lit("normal"))
+    out = tables.release_gates(scores, fx.cases(spark, d), F.col("qa_topic") == "long", 0.5, F.col("agreement_status") == "review_needed")
+    return rounded(review.gates_in_order(out), "core_pass_rate")
+
+
+@query(f"WITH a AS ({fx.ANSWERS_SQL}), s AS (SELECT lang AS config_id, status, n_chars::DOUBLE AS latency FROM a) SELECT config_id, round(avg(latency) FILTER (WHERE status = 'ok'), 6) AS avg_latency_ms, count(*) FILTER (WHERE status = 'ok') AS ok_answers FROM s GROUP BY 1")
+def latency_by_model(spark, d):
+    """A1: languages stand for models, lengths for latencies."""
+    out = fx.answers(spark, d).select(F.col("lang").alias("config_id"), "status", F.col("n_chars").cast("double").alias("latency_ms"))
+    return rounded(tables.latency_means(out), "avg_latency_ms")
+
+
+@query("""WITH o AS (SELECT doc_id, text, source, lang, substr(sha256('{"case_id":' || doc_id || ',"config_id":"m1","prompt":null,"question":' || coalesce(to_json(lang)::VARCHAR, 'null') || '}'), 1, 24) AS output_fingerprint FROM documents)
+SELECT doc_id, output_fingerprint, substr(sha256('{"model":"big","prompt":"p","provider":' || coalesce(to_json(source)::VARCHAR, 'null') || ',"question":' || coalesce(to_json(lang)::VARCHAR, 'null') || '}'), 1, 24) AS answer_cache_key,
+  substr(sha256('{"answer":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',"judge_id":"j0","output_fingerprint":"' || output_fingerprint || '","prompt_hash":"h"}'), 1, 24) AS judge_cache_key,
+  substr(sha256('{"judges":["j0","j1"],"mode":"blend","output_fingerprint":"' || output_fingerprint || '","threshold":0.6,"weight":0.5}'), 1, 24) AS score_fingerprint FROM o""")
+def fingerprints(spark, d):
+    """All four."""
+    lit = F.lit
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("output_fingerprint", facts.output_fingerprint(lit("m1"), F.col("doc_id"), F.col("lang"), lit(None).cast("string")))
+    keys = {"answer_cache_key": facts.answer_cache_key(F.col("source"), lit("big"), lit("p"), F.col("lang")), "judge_cache_key": facts.judge_cache_key(lit("j0"), lit("h"), F.col("output_fingerprint"), F.col("lang")), "score_fingerprint": facts.score_fingerprint(F.col("output_fingerprint"), lit("blend"), lit(0.5), lit(0.6), F.array(lit("j1"), lit("j0")))}
+    return docs.withColumns(keys).select("doc_id", "output_fingerprint", *keys)
+
+
+@query(f"SELECT config_id, case_id, judge_id, run FROM ({_RUNS}) WHERE lower(status) IN ('ok', 'refused_by_provider_policy') AND judge_id <> 'j2'")
+def resumable_verdicts(spark, d):
+    """finished rows of judges whose prompt is still the one wanted."""
+    held = runs(spark, d).withColumn("prompt_hash", F.when(F.col("judge_id") == "j2", "old").otherwise("new"))
+    wanted = fx.frame(spark, d, f"SELECT DISTINCT judge_id, 'new' AS prompt_hash FROM ({fx.VERDICTS_SQL})")
+    return merge.resumable(held, wanted).select("config_id", "case_id", "judge_id", "run")
+
+
+@query(f"WITH {_CONSENSUS}, {_CASES} SELECT s.config_id, s.case_id, k.qa_category, k.qa_topic, k.gold_verified, s.critical_fail, round(s.overall, 6) AS overall, CASE WHEN s.pass THEN 'Pass' ELSE 'Fail' END AS pass_fail, round(1 - s.hal_pass, 6) AS hal_rate, k.n_chars AS size, substr(trim(regexp_replace(d.text, '{WS}', ' ', 'g')), 1, 700) AS answer_excerpt FROM s JOIN k USING (case_id) JOIN documents d ON d.doc_id = s.case_id")
+def wide_question_cases(spark, d):
+    """P24, J3."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("case_id"), F.col("text").alias("model_answer"))
+    fact = _s(spark, d).join(fx.cases(spark, d), "case_id").join(docs, "case_id")
+    out = facts.wide_cases(fact).join(fx.cases(spark, d).select("case_id", F.col("n_chars").alias("size")), "case_id")
+    return rounded(out.select("config_id", "case_id", "qa_category", "qa_topic", "gold_verified", "critical_fail", "overall", "pass_fail", "hal_rate", "size", "answer_excerpt"), "overall", "hal_rate")
+
+
+@query(f"WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id, t, [trim(x) FOR x IN regexp_split_to_array(t, '[\\n\\r.!?。！？;；]+') IF trim(x) <> ''] AS p FROM s) SELECT doc_id, CASE WHEN len(p) > 0 THEN len(p) WHEN t <> '' THEN 1 ELSE 0 END AS sentences, coalesce(nullif(p[1], ''), t) AS first, len(list_distinct([x FOR x IN string_split(t, ' ') IF x <> ''])) AS tokens, upper(substr(sha1(t), 1, 12)) AS sha FROM p")
+def sentences_and_tokens(spark, d):
+    """2.8: sentence split, token set, sha1, over every whole text."""
+    from gradeflow.functions.columns import squeezed
+
+    t = squeezed(F.coalesce("text", F.lit("")))
+    parts = textsim.sentences(F.col("text"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("t", t)
+    return docs.select("doc_id", F.size(F.coalesce(parts, F.array().cast("array<string>"))).alias("sentences"), F.coalesce(F.get(parts, F.lit(0)), "t").alias("first"), F.size(textsim.tokens(F.col("t"))).alias("tokens"), F.upper(F.substring(F.sha1("t"), 1, 12)).alias("sha"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS version, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS seoul_day FROM events")
+def event_times(spark, d):
+    """2.8: times as version text, and the day in Seoul."""
+    # plain times without a zone, so the session's zone plays no part
+    day = F.date_format(F.expr("ts + INTERVAL 9 HOURS"), "yyyy-MM-dd")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("version"), day.alias("seoul_day"))
