@@ -253,8 +253,8 @@ def grams_sql(pairs: str, keys: str) -> str:
     """CTEs of n-gram counts of the compact texts t of (keys, side, t) in the table ``pairs``, for n = 2, 3, 4."""
     return f"""ch AS (SELECT {keys}, side, length(t) AS size, t, unnest(string_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM {pairs} WHERE t <> ''),
 ld AS (SELECT {keys}, side, size, t, i, c || lead(c, 1) OVER w AS g2, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS g3, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w AS g4 FROM ch WINDOW w AS (PARTITION BY {keys}, side ORDER BY i)),
-gr AS (SELECT {keys}, side, n, CASE WHEN size < n THEN t WHEN n = 2 THEN g2 WHEN n = 3 THEN g3 ELSE g4 END AS g FROM ld, (VALUES (2), (3), (4)) AS sizes(n) WHERE size >= n OR i = 1),
-gc AS (SELECT {keys}, side, n, g, count(*) AS m FROM gr WHERE g IS NOT NULL GROUP BY ALL)"""
+gr AS (SELECT {keys}, side, n, CASE WHEN size < n THEN t WHEN n = 2 THEN g2 WHEN n = 3 THEN g3 ELSE g4 END AS gram FROM ld, (VALUES (2), (3), (4)) AS sizes(n) WHERE size >= n OR i = 1),
+gc AS (SELECT {keys}, side, n, hash(gram) AS g, count(*) AS m FROM gr WHERE gram IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"""WITH p AS (SELECT a.doc_id AS key, lower(regexp_replace(coalesce(a.text, ''), '{WS}', '', 'g')) AS l, lower(regexp_replace(coalesce(b.text, ''), '{WS}', '', 'g')) AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),

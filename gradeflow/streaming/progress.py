@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def progress(verdicts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -31,7 +32,7 @@ def incremental(verdicts: DataFrame, path: str, checkpoint: str, summarise: Call
         if own is None:
             return
         touched = [r[0] for r in own.select("bucket").distinct().collect()]  # so many numbers as there are buckets at most
-        kind = batch.schema.add("batch", "int").add("bucket", "int")
+        kind = StructType([*batch.schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
         held = spark.read.schema(kind).parquet(f"{path}/verdicts").where(F.col("bucket").isin(touched) & (F.col("batch") <= number)).drop("batch", "bucket")
         answers = own.select(*key).distinct()
         summarise(held.join(answers, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/consensus/batch={number}")
