@@ -64,12 +64,12 @@ def _compact(c: Column) -> Column:
 def error_type(c: Column) -> Column:
     """One of ``ERROR_TYPES``; blank is normal, unknown text a partial inaccuracy (P13). Other names count in their compact form too."""
     t = squeezed(F.coalesce(c, F.lit("")))
-    out, k = F.when(t == "", "normal"), _compact(t)
-    for name, others in OTHER_NAMES.items():
-        out = out.when(t.isin(*others), name)
-    for name, others in OTHER_NAMES.items():
-        out = out.when(k.isin(*others), name)
-    return out.when(k.isin(*ERROR_TYPES), k).otherwise("partial_inaccuracy")
+    # constant maps, so that the expression stays small wherever it is inlined
+    by_name = {n: target for target, others in OTHER_NAMES.items() for n in others}
+    held = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    by_form = {n: n for n in ERROR_TYPES} | by_name
+    named = F.coalesce(F.try_element_at(held(by_name), t), F.try_element_at(held(by_form), _compact(t)), F.lit("partial_inaccuracy"))
+    return F.when(t == "", "normal").otherwise(named)
 
 
 def is_error_type(text: object) -> bool:

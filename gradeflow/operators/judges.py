@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeflow.functions.columns import CONFLICT_GAP, METRICS, applicable_mean, error_type, passes, raw_metrics
+from gradeflow.functions.columns import CONFLICT_GAP, ERROR_TYPES, METRICS, applicable_mean, error_type, passes, raw_metrics
 
 KEY = ("config_id", "case_id")
 
@@ -76,8 +76,11 @@ def consensus(v: DataFrame) -> DataFrame:
 
 def conflicts(v: DataFrame) -> DataFrame:
     """Whether judges disagree on an answer: on passing, by a gap of 0.3, or on the error."""
-    errors = F.array_sort(F.collect_set(F.when(F.col("error_type") != "normal", F.col("error_type"))))
-    out = v.groupBy(*KEY).agg(F.count("*").alias("judges"), (F.bool_or("pass") & F.bool_or(~F.col("pass"))).alias("pass_conflict"), (F.max("overall") - F.min("overall")).alias("gap"), errors.alias("errors"))
+    # a flag for each known error type keeps to a hash aggregate; sets would be sorted
+    kinds = sorted(t for t in ERROR_TYPES if t != "normal")
+    flags = [F.bool_or(F.col("error_type") == t).alias(f"_{t}") for t in kinds]
+    out = v.groupBy(*KEY).agg(*flags, F.count("*").alias("judges"), (F.bool_or("pass") & F.bool_or(~F.col("pass"))).alias("pass_conflict"), (F.max("overall") - F.min("overall")).alias("gap"))
+    out = out.withColumn("errors", F.array_compact(F.array(*[F.when(F.col(f"_{t}"), t) for t in kinds]))).drop(*[f"_{t}" for t in kinds])
     several = F.col("judges") > 1
     reason = F.concat_ws("; ", F.when(F.col("pass_conflict"), "judge pass/fail disagreement"), F.when(F.col("gap") >= CONFLICT_GAP, F.format_string("judge score gap %.3f", "gap")), F.when(F.size("errors") > 1, F.concat(F.lit("judge error-type disagreement: "), F.array_join("errors", ", "))))
     return out.withColumn("reason", F.when(several, reason).otherwise("")).withColumn("conflict", F.col("reason") != "")

@@ -267,4 +267,6 @@ def answer_gram_cosine(spark, d):
     """Each document against the next one."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     pairs = docs.alias("a").join(docs.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).selectExpr("a.doc_id as key", "a.text as reference", "b.text as answer")
+    # the work is in the texts, so rows are dealt to all tasks whatever the files' sizes
+    pairs = pairs.repartition(spark.sparkContext.defaultParallelism)
     return pairs.select("key", F.round(textsim.gram_cosine(F.col("reference"), F.col("answer")), 9).alias("cosine"))

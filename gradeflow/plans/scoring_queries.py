@@ -116,14 +116,16 @@ s AS (SELECT p.case_id, CASE WHEN r = '' OR a = '' THEN 0 WHEN contains(lower(re
 SELECT s.case_id, round_even(100 * coalesce(o, 0), 2) AS overlap, round_even(100 * x, 2) AS similarity FROM s LEFT JOIN ov ON ov.case_id = s.case_id AND ov.k = 0""")
 def answer_similarity(spark, d):
     """Each whole document against a passage of the benchmark."""
-    out = textsim.with_similarities(fx.answers(spark, d).select("case_id", "model_answer", F.array("gold_answer").alias("wanted")), "model_answer", "wanted", "s")
+    pairs = fx.answers(spark, d).select("case_id", "model_answer", F.array("gold_answer").alias("wanted"))
+    # the work is in the texts, so rows are dealt to all tasks whatever the files' sizes
+    out = textsim.with_similarities(pairs.repartition(spark.sparkContext.defaultParallelism), "model_answer", "wanted", "s")
     return out.select("case_id", *[F.get("s", F.lit(0))[c].alias(c) for c in ("overlap", "similarity")])
 
 
 @query()
 def answers_scored(spark, d):
     """T13 with T4-T12 and P49, over every document as an answer."""
-    out = scoring.scored(fx.answers(spark, d))
+    out = scoring.scored(fx.answers(spark, d).repartition(spark.sparkContext.defaultParallelism))
     return out.select("case_id", "acc", "com", "nac", "hal_pass", "overall_score", "pass", "critical_fail", "error_type", "reason", "correctness", "completeness", "retrieval_precision", "numeric_accuracy", "format_compliance", "hallucination_control", "required_score")
 
 
