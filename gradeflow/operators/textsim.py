@@ -35,12 +35,6 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
 
 
-def token_overlap(reference: Column, answer: Column) -> Column:
-    """Share of the reference's tokens of more than one character that the answer has; 0 without any."""
-    r = F.filter(tokens(F.coalesce(reference, F.lit(""))), lambda t: F.length(t) > 1)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(r, tokens(F.coalesce(answer, F.lit(""))))), F.size(r)), F.lit(0.0))
-
-
 def sentences(c: Column) -> Column:
     """The parts of a text between sentence ends; the whole text where it has none."""
     parts = F.filter(F.transform(F.split(squeezed(c), f"[{re.escape(SENTENCE_ENDS)}]+"), lambda x: F.trim(x)), lambda x: x != "")
