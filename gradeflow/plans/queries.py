@@ -136,10 +136,11 @@ def release_gates(spark, d):
 @query(f"""WITH {_CONSENSUS}, {_CASES}, j AS (SELECT s.config_id, s.case_id, s.overall, s.pass, qa_category, question_type, qa_topic FROM s JOIN k USING (case_id)),
 x AS (SELECT config_id, qa_category a, question_type b, qa_topic c, grouping(qa_category) ga, grouping(question_type) gb, grouping(qa_topic) gc, count(DISTINCT case_id) AS case_count, count(*) AS row_count, avg(overall) AS o, avg(pass::INT) AS pr FROM j
 GROUP BY GROUPING SETS ((config_id, qa_category), (config_id, question_type), (config_id, qa_topic), (config_id, qa_category, question_type), (config_id, qa_category, qa_topic), (config_id, question_type, qa_topic), (config_id, qa_category, question_type, qa_topic)))
-SELECT config_id, concat_ws(' x ', CASE WHEN ga = 0 THEN 'qa_category' END, CASE WHEN gb = 0 THEN 'question_type' END, CASE WHEN gc = 0 THEN 'qa_topic' END) AS dimension, concat_ws(' | ', CASE WHEN ga = 0 THEN coalesce(a, 'unknown') END, CASE WHEN gb = 0 THEN coalesce(b, 'unknown') END, CASE WHEN gc = 0 THEN coalesce(c, 'unknown') END) AS value, case_count, row_count, round(o, 6) AS overall, round(pr, 6) AS pass_rate, CASE WHEN case_count >= 30 THEN 'reliable' ELSE 'insufficient_n' END AS reliability FROM x""")
+SELECT config_id, concat_ws(' x ', CASE WHEN ga = 0 THEN 'qa_category' END, CASE WHEN gb = 0 THEN 'question_type' END, CASE WHEN gc = 0 THEN 'qa_topic' END) AS dimension, concat_ws(' | ', CASE WHEN ga = 0 THEN coalesce(a, 'unknown') END, CASE WHEN gb = 0 THEN coalesce(b, 'unknown') END, CASE WHEN gc = 0 THEN coalesce(c, 'unknown') END) AS value, case_count, row_count, round(o, 9) AS overall, round(pr, 9) AS pass_rate, CASE WHEN case_count >= 30 THEN 'reliable' ELSE 'insufficient_n' END AS reliability FROM x""")
 def slice_scores(spark, d):
     """A4, A12."""
-    return rounded(tables.slices(_s(spark, d), fx.cases(spark, d)), "overall", "pass_rate")
+    # the ninth digit: the sixth meets exact halves
+    return tables.slices(_s(spark, d), fx.cases(spark, d)).withColumns({c: F.round(c, 9) for c in ("overall", "pass_rate")})
 
 
 _GATES = "z AS (SELECT *, CASE WHEN pass THEN 'pass' ELSE 'fail' END AS q, CASE agreement_status WHEN 'review_needed' THEN 'review' WHEN 'borderline' THEN 'monitor' ELSE 'pass' END AS a FROM s), y AS (SELECT *, CASE WHEN a = 'review' THEN 'review' ELSE q END AS f FROM z)"

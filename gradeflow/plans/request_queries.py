@@ -134,16 +134,18 @@ def run_list(spark, d):
     return rounded(views.run_list(per.withColumn("started_at", F.col("run_id") * 2)), "average", "pass_rate")
 
 
-@query(f"WITH {_ROWS}, cl AS (SELECT qa_topic, coalesce(question_type, 'unknown') AS question_type, config_id, count(*) AS n, count(DISTINCT case_id) AS cases, round(avg(overall), 6) AS average, round(avg(pass::INT), 6) AS pass_rate FROM w GROUP BY 1, 2, 3) SELECT *, CASE WHEN cases >= 5 THEN 'reliable' ELSE 'low_sample' END AS reliability FROM cl")
+@query(f"WITH {_ROWS}, cl AS (SELECT qa_topic, coalesce(question_type, 'unknown') AS question_type, config_id, count(*) AS n, count(DISTINCT case_id) AS cases, round(avg(overall), 9) AS average, round(avg(pass::INT), 9) AS pass_rate FROM w GROUP BY 1, 2, 3) SELECT *, CASE WHEN cases >= 5 THEN 'reliable' ELSE 'low_sample' END AS reliability FROM cl")
 def benchmark_cells(spark, d):
     """All cells of three dimensions, weakest first."""
-    return rounded(views.weakest_cells(rows(spark, d), ("qa_topic", "question_type", "config_id"), most=100_000), "average", "pass_rate")
+    out = views.weakest_cells(rows(spark, d), ("qa_topic", "question_type", "config_id"), most=100_000)
+    return out.withColumns({c: F.round(c, 9) for c in ("average", "pass_rate")})
 
 
 @query("WITH " + SQL["slice_scores"].removeprefix("WITH ").replace("SELECT config_id, concat_ws(' x '", "SELECT config_id, 3 - ga - gb - gc AS level, concat_ws(' x '"))
 def slices_in_order(spark, d):
     """K10, A4, A12."""
-    return rounded(review.slices_in_order(tables.slices(_s(spark, d), fx.cases(spark, d))), "overall", "pass_rate").select("config_id", "level", "dimension", "value", "case_count", "row_count", "overall", "pass_rate", "reliability")
+    out = review.slices_in_order(tables.slices(_s(spark, d), fx.cases(spark, d))).withColumns({c: F.round(c, 9) for c in ("overall", "pass_rate")})
+    return out.select("config_id", "level", "dimension", "value", "case_count", "row_count", "overall", "pass_rate", "reliability")
 
 
 @query(SQL["release_gates"].replace("ELSE 'pass' END AS release_gate FROM r", "ELSE 'pass' END AS release_gate, CASE WHEN gate_eligible_cases = 0 THEN 'no gate-eligible cases' WHEN block_count > 0 AND coalesce(core < 0.5, false) THEN 'block_cases=' || block_count || '; core_pass_rate below minimum' WHEN block_count > 0 THEN 'block_cases=' || block_count WHEN coalesce(core < 0.5, false) THEN 'core_pass_rate below minimum' WHEN review_count > 0 THEN 'review_cases=' || review_count ELSE 'all case gates passed' END AS reason FROM r"))
