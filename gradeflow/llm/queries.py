@@ -92,8 +92,27 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("weight", "repeats")})
 
 
+def op11_piece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeflow.llm.pieces import encoded
+
+    out = encoded(table(spark, sf_dir, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeflow.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeflow.llm.spelling import spelling_forms, vocabulary
+
+    return spelling_forms(vocabulary(table(spark, sf_dir, "documents"), noise=199))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vantage_point_search, op2_hilbert_shards, op3_near_vectors, op4_sum_of_squares_packing, op5_private_data, op6_positive_unlabelled_quality, op7_jaccard_count_tree, op8_nearest_centroid_language, op9_url_range_join, op10_temperature_mixing)}
+    return {f.__name__: f for f in (op1_vantage_point_search, op2_hilbert_shards, op3_near_vectors, op4_sum_of_squares_packing, op5_private_data, op6_positive_unlabelled_quality, op7_jaccard_count_tree, op8_nearest_centroid_language, op9_url_range_join, op10_temperature_mixing, op11_piece_merge_rounds, op12_phrase_collocations, op13_spelling_variants)}
 
 
 _COSINE = "list_cosine_similarity({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
@@ -148,6 +167,19 @@ t AS (SELECT src, block, row_number() OVER o AS turn, sum(held) OVER (o ROWS UNB
 x AS (SELECT src, doc_id, h, block, turn, held, (before + sum(held) OVER (PARTITION BY src, block ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - held)::BIGINT AS start FROM u JOIN t USING (src, block))
 SELECT d.doc_id, d.source, d.tokens, round(weight, 9) AS weight, round(repeats, 9) AS repeats, passes, block, turn, start, passes + (held > 0 AND start + held <= rest)::INT AS copies
 FROM d JOIN x ON d.src = x.src AND d.h = x.h AND d.doc_id IS NOT DISTINCT FROM x.doc_id JOIN plan ON plan.src = d.src""",
+    "op12_phrase_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS t(k)) GROUP BY ALL HAVING count(*) >= 30),
+x AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS s, unnest(range(1, k)) AS j FROM c WHERE k > 1),
+s AS (SELECT x.lang, x.phrase, a, l.f AS l, r.f AS r, j, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+  FROM x JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(s[1:j], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(s[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(s[p:p + q - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, f, k, q, string_split(phrase, ' ') AS s, unnest(range(1, k - q + 2)) AS p FROM c, (VALUES (2), (3)) AS t(q) WHERE k > q) GROUP BY ALL),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100::HUGEINT * i.f < 80::HUGEINT * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
 }
 
 
