@@ -3,7 +3,7 @@
 A first pass counts words. In the second every position whose word is frequent gives its
 suffix, up to the longest phrase, the end of its piece or the first infrequent word. Suffixes
 are routed by language and leading word; a leading word with very many of them is dealt on
-by its next two words. A task gathers whole routes and sorts pointers to their suffixes: each round splits every
+by its second word, a pair of words with very many by the third. A task gathers whole routes and sorts pointers to their suffixes: each round splits every
 open partition by a pivot word at its depth into less, equal and greater. The size of an equal partition is the
 count of the prefix that its suffixes share, which then goes one word deeper; partitions
 below the least count are abandoned at once.
@@ -69,7 +69,22 @@ def _slots(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words, repeat(zlib.crc32(lang.encode() + b" "))), np.int64, len(words))
 
 
-def _suffixes(batches: Batches, ways: np.ndarray, depth: int) -> Batches:
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first * 1_000_003 + second * 31) & 0xFFFFFFFF
+
+
+def _pairs(batches: Batches, ways: np.ndarray) -> Batches:
+    """Of leading words that are dealt on, how many pairs fall into each slot."""
+    for lang, texts in _by_lang(batches, 4 << 20):
+        words, piece = words_of(texts)
+        if len(words) > 1:
+            hashes = _slots(lang, words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+            both = (piece[1:] == piece[:-1]) & (ways[hashes[:-1] % SLOTS] > 1)
+            slot, n = np.unique(_pair(hashes[:-1][both], hashes[1:][both]) % SLOTS, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"slot": slot, "n": n})
+
+
+def _suffixes(batches: Batches, ways: np.ndarray, pair_ways: np.ndarray, depth: int) -> Batches:
     """Distinct suffixes of each slice by leading word, each with its count."""
     for lang, texts in _by_lang(batches, 2 << 20):
         words, piece = words_of(texts)
@@ -99,15 +114,18 @@ def _suffixes(batches: Batches, ways: np.ndarray, depth: int) -> Batches:
         _, first, n = np.unique(keys, return_index=True, return_counts=True)
         rows = rows[:, first] - 1
         way = split[rows[0]]
+        pair = _pair(hashes[rows[0]], hashes[rows[1]])
         third = np.where(rows[2] >= 0, hashes[rows[2]], 1) if depth > 2 else np.int64(1)
-        part = np.where(way > 1, (hashes[rows[1]] * 31 + third) % np.maximum(way, 1), 0)
+        pair_way = np.where(way > 1, pair_ways[pair % SLOTS], 0)
+        # parts below zero hold pairs that lie in several parts
+        part = np.where(pair_way > 1, -1 - (pair + third) % np.maximum(pair_way, 1), hashes[rows[1]] % way)
         order = np.lexsort((part, rows[0]))
-        rows, n, part, way = rows[:, order], n[order], part[order], way[order]
+        rows, n, part = rows[:, order], n[order], part[order]
         heads = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(part) != 0)]))
         bounds = pa.array(np.append(heads, len(n)).astype(np.int32))
         tails = [names.take(pa.array(np.maximum(r, 0), mask=r < 0)) for r in rows[1:]]
         tails = pc.binary_join_element_wise(*tails, pa.scalar(" "), null_handling="skip")
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(heads), pa.string()), "lead": names.take(pa.array(rows[0][heads])), "part": part[heads], "split": way[heads] > 1, "tails": pa.ListArray.from_arrays(bounds, tails), "n": pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int32)))})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(heads), pa.string()), "lead": names.take(pa.array(rows[0][heads])), "part": part[heads], "tails": pa.ListArray.from_arrays(bounds, tails), "n": pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int32)))})
 
 
 def equal_partitions(keys: np.ndarray, weight: np.ndarray, route: np.ndarray, least: np.ndarray, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,7 +180,7 @@ def _sorted(batches: Batches, least: int, depth: int, chunk: int) -> Batches:
         same = np.concatenate([[True], np.logical_or.reduce([np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))) for c in (t.column(k).combine_chunks() for k in ("lang", "lead", "part"))])])
         first = np.flatnonzero(same)
         route = np.repeat(np.cumsum(same) - 1, size)
-        split = t.column("split").to_numpy()[first]
+        split = t.column("part").to_numpy()[first] < 0
         spelt = pc.split_pattern(lists.flatten(), " ")
         words = spelt.flatten().dictionary_encode()
         lengths = pc.list_value_length(spelt).to_numpy().astype(np.int64)
@@ -170,7 +188,7 @@ def _sorted(batches: Batches, least: int, depth: int, chunk: int) -> Batches:
         column = np.repeat(np.arange(len(lengths)), lengths)
         keys[np.arange(len(column)) - np.repeat(np.cumsum(lengths) - lengths, lengths), column] = words.indices.to_numpy()
         wanted = np.full((depth - 1, len(first)), least, np.int64)
-        wanted[0, split] = 1  # of a leading word that is dealt on, pairs lie in several routes
+        wanted[0, split] = 1  # these pairs lie in several routes
         got = equal_partitions(keys, weight, route, wanted)
         at, deep, f = (np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in range(3))
         parts = [pc.take(t.column("lead").combine_chunks(), pa.array(first[route[at]]))]
@@ -197,12 +215,13 @@ def _sorted(batches: Batches, least: int, depth: int, chunk: int) -> Batches:
             rows = sum(len(b.column(b.schema.get_field_index("tails")).flatten()) for b in held)
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 30, depth: int = 4, route_rows: int = 1_000_000, chunk: int = 300_000, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, least: int = 30, depth: int = 4, route_rows: int = 1_000_000, chunk: int = 300_000, sample: float = 1 / 64, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of up to ``depth`` words that occur ``least`` times, and (lang, n).
 
     A leading word with more than ``route_rows`` occurrences is dealt on in as many parts as
-    that takes. What executors need of the word counts is an array of ``SLOTS`` numbers by hash, whatever
-    the vocabulary; a slot that words share makes more work, never another count.
+    that takes, and so is a pair of such a word; which pairs have so many is estimated from a ``sample`` of the rows, and
+    decides how rows are dealt, never a count. What executors need of these counts is two arrays of ``SLOTS``
+    numbers by hash, whatever the vocabulary; a slot that words share makes more work, never another count.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -211,8 +230,14 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, depth: int = 4, route_row
     told = single.where("phrase is not null").groupBy(slot.alias("slot")).agg(F.max(F.ceil(F.col("f") / route_rows)).alias("ways")).toPandas()
     ways = np.zeros(SLOTS, np.int32)
     ways[told.slot.to_numpy(np.int64)] = told.ways.to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(ways)
-    suffixes = rows.mapInArrow(lambda batches: _suffixes(batches, shared.value, depth), "lang string, lead string, part long, split boolean, tails array<string>, n array<int>")
+    pair_ways = np.zeros(SLOTS, np.int32)
+    if ways.max() > 1:
+        one = spark.sparkContext.broadcast(ways)
+        some = rows.sample(fraction=sample, seed=12).mapInArrow(lambda batches: _pairs(batches, one.value), "slot long, n long")
+        many = some.groupBy("slot").agg(F.ceil(F.sum("n") / (sample * route_rows)).alias("ways")).where("ways > 1").toPandas()
+        pair_ways[many.slot.to_numpy(np.int64)] = many.ways.to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast((ways, pair_ways))
+    suffixes = rows.mapInArrow(lambda batches: _suffixes(batches, *shared.value, depth), "lang string, lead string, part long, tails array<string>, n array<int>")
     keys = ["lang", "lead", "part"]
     dealt = suffixes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     got = written(dealt.mapInArrow(partial(_sorted, least=least, depth=depth, chunk=chunk), "lang string, phrase string, words int, f long, whole boolean"), "phrases-found")

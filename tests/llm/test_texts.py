@@ -103,7 +103,7 @@ def test_collocations_equal_plain_counts(spark, route_rows, chunk):
     rows = [(" ".join(rnd.choice(words) for _ in range(rnd.randrange(40))), rnd.choice(["en", None, "de"])) for _ in range(300)]
     rows += [("hot word again " * 400, "en"), (None, "en"), ("", None), ("...", "fr"), ("q", None)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "text string, lang string, f int, n int")
-    got = sorted(map(tuple, phrases.collocations(docs, route_rows=route_rows, chunk=chunk).collect()))
+    got = sorted(map(tuple, phrases.collocations(docs, route_rows=route_rows, chunk=chunk, sample=1.0).collect()))
     assert got == plain_collocations(rows, 30, 4)
     assert len(got) > 20
 
