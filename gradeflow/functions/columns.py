@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,23 +59,27 @@ def _compact(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[\s-]+", "_"), "^_+|_+$", "")
 
 
+def _held(names: dict[str, str]) -> Column:
+    # a constant map, so that the expression stays small wherever it is inlined
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+
+
+def _error_type(c: Column) -> Column:
+    """The error type that a text names, in its own or its compact form; null for other texts."""
+    t = squeezed(c)
+    by_name = {n: target for target, others in OTHER_NAMES.items() for n in others}
+    return F.coalesce(F.try_element_at(_held(by_name), t), F.try_element_at(_held({n: n for n in ERROR_TYPES} | by_name), _compact(t)))
+
+
 def error_type(c: Column) -> Column:
     """One of ``ERROR_TYPES``; blank is normal, unknown text a partial inaccuracy (P13). Other names count in their compact form too."""
-    t = squeezed(F.coalesce(c, F.lit("")))
-    # constant maps, so that the expression stays small wherever it is inlined
-    by_name = {n: target for target, others in OTHER_NAMES.items() for n in others}
-    held = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    by_form = {n: n for n in ERROR_TYPES} | by_name
-    named = F.coalesce(F.try_element_at(held(by_name), t), F.try_element_at(held(by_form), _compact(t)), F.lit("partial_inaccuracy"))
-    return F.when(t == "", "normal").otherwise(named)
-
-
-def is_error_type(text: object) -> bool:
-    """Whether a text names an error type; blank and other values do not."""
-    t = " ".join(str(text or "").split())
-    k = re.sub(r"[\s-]+", "_", t.lower()).strip("_")
-    names = {n for others in OTHER_NAMES.values() for n in others}
-    return bool(t) and (t in names or k in names or k in ERROR_TYPES)
+    c = F.coalesce(c, F.lit(""))
+    return F.when(squeezed(c) == "", "normal").otherwise(F.coalesce(_error_type(c), F.lit("partial_inaccuracy")))
+
+
+def names_error_type(c: Column) -> Column:
+    """Whether a text names an error type; blank, null and other values do not."""
+    return _error_type(F.coalesce(c, F.lit(""))).isNotNull()
 
 
 def raw_metrics(accuracy: Column, completeness: Column, numerical: Column, hallucination: Column) -> dict[str, Column]:

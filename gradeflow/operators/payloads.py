@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeflow.functions.columns import METRICS, applicable_mean, error_type, is_error_type, parse_bool, passes, raw_metrics, score01, squeezed
+from gradeflow.functions.columns import METRICS, applicable_mean, error_type, names_error_type, parse_bool, passes, raw_metrics, score01, squeezed
 from gradeflow.operators.textsim import numbers
 
 KEY = ("config_id", "case_id")
@@ -22,67 +17,41 @@ NUMERIC_TYPE, NUMERIC_MARKS = "수치추론/계산", ("numeric", "amount", "rate
 
 
 def extracted(raw: Column) -> Column:
-    """The text from the first brace to the last, whatever stands around it; null without one."""
-    return F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
+    """The text from the first brace to the last, whatever stands around it; null without one (P15). Linear in the text."""
+    first, behind = F.locate("{", raw), F.locate("}", F.reverse(raw))
+    last = F.length(raw) - behind + 1
+    return F.when((first > 0) & (behind > 0) & (last > first), F.substring(raw, first, last - first + 1))
+
+
+def parsed_object(text: Column) -> Column:
+    """A text that is one JSON object and nothing else, as a variant; null for all other texts.
+
+    The parser stops behind the first value. So the text is parsed as the only element of an array, and must
+    also do as the only field of an object: what closes one of them early breaks the other. Objects that
+    repeat a name, numbers of more than 1,000 digits and nesting deeper than 1,000 are no JSON here.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    whole = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    found = F.try_variant_get(listed, "$[0]", "variant")
+    return F.when(whole & F.schema_of_variant(found).startswith("OBJECT"), found)
+
 
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
-def _whole(value: object) -> int | None:
+
+def _whole(v: Column) -> Column:
     """A whole number given as number or text; a boolean, a fraction and all else are none."""
-    if isinstance(value, str):
-        return int(value) if re.fullmatch(r"\s*-?\d+\s*", value) else None
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        return None
-    return int(value) if isinstance(value, int) or value.is_integer() else None
-
-
-def _fault(payload: object, scores: str) -> str | None:
-    """The first thing wrong with a parsed answer."""
-    if not isinstance(payload, dict):
-        return "no JSON object"
-    inner = payload.get(scores)
-    if not isinstance(inner, dict):
-        return "no object of scores"
-    wanted = (scores, *FIELDS)
-    for title, names in (("missing fields", [n for n in wanted if n not in payload]), ("unexpected fields", [n for n in payload if n not in wanted]), ("missing scores", [n for n in RAW_SCORES if n not in inner]), ("unexpected scores", [n for n in inner if n not in RAW_SCORES])):
-        if names:
-            return f"{title}: {', '.join(names)}"
-    for name, allowed in RAW_SCORES.items():
-        if _whole(inner[name]) not in allowed:
-            return f"{name} is not one of {', '.join(map(str, allowed))}"
-    if not isinstance(payload["critical_fail"], bool):
-        return "critical_fail is not boolean"
-    if not is_error_type(payload["error_type"]):
-        return "unknown error type"
-    if not isinstance(payload["reason"], str) or not payload["reason"].strip():
-        return "no reason"
-    return None if isinstance(payload["evidence_notes"], list) else "notes are no list"
-
-
-def _number(value: object) -> float:
-    try:
-        return float(value)  # type: ignore[arg-type]
-    except (TypeError, ValueError):
-        return 0.0
-
-
-def _said(batches: Iterator[pd.Series], scores: str) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for text in texts:
-            try:
-                payload = json.loads(text) if text else None
-            except ValueError:
-                payload = None
-            row = dict.fromkeys(_SAID) | {"invalid": _fault(payload, scores)}
-            if row["invalid"] is None:
-                row |= {n: _whole(payload[scores][n]) for n in RAW_SCORES}
-                row |= {"critical_fail": payload["critical_fail"], "error_type": payload["error_type"], "reason": " ".join(payload["reason"].split())}
-                row |= {"confidence": round(min(1.0, max(0.0, _number(payload["confidence"]))), 4), "evidence_notes": [x for n in payload["evidence_notes"] if (x := " ".join(str(n).split()))][:8]}
-            rows.append(row)
-        yield pd.DataFrame(rows, columns=list(_SAID)).astype({n: "Int64" for n in RAW_SCORES})
-
-
-_SAID = {"invalid": "string", **dict.fromkeys(RAW_SCORES, "long"), "critical_fail": "boolean", "error_type": "string", "reason": "string", "confidence": "double", "evidence_notes": "array<string>"}
+    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+    kind = _kind(v)
+    of_text = F.when(text.rlike(r"(?U)^\s*-?\d+\s*$"), F.regexp_replace(text, r"(?U)\s", "").try_cast("long"))
+    return F.when(kind == "STRING", of_text).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (number == F.floor(number)), number.try_cast("long"))
+
+
+def _confidence(v: Column) -> Column:
+    text, kind = F.try_variant_get(v, "$", "string"), _kind(v)
+    number = F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when(kind != "STRING", F.try_variant_get(v, "$", "double")).when(text.rlike(r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$"), text.try_cast("double"))
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(number, F.lit(0.0)))), 4)
 
 
 def checked(answers: DataFrame, raw: str = "raw", scores: str = "scores") -> DataFrame:
@@ -91,17 +60,38 @@ def checked(answers: DataFrame, raw: str = "raw", scores: str = "scores") -> Dat
     A good answer has the fields ``FIELDS`` and the object ``scores`` with the fields of ``RAW_SCORES``,
     no others, whole numbers among the allowed ones, a boolean ``critical_fail``, a known error type,
     a reason and a list of notes. The first fault is named. Bad answers, null ones too, have no
-    values. Texts are parsed row by row in Arrow batches: JSON that is nearly right needs a parser
-    that tells 1, 1.0, true and "1" apart.
+    values; an object that repeats a field has the fault ``repeated fields``. Variants tell 1, 1.0, true
+    and "1" apart, so no row leaves the JVM and no answer, however odd, ends the job.
     """
-
-    @F.pandas_udf("struct<" + ", ".join(f"{n}: {t}" for n, t in _SAID.items()) + ">")
-    def said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return _said(batches, scores)
-
-    out = answers.withColumn("_said", said(extracted(F.col(raw))))
-    out = out.withColumns({n: F.col("_said")[n] for n in _SAID}).drop("_said")
-    return out.withColumn("error_type", F.when(F.col("invalid").isNull(), error_type(F.col("error_type"))))
+    text = F.col("_text")
+    at = lambda v, name: F.try_variant_get(v, f"$['{name}']", "variant")
+    out = answers.withColumn("_text", extracted(F.col(raw)))
+    out = out.withColumns({"_v": parsed_object(text), "_top": F.json_object_keys(text), "_inner": F.json_object_keys(F.get_json_object(text, f"$['{scores}']"))})
+    v, given = F.col("_v"), at(F.col("_v"), scores)
+    notes = F.transform(F.try_variant_get(at(v, "evidence_notes"), "$", "array<string>"), lambda n: squeezed(F.coalesce(n, F.lit(""))))
+    said = {n: _whole(at(given, n)) for n in RAW_SCORES}
+    said |= {"critical_fail": F.try_variant_get(at(v, "critical_fail"), "$", "boolean"), "error_type": F.try_variant_get(at(v, "error_type"), "$", "string"), "reason": squeezed(F.try_variant_get(at(v, "reason"), "$", "string")), "confidence": _confidence(at(v, "confidence")), "evidence_notes": F.slice(F.filter(notes, lambda n: n != ""), 1, 8)}
+    kinds = {f"_kind_{n}": _kind(at(v, n)) for n in ("critical_fail", "reason", "evidence_notes")} | {"_kind_scores": _kind(given)}
+    out = out.withColumns({f"_{n}": c for n, c in said.items()} | kinds)
+
+    def listed(title: str, names: Column) -> Column:
+        return F.when(F.size(names) > 0, F.concat(F.lit(f"{title}: "), F.array_join(names, ", ")))
+
+    top, inner = F.col("_top"), F.coalesce("_inner", F.array().cast("array<string>"))
+    wanted, wanted_scores = (F.array(*[F.lit(n) for n in names]) for names in ((scores, *FIELDS), tuple(RAW_SCORES)))
+    fault = F.coalesce(
+        F.when(v.isNull(), F.when(F.size(F.array_distinct(top)) < F.size(top), "repeated fields").otherwise("no JSON object")),
+        F.when(~F.col("_kind_scores").startswith("OBJECT"), "no object of scores"),
+        listed("missing fields", F.array_except(wanted, top)), listed("unexpected fields", F.array_except(top, wanted)), listed("missing scores", F.array_except(wanted_scores, inner)), listed("unexpected scores", F.array_except(inner, wanted_scores)),
+        *[F.when(~F.coalesce(F.col(f"_{n}").isin(*ok), F.lit(False)), f"{n} is not one of {', '.join(map(str, ok))}") for n, ok in RAW_SCORES.items()],
+        F.when(F.col("_kind_critical_fail") != "BOOLEAN", "critical_fail is not boolean"),
+        F.when(~names_error_type(F.col("_error_type")), "unknown error type"),
+        F.when((F.col("_kind_reason") != "STRING") | (F.coalesce("_reason", F.lit("")) == ""), "no reason"),
+        F.when(~F.col("_kind_evidence_notes").startswith("ARRAY"), "notes are no list"),
+    )
+    out = out.withColumn("invalid", fault)
+    good = {n: F.when(F.col("invalid").isNull(), error_type(F.col("_error_type")) if n == "error_type" else F.col(f"_{n}")) for n in said}
+    return out.withColumns(good).drop("_text", "_v", "_top", "_inner", *kinds, *[f"_{n}" for n in said])
 
 
 def nac_defaults_full(question_type: Column, gold: Column, required: Column, answer: Column) -> Column:

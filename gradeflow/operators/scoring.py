@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions.columns import PASS_THRESHOLD, applicable_mean, score01, squeezed
-from gradeflow.operators import textsim
+from gradeflow.operators import payloads, textsim
 from gradeflow.operators.disclosure import disclosures, forbidden_hits, has_any
-from gradeflow.operators.payloads import NUMERIC_MARKS, NUMERIC_TYPE
 
 # Behaviours that a case may expect, and what refusals, questions and echoed evidence say.
 REFUSES = ("answer_not_supported_or_refuse", "abstain_when_unsupported", "refuse_unsafe_request")
@@ -48,18 +47,18 @@ def json_text(answer: Column, surrounded: Column) -> Column:
     text = F.trim(F.coalesce(answer, F.lit("")))
     inner = F.when(text.rlike(r"(?is)^```(?:json)?\s*.*?\s*```\z"), F.trim(F.regexp_extract(text, r"(?is)^```(?:json)?\s*(.*?)\s*```\z", 1)))
     text = F.when(~text.contains("```"), text).when(inner.isNotNull(), inner).when(surrounded, text)
-    found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    found = payloads.extracted(text)
     return F.when(surrounded | (found == text), found)
 
 
-def valid_json(answer: Column, *, keys: Column | None = None, exact: bool | Column = False, surrounded: Column | bool = True, fenceless: Column | bool = False, types: dict[str, str] | None = None) -> Column:
-    """Whether an answer is a JSON object with the ``keys`` (no others, if ``exact``) and, one level deep, values of the ``types``.
+def valid_json(answer: Column, *, keys: Column | None = None, exact: bool | Column = False, surrounded: Column | bool = True, fenceless: Column | bool = False, types: dict[str, str] | None = None, schema: dict | None = None) -> Column:
+    """Whether an answer is a JSON object with the ``keys`` (no others, if ``exact``), values of the ``types`` and, at every level, as ``schema`` says.
 
     A key ``cannot_verify`` that is asked for must be boolean.
     """
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     text = json_text(answer, as_column(surrounded))
-    v, own = F.try_parse_json(text), F.json_object_keys(text)
+    v, own = payloads.parsed_object(text), F.json_object_keys(text)
     kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$['{k}']", "variant"))
     ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & ~(as_column(fenceless) & F.coalesce(answer, F.lit("")).contains("```"))
     if keys is not None:
@@ -69,7 +68,64 @@ def valid_json(answer: Column, *, keys: Column | None = None, exact: bool | Colu
         ok = ok & ((F.size(wanted) == 0) | F.coalesce(asked, F.lit(False)))
     for k, t in (types or {}).items():
         ok = ok & F.coalesce(kind(k).rlike(JSON_TYPES[t]), ~F.array_contains(F.coalesce(own, F.array().cast("array<string>")), k))
-    return ok
+    return ok & fits(v, schema) if schema else ok
+
+
+def fits(value: Column, schema: dict) -> Column:
+    """Whether a variant is as a schema says: ``type`` (one or a list), ``required``, ``properties``, ``additionalProperties``, ``items``, ``minItems``, ``maxItems``, ``enum``.
+
+    The schema is known when the plan is made, so it becomes one expression, as deep as the schema
+    itself. A value without a type is checked against ``enum`` only, as are types it does not know; null is no match for a missing value.
+    """
+    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    named = schema.get("type")
+    if isinstance(named, list):
+        any_of = F.lit(False)
+        for t in named:
+            any_of = any_of | fits(value, schema | {"type": t})
+        return any_of
+    if named == "object":
+        fields = F.try_variant_get(value, "$", "map<string, variant>")
+        inner, ok = schema.get("properties"), kind.startswith("OBJECT")
+        inner = inner if isinstance(inner, dict) else {}
+        has = lambda k: F.coalesce(F.map_contains_key(fields, k), F.lit(False))
+        for k in schema.get("required", []):
+            ok = ok & has(str(k))
+        for k, child in inner.items():
+            if isinstance(child, dict):
+                ok = ok & (~has(k) | fits(F.try_element_at(fields, F.lit(k)), child))
+        if schema.get("additionalProperties") is False:
+            ok = ok & F.coalesce(F.size(F.array_except(F.map_keys(fields), F.array(*[F.lit(k) for k in inner]).cast("array<string>"))) == 0, F.lit(False))
+        return ok
+    if named == "array":
+        parts, ok = F.try_variant_get(value, "$", "array<variant>"), kind.startswith("ARRAY")
+        for bound, holds in (("minItems", lambda n: F.size(parts) >= n), ("maxItems", lambda n: F.size(parts) <= n)):
+            if isinstance(schema.get(bound), int):
+                ok = ok & holds(schema[bound])
+        if isinstance(schema.get("items"), dict):
+            ok = ok & F.coalesce(F.forall(parts, lambda x: fits(x, schema["items"])), F.lit(False))
+        return ok
+    if named in ("string", "boolean", "null"):
+        return kind == {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[named]
+    if named == "integer":  # a whole number of 64 bits, or one too large for them; 1.0 is a decimal of few digits
+        return kind.rlike(r"^(BIGINT|DECIMAL\((19|[23]\d),0\))$")
+    if named == "number":
+        return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    enum = schema.get("enum")
+    if isinstance(enum, list):
+        ok = F.lit(False)
+        for e in enum:
+            if isinstance(e, bool):  # equal to the numbers 0 and 1 too
+                ok = ok | ((kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == e)) | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(value, "$", "double") == float(e)))
+            elif isinstance(e, (int, float)):
+                ok = ok | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(value, "$", "double") == float(e)))
+                ok = ok | ((kind == "BOOLEAN") & F.lit(e in (0, 1)) & (F.try_variant_get(value, "$", "boolean") == bool(e)))
+            elif e is None:
+                ok = ok | (kind == "VOID")
+            elif isinstance(e, str):
+                ok = ok | ((kind == "STRING") & (F.try_variant_get(value, "$", "string") == e))
+        return F.coalesce(ok, F.lit(False))
+    return F.lit(True)
 
 
 def evidence_alignment(answer: Column, titles: Column, scores: Column, joined: Column) -> Column:
@@ -133,7 +189,7 @@ def scored(rows: DataFrame, *, threshold: float = PASS_THRESHOLD, refusal_keywor
         "correctness": correctness,
         "completeness": F.when(asked, F.col("required_score")).otherwise(F.when(answered, 70.0).otherwise(0.0)),
         "retrieval_precision": evidence_alignment(F.col("_answer"), F.col("_titles"), F.concat(of_titles, of_rest), F.col("_joined")),
-        "numeric_accuracy": textsim.numeric_accuracy(F.col("_gold"), F.col("_required"), F.col("_hits"), F.col("_answer"), F.col("question_type"), NUMERIC_TYPE, NUMERIC_MARKS),
+        "numeric_accuracy": textsim.numeric_accuracy(F.col("_gold"), F.col("_required"), F.col("_hits"), F.col("_answer"), F.col("question_type"), payloads.NUMERIC_TYPE, payloads.NUMERIC_MARKS),
         "format_compliance": F.when(wants_json & ~formed, 0.0).otherwise(100.0),
         "_critical": critical, "_echo": is_echo(F.col("_answer")),
     })

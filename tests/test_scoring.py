@@ -126,6 +126,71 @@ def test_payload_faults_are_named(spark):
     assert (got[0].reason, got[0].confidence, got[0].evidence_notes, got[0].error_type) == ("a b", 0.25, ["1", "x y"], "partial_inaccuracy")
 
 
+def test_odd_payloads_are_faults_and_end_no_job(spark):
+    """Long numbers, deep nesting, surrogates, text behind the object, objects that repeat a field, many braces."""
+    import time
+
+    good = '{"scores": {"accuracy": %s, "completeness": -1, "numerical_accuracy": 0, "hallucination": 1}, "critical_fail": false, "error_type": "typo", "reason": "%s", "confidence": %s, "evidence_notes": []}'
+    plain = good % (2, "r", 1)
+    rows = [good % (f'"{"1" * 5000}"', "r", 1), good % ("1" * 5000, "r", 1), good % (2, "r", "9" * 900), good % (2, "\\ud800", 1), good % (2, "r", '{"a":' * 50_000 + "1" + "}" * 50_000), plain + " } ", plain + ", " + plain, plain[:-1] + "}], [{}", plain[:-1] + '}, "w": {}', plain.replace('"error_type"', '"reason": 1, "error_type"'), good % (2, "r", '"1d"'), good % (2, "r", "true"), plain.replace('"r"', "5"), good % (2, "r", "NaN")]
+    got = {r.i: r for r in payloads.checked(spark.createDataFrame(list(enumerate(rows)), "i int, raw string")).collect()}
+    domain = "accuracy is not one of 0, 1, 2"
+    assert [got[k].invalid for k in range(len(rows))] == [domain, "no JSON object", None, None, "no JSON object", "no JSON object", "no JSON object", "no JSON object", "no JSON object", "repeated fields", None, None, "no reason", "no JSON object"]
+    assert [got[k].confidence for k in (2, 3, 10, 11)] == [1.0, 1.0, 0.0, 1.0]
+    many = spark.createDataFrame([(0, "{" * 10_000_000), (1, "x}" * 1_000_000), (2, "}{" * 1_000_000 + "}")], "i int, raw string").cache()
+    many.count()
+    began = time.time()
+    assert [r.invalid for r in payloads.checked(many).orderBy("i").collect()] == ["no JSON object"] * 3
+    assert time.time() - began < 30
+
+
+def matches(value, schema):
+    """The plain reading of a schema."""
+    t = schema.get("type")
+    if isinstance(t, list):
+        return any(matches(value, schema | {"type": x}) for x in t)
+    if t == "object":
+        inner = schema.get("properties", {})
+        return isinstance(value, dict) and all(k in value for k in schema.get("required", [])) and all(matches(value[k], c) for k, c in inner.items() if k in value) and (schema.get("additionalProperties") is not False or set(value) <= set(inner))
+    if t == "array":
+        return isinstance(value, list) and schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", 10**9) and all(matches(x, schema.get("items", {})) for x in value)
+    if t in ("string", "boolean", "null"):
+        return isinstance(value, {"string": str, "boolean": bool, "null": type(None)}[t])
+    if t in ("integer", "number"):
+        return isinstance(value, int if t == "integer" else (int, float)) and not isinstance(value, bool)
+    return value in schema["enum"] if "enum" in schema else True
+
+
+def test_nested_schemas(spark):
+    import json
+    import random
+
+    rnd = random.Random(8)
+    leaves = [None, True, False, 0, 1, 2.5, 1.0, 10**25, "", "a", "b"]
+
+    def value(depth):
+        kind = rnd.randrange(4) if depth else 9
+        if kind == 0:
+            return [value(depth - 1) for _ in range(rnd.randrange(4))]
+        return {k: value(depth - 1) for k in rnd.sample(["a", "b", "it's", "d.e"], rnd.randrange(4))} if kind < 3 else rnd.choice(leaves)
+
+    def schema(depth):
+        kind = rnd.choice(["object", "object", "array"]) if depth else rnd.choice(["string", "boolean", "integer", "number", "null", ["string", "integer"], None, "odd"])
+        if kind == "object":
+            return {"type": kind, "required": rnd.sample(["a", "b"], rnd.randrange(2)), "properties": {k: schema(depth - 1) for k in rnd.sample(["a", "b", "it's", "d.e"], 2)}} | ({"additionalProperties": False} if rnd.random() < 0.2 else {})
+        if kind == "array":
+            return {"type": ["array", "null"] if rnd.random() < 0.3 else kind, "items": schema(depth - 1), "minItems": rnd.randrange(2), "maxItems": rnd.randrange(1, 5)}
+        return ({"type": kind} if kind else {}) | ({"enum": rnd.sample(leaves, 4)} if rnd.random() < 0.5 else {})
+
+    values = [{k: value(3) for k in rnd.sample(["a", "b", "it's", "d.e"], 2)} for _ in range(150)]
+    schemas = [schema(d) | {"type": "object"} if d else {"type": "object", "properties": {"a": schema(0)}} for d in (0, 0, 0, 1, 1, 1, 2, 2, 3, 3)]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, t string")
+    got = df.orderBy("i").select(*[scoring.valid_json(F.col("t"), schema=s).alias(f"s{k}") for k, s in enumerate(schemas)]).collect()
+    want = [[matches(v, s) for s in schemas] for v in values]
+    assert [list(r) for r in got] == want
+    assert 100 < sum(map(sum, want)) < 1400
+
+
 ACT = "array<struct<tool_name: string, arguments: map<string, string>>>"
 TOOL = "struct<name: string, inputs: array<string>, outputs: array<string>, constraints: array<string>, safety: array<string>, tests: array<string>>"
 GIVEN = f"scenario_id string, category string, priority string, difficulty string, query string, stage_targets array<string>, tools array<struct<name: string, allowed: boolean>>, expected_actions array<struct<tool_name: string, arguments: map<string, string>, must_call: boolean>>, observations array<string>, must_include array<string>, must_not_include array<string>, expected_tool {TOOL}"
