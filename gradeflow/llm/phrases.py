@@ -246,7 +246,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, depth: int = 4, route_row
     return one.unionByName(got.where("whole").drop("whole")).unionByName(summed), single.where("phrase is null").selectExpr("lang", "f as n")
 
 
-def collocations(docs: DataFrame, *, least: int = 30, depth: int = 4, scale: int = 2_000_000, covered: int = 80, top: int = 2_000, **how: int | str) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 30, depth: int = 4, scale: int = 2_000_000, covered: int = 80, top: int = 2_000, parts: int = 32, **how: int | str) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``depth`` words.
 
     Words are runs without space and tab, A-Z lower-cased; phrases do not cross ``.,;:!?`` and line breaks. ``a`` is the
@@ -269,5 +269,7 @@ def collocations(docs: DataFrame, *, least: int = 30, depth: int = 4, scale: int
     inner = "flatten(transform(sequence(2, words - 1), k -> transform(sequence(0, words - k), i -> array_join(slice(w, i + 1, k), ' '))))"
     inside = counts.where("words > 2").selectExpr("lang", "f", "words", "split(phrase, ' ', -1) as w").selectExpr("lang", "f", f"explode({inner}) as phrase").groupBy("lang", "phrase").agg(F.max("f").alias("outer"))
     kept = lowest.join(inside, ["lang", "phrase"], "left").where(f"outer is null or cast(100 as decimal(3, 0)) * cast(outer as {wide}) < cast({covered} as decimal(3, 0)) * cast(a as {wide})")
-    ranked = kept.select("lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    ranked = kept.select("lang", "phrase", "a", "cut.*").withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    for by in (["lang", "_part"], ["lang"]):  # first in parts, so that no task sorts a whole language
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
