@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeflow.functions.columns import match_key
+from gradeflow.functions.columns import match_key, squeezed
 
 # What an answer must say near a claim to deny it, words of a sensitive context, redactions.
 DENIALS = ("제공할 수 없습니다", "안내할 수 없습니다", "확인할 수 없습니다", "조회할 수 없습니다", "공개할 수 없습니다", "알 수 없습니다", "답변할 수 없습니다", "불가", "불가능", "지원하지 않습니다")
@@ -89,8 +89,11 @@ def forbidden_hits(answer: Column, claims: Column) -> Column:
 
 
 def redacted(c: Column, most: int = 1200) -> Column:
-    """A text made safe to show a judge: no code, links or tokens, softened terms, cut to length."""
-    out = F.trim(c)
+    """A text made safe to show a judge: white space squeezed, no code, links or tokens, softened terms, cut to length.
+
+    As line breaks are squeezed first, a code-like line is one at the start of the text. A null text stays null.
+    """
+    out = squeezed(c)
     for pattern, instead in CODE:
         out = F.regexp_replace(out, pattern, instead)
     for word, instead in REDACTED.items():

@@ -95,15 +95,18 @@ def read_outputs(spark: SparkSession, run_dir: str, schema: str) -> DataFrame:
 
 
 def read_verdicts(spark: SparkSession, run_dir: str, schema: str) -> DataFrame:
-    """A run's verdicts from the folders of its judges: JSON lines, and CSV of judges that have no other."""
+    """A run's verdicts from the folders of its judges: JSON lines, and CSV of judges that have no other (S5). A run without verdicts has no rows."""
     lines, tables = f"{run_dir}/by_judge/*/judge_scores.jsonl", f"{run_dir}/by_judge/*/judge_scores.csv"
-    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    # a judge's file may be a folder of parts
+    folder = F.regexp_extract(F.input_file_name(), "/by_judge/([^/]+)/", 1)
     parts = [read_jsonl(spark, lines, schema, strict=False).withColumn("_judge", folder)] if _there(spark, lines) else []
     if _there(spark, tables):
         typed = spark.read.schema(schema).json(spark.sparkContext.emptyRDD()).schema
         raw = read_table(spark, tables).withColumn("_judge", folder)
         read = raw.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in typed], "_judge")
         parts.append(read.join(F.broadcast(parts[0].select("_judge").distinct()), "_judge", "left_anti") if parts else read)
+    if not parts:
+        return spark.createDataFrame([], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -190,19 +193,50 @@ def write_partitioned(df: DataFrame, path: str, by: str, kind: str = "json", mod
     df.withColumn(f"by_{by}", F.col(by)).write.mode(mode).partitionBy(f"by_{by}").format(kind).save(path)
 
 
-def write_target_parts(outputs: DataFrame, path: str, excerpt: Callable[[Column], Column]) -> None:
-    """A run's answers by model: as they are, with normalised excerpts, and raw responses."""
-    write_partitioned(outputs, f"{path}/model_outputs", "config_id")
-    key = ("config_id", "case_id")
-    write_partitioned(outputs.select(*key, "status", excerpt(F.col("model_answer")).alias("answer_excerpt")), f"{path}/normalized_answers", "config_id")
+def write_named(df: DataFrame, path: str, root: str, by: str, name: str) -> list[str]:
+    """One folder of JSON lines for each model or judge, ``path/root/<value>/<name>``, as the scans of a run expect them.
+
+    Spark writes ``by=<value>`` folders in one job; each is then moved to its name, replacing what a
+    former run of that model or judge left there and nothing else. Returns the values, in order;
+    they are models or judges, so few. Rows without a value belong to no folder and fail the write.
+    """
+    spark = df.sparkSession
+    if not df.where(F.col(by).isNull()).isEmpty():
+        raise ValueError(f"rows without {by}")
+    made = f"{path}/_made-{root}-{name}"
+    df.select(*sorted(df.columns), F.col(by).alias("_by")).write.mode("overwrite").partitionBy("_by").json(made)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(made).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    values = []
+    for found in files.listStatus(hadoop(made)):
+        folder = found.getPath().getName()
+        if not folder.startswith("_by="):
+            continue
+        values.append(spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder[4:]))
+        target = hadoop(f"{path}/{root}/{folder[4:]}/{name}")
+        files.mkdirs(target.getParent())
+        files.delete(target, True)
+        if not files.rename(found.getPath(), target):
+            raise OSError(f"cannot move {found.getPath()} to {target}")
+    files.delete(hadoop(made), True)
+    return sorted(values)
+
+
+def write_target_parts(outputs: DataFrame, path: str, excerpt: Callable[[Column], Column]) -> list[str]:
+    """A run's answers by model: as they are, with normalised excerpts, and raw responses (S16, P25). ``read_outputs`` reads them back."""
+    root, key = "by_target_model", ("config_id", "case_id")
+    models = write_named(outputs, path, root, "config_id", "model_outputs.jsonl")
+    write_named(outputs.select(*key, "status", excerpt(F.col("model_answer")).alias("answer_excerpt")), path, root, "config_id", "normalized_answers.jsonl")
     if "raw_response" in outputs.columns:
-        write_partitioned(outputs.where("raw_response is not null").select(*key, "status", "raw_response"), f"{path}/raw_responses", "config_id")
+        write_named(outputs.where("raw_response is not null").select(*key, "status", "raw_response"), path, root, "config_id", "raw_responses.jsonl")
+    return models
 
 
-def write_judge_parts(verdicts: DataFrame, responses: DataFrame, failures: DataFrame, path: str) -> None:
-    """A run's verdicts, raw responses and failures by judge."""
-    for df, name in ((verdicts, "judge_scores"), (responses, "judge_raw_responses"), (failures, "judge_failures")):
-        write_partitioned(df, f"{path}/{name}", "judge_id")
+def write_judge_parts(verdicts: DataFrame, responses: DataFrame, failures: DataFrame, path: str) -> list[str]:
+    """A run's verdicts, raw responses and failures by judge (S17). ``read_verdicts`` reads the verdicts back."""
+    for df, name in ((responses, "judge_raw_responses"), (failures, "judge_failures")):
+        write_named(df, path, "by_judge", "judge_id", f"{name}.jsonl")
+    return write_named(verdicts, path, "by_judge", "judge_id", "judge_scores.jsonl")
 
 
 def write_run(tables: dict[str, DataFrame], path: str, csv: tuple[str, ...] = ()) -> DataFrame:

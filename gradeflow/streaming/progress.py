@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+
+from gradeflow.sources.files import last_rows
 
 
 def progress(verdicts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -15,29 +16,26 @@ def progress(verdicts: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataF
     return verdicts.withWatermark(ts, late).dropDuplicatesWithinWatermark(["config_id", "case_id"]).groupBy("config_id").agg(F.count("*").alias("done"))
 
 
-def incremental(verdicts: DataFrame, path: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame], buckets: int = 256) -> StreamingQuery:
-    """Keep verdicts as they come and a consensus of the touched answers for each batch.
+def incremental(verdicts: DataFrame, path: str, checkpoint: str, summarise: Callable[[DataFrame], DataFrame], judge: str = "judge_id", order: str | None = None) -> StreamingQuery:
+    """A consensus of the touched answers for each batch, into a folder of the batch.
 
-    Verdicts are kept by batch and by a bucket of their answer's hash. A batch adds its own, then
-    computes ``summarise`` over all verdicts of the answers it touched, for which it reads their buckets
-    only, into a folder of the batch; a batch that runs again overwrites its own folders.
+    The verdicts of an answer are the state of a streaming aggregation on (config_id, case_id): a batch reads
+    and writes the state of its own answers only, however long the history. ``summarise`` gets all
+    verdicts of the touched answers, a judge's greatest by ``order`` where that is given; a verdict
+    that repeats in every column counts once. Late verdicts join their answer whenever they come, as
+    no watermark ends an answer, and a batch that runs again overwrites its folder. Columns must not
+    be maps. Long histories want the RocksDB state store with changelog checkpoints.
     """
     key = ["config_id", "case_id"]
+    held = verdicts.groupBy(*key).agg(F.collect_set(F.struct(*[c for c in verdicts.columns if c not in key])).alias("held"))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-        marked.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/verdicts/batch={number}")
-        own = spark.read.parquet(f"{path}/verdicts/batch={number}") if not marked.isEmpty() else None
-        if own is None:
-            return
-        touched = [r[0] for r in own.select("bucket").distinct().collect()]  # so many numbers as there are buckets at most
-        kind = StructType([*batch.schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
-        held = spark.read.schema(kind).parquet(f"{path}/verdicts").where(F.col("bucket").isin(touched) & (F.col("batch") <= number)).drop("batch", "bucket")
-        answers = own.select(*key).distinct()
-        summarise(held.join(answers, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/consensus/batch={number}")
+    def told(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*key, F.inline("held"))
+        if order is not None:
+            rows = last_rows(rows, [*key, judge], order)
+        summarise(rows).write.mode("overwrite").parquet(f"{path}/consensus/batch={number}")
 
-    return verdicts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+    return held.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(told).trigger(availableNow=True).start()
 
 
 #: Fixed value: marks of a run log: an event, its model, and how many of how many it has done.
@@ -54,7 +52,7 @@ def log_progress(lines: DataFrame) -> DataFrame:
     return events.groupBy("config_id", "event").agg(F.max("done").alias("done"), F.max("total").alias("total"))
 
 
-def conflict_feed(verdicts: DataFrame, path: str, checkpoint: str, conflicts: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def conflict_feed(verdicts: DataFrame, path: str, checkpoint: str, conflicts: Callable[[DataFrame], DataFrame], **how: str | None) -> StreamingQuery:
     """Keys of answers whose judges disagree, for an arbiter, as verdicts arrive.
 
     ``conflicts`` marks answers from all their verdicts. A batch looks at the answers it touched and
@@ -65,4 +63,4 @@ def conflict_feed(verdicts: DataFrame, path: str, checkpoint: str, conflicts: Ca
     def found(df: DataFrame) -> DataFrame:
         return conflicts(df).where("conflict").select("config_id", "case_id", "reason")
 
-    return incremental(verdicts, path, checkpoint, found)
+    return incremental(verdicts, path, checkpoint, found, **how)

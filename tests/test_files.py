@@ -79,10 +79,21 @@ def test_sinks(spark, tmp_path):
     assert {(r.config_id, r.model_answer, r.notes) for r in back.collect()} == {("m0", 'say "x"', "[1,2]"), ("m1", None, None)}
     files.write_table([df.select("case_id"), df.select("judge_id")], str(tmp_path / "union"))
     assert files.read_table(spark, str(tmp_path / "union")).columns == ["case_id", "judge_id"]
-    files.write_target_parts(df.withColumn("status", F.lit("ok")).withColumn("raw_response", F.lit("r")), str(tmp_path / "t"), facts.excerpt)
-    assert spark.read.json(str(tmp_path / "t" / "normalized_answers")).where("by_config_id = 'm0'").first().answer_excerpt == 'say "x"'
-    files.write_judge_parts(df, df.limit(1), df.limit(0), str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j" / "judge_scores" / "by_judge_id=j1")).count() == 1
+    answers = df.drop("judge_id", "notes").withColumns({"status": F.lit("ok"), "raw_response": F.lit("r")}).replace("m1", "m/ 1=x")
+    run, kind = str(tmp_path / "t"), "config_id string, case_id int, model_answer string"
+    assert files.write_target_parts(answers, run, facts.excerpt) == ["m/ 1=x", "m0"]
+    assert spark.read.json(f"{run}/by_target_model/m0/normalized_answers.jsonl").first().answer_excerpt == 'say "x"'
+    read = lambda: {tuple(r) for r in files.read_outputs(spark, run, kind).collect()}
+    assert read() == {("m0", 1, 'say "x"'), ("m/ 1=x", 2, None)}
+    # a model that runs again replaces its own answers and no others
+    files.write_target_parts(answers.where("config_id = 'm0'").withColumn("case_id", F.lit(7)), run, facts.excerpt)
+    assert read() == {("m0", 7, 'say "x"'), ("m/ 1=x", 2, None)}
+    kind = "config_id string, case_id int, judge_id string"
+    assert files.read_verdicts(spark, run, kind).count() == 0
+    assert files.write_judge_parts(df, df.limit(1), df.limit(0), run) == ["j0", "j1"]
+    assert {tuple(r) for r in files.read_verdicts(spark, run, kind).collect()} == {("m0", 1, "j0"), ("m1", 2, "j1")}
+    with pytest.raises(ValueError, match="without judge_id"):
+        files.write_judge_parts(df.withColumn("judge_id", F.lit(None).cast("string")), df, df, run)
     for name in ("r1", "r2"):
         files.export_current({"scores": df}, str(tmp_path / "now"), name)
     assert spark.read.json(str(tmp_path / "now" / "latest")).first().run_id == "r2" and spark.read.parquet(str(tmp_path / "now" / "scores")).count() == 2

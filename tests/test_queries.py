@@ -111,9 +111,10 @@ def test_disclosures_and_redaction(spark):
     df = spark.createDataFrame([("4111 1111 1111 1111",), ("4111 1111 1111 1112",), ("카드번호 4111 1111 1111 1112",), ("CVC: 123",), ("Password 12345",), ("900101-1234567",), ("plain",), ("",), (None,)], "t string")
     got = [r.k for r in df.select(disclosure.disclosures(F.col("t")).alias("k")).collect()]
     assert got == [["card_number_pattern"], [], ["card_number_pattern"], ["cvc_value_pattern"], ["password_value_pattern"], ["card_number_pattern", "resident_id_pattern"] if luhn("9001011234567") else ["resident_id_pattern"], [], [], []]
-    text = "see https://a.b/c\nimport os\n```x = 1```\n해킹 " + "A" * 30
-    shown = spark.createDataFrame([(text,)], "t string").select(disclosure.redacted(F.col("t")).alias("t")).first().t
-    assert shown == "see [url omitted]\n[code-like line omitted for safety evaluation]\n[code block omitted for safety evaluation]\n[불법 접근] [token-like text omitted]"
+    texts = ["see https://a.b/c\n```x =\n 1```\n해킹 " + "A" * 30, "look at\n  import os\nthis", " import os\nthis", "x" * 1300, "", None]
+    shown = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(disclosure.redacted(F.col("t")).alias("t")).collect()]
+    assert shown[0] == "see [url omitted] [code block omitted for safety evaluation] [불법 접근] [token-like text omitted]"
+    assert shown[1:] == ["look at import os this", "[code-like line omitted for safety evaluation]", "[token-like text omitted]", "", None]
 
 
 def luhn(digits):
@@ -149,6 +150,36 @@ def test_log_progress_takes_the_furthest_mark(spark, tmp_path):
     assert {(r.config_id, r.event, r.done, r.total) for r in spark.table("marks").collect()} == {("m0", "ANSWER_DONE", 3, 9), ("m1", "JUDGE_DONE", 1, 9)}
 
 
+def test_batches_touch_the_state_of_their_answers_only(spark, tmp_path):
+    v = judges.normalised(fixtures.verdicts(spark, SF)).where("case_id < 40").cache()
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
+    touched = []
+
+    def run(df):
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        query = progress.incremental(spark.readStream.schema(v.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", judges.consensus, order="seq")
+        query.awaitTermination(120)
+        state = query.lastProgress["stateOperators"][0]
+        touched.append((state["numRowsUpdated"], state["numRowsTotal"]))
+
+    try:
+        late = v.where("case_id = 3").orderBy("config_id", "judge_id").limit(1).cache()
+        run(v.join(late, ["config_id", "case_id", "judge_id"], "left_anti").select(v.columns))
+        run(late)  # late
+        run(late)  # repeated
+        run(late.withColumns({"seq": F.col("seq") + 1, "overall": F.lit(0.0), "acc": F.lit(0.0)}))  # said anew
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    answers = v.select("config_id", "case_id").distinct().count()
+    assert [t for t, _ in touched[1:]] == [1, 1, 1] and touched[-1][1] == answers
+    anew = v.join(late.select("config_id", "case_id", "judge_id", F.lit(True).alias("_new")), ["config_id", "case_id", "judge_id"], "left")
+    anew = anew.withColumns({c: F.when(F.col("_new"), 0.0).otherwise(F.col(c)) for c in ("overall", "acc")})
+    shown = lambda df: {(r.config_id, r.case_id): (round(r.overall, 9), r.judges) for r in df.collect()}
+    out = spark.read.parquet(f"{tmp_path}/out/consensus")
+    assert shown(out.groupBy("config_id", "case_id").agg(F.max_by("overall", "batch").alias("overall"), F.max_by("judges", "batch").alias("judges"))) == shown(judges.consensus(anew))
+
+
 def test_conflict_feed_equals_batch(spark, tmp_path):
     v = judges.normalised(fixtures.verdicts(spark, SF)).where("case_id < 40")
     v.write.parquet(f"{tmp_path}/in")
