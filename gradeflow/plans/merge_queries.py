@@ -14,18 +14,33 @@ _RUNS = f"""SELECT config_id, case_id, judge_id, seq, r * 3 + seq AS run, CASE W
   CASE f WHEN 0 THEN 'HTTP Error 429: try again in 2.5s' WHEN 2 THEN 'request timed out' WHEN 3 THEN 'judged a sanitized safety-evaluation text' WHEN 4 THEN 'HTTP Error 429: exceeded your current quota, retry_after=30' WHEN 6 THEN 'Try again in 2m' ELSE 'fine' END AS reason
 FROM (SELECT *, (case_id + 5 * seq + 3 * r + CAST(substr(config_id, 2) AS INT) * 7) % 29 AS f FROM ({fx.VERDICTS_SQL}) AS v CROSS JOIN (VALUES (0), (1)) AS again(r) WHERE r = 0 OR case_id % 6 = 0) AS w"""
 _BLOCKED = "(lower(status) = 'refused_by_provider_policy' OR contains(lower(reason), 'cyber_policy') OR contains(lower(reason), 'sanitized safety-evaluation'))"
-_MERGED = f"""rn AS (SELECT *, {_BLOCKED} AS blocked FROM ({_RUNS})),
+_GOOD = f"""rn AS (SELECT *, {_BLOCKED} AS blocked FROM ({_RUNS})),
 gd AS (SELECT * FROM rn WHERE status = 'ok' AND NOT blocked QUALIFY row_number() OVER (PARTITION BY config_id, case_id, judge_id ORDER BY run DESC, seq DESC) = 1),
 nv AS (SELECT *, accuracy / 2.0::DOUBLE AS acc, CASE WHEN completeness >= 0 THEN completeness / 2.0::DOUBLE END AS com, CASE WHEN numerical_accuracy >= 0 THEN numerical_accuracy::DOUBLE END AS nac, (1 - hallucination)::DOUBLE AS hal_pass FROM gd),
-ov AS (SELECT *, (acc + coalesce(com, 0) + coalesce(nac, 0) + hal_pass) / (2 + (com IS NOT NULL)::INT + (nac IS NOT NULL)::INT) AS overall FROM nv), ps AS (SELECT *, overall >= 0.6 AND NOT critical_fail AS pass FROM ov),
-ag AS (SELECT config_id, case_id, count(*) AS ok_judges, avg(acc) AS acc, avg(com) AS com, avg(nac) AS nac, avg(hal_pass) AS hal_pass, bool_or(critical_fail) AS critical_fail, coalesce(arg_min(error_type, struct_pack(o := overall, s := seq)) FILTER (WHERE error_type <> 'normal'), 'normal') AS error_type,
-  count(*) > 1 AND (count(DISTINCT pass) > 1 OR max(overall) - min(overall) >= 0.3 OR count(DISTINCT error_type) FILTER (WHERE error_type <> 'normal') > 1) AS conflict FROM ps GROUP BY 1, 2),
-st AS (SELECT *, (acc + coalesce(com, 0) + coalesce(nac, 0) + hal_pass) / (2 + (com IS NOT NULL)::INT + (nac IS NOT NULL)::INT) AS overall FROM ag WHERE ok_judges >= 2),
-er AS (SELECT config_id, case_id, arg_max(struct_pack(s := status, r := reason), struct_pack(b := blocked, r := run, q := seq)) AS last FROM rn WHERE blocked OR status = 'error' GROUP BY 1, 2),
+ov AS (SELECT *, (acc + coalesce(com, 0) + coalesce(nac, 0) + hal_pass) / (2 + (com IS NOT NULL)::INT + (nac IS NOT NULL)::INT) AS overall FROM nv), ps AS (SELECT *, overall >= 0.6 AND NOT critical_fail AS pass FROM ov)"""
+#: From rows with a verdict of the good judges (ag) and a settled one (st): the merged rows.
+_SETTLED = """er AS (SELECT config_id, case_id, arg_max(struct_pack(s := status, r := reason), struct_pack(b := blocked, r := run, q := seq)) AS last FROM rn WHERE blocked OR status = 'error' GROUP BY 1, 2),
 ab AS (SELECT config_id, case_id, bool_or(blocked) AS manual, array_to_string(list_sort(list(DISTINCT run::VARCHAR)), ',') AS runs FROM rn GROUP BY 1, 2),
 mg AS (SELECT config_id, case_id, CASE WHEN manual THEN 'refused_by_provider_policy' WHEN overall IS NOT NULL THEN 'ok' ELSE last.s END AS status, coalesce(ag.ok_judges, 0) AS ok_judges, overall, overall >= 0.6 AND NOT st.critical_fail AS pass, st.critical_fail, st.error_type,
-  coalesce(st.conflict, false) OR manual AS conflict, CASE WHEN manual THEN 'manual_review_required' WHEN st.conflict THEN 'review' WHEN overall IS NOT NULL THEN 'none' END AS resolution, coalesce(st.conflict, false) OR manual AS unresolved, CASE WHEN overall IS NULL AND NOT manual THEN last.r END AS reason, runs
+  coalesce(st.conflict, false) OR manual AS conflict, CASE WHEN manual THEN 'manual_review_required' WHEN overall IS NOT NULL THEN st.settled END AS resolution, coalesce(st.settled IN ('review', 'unresolved'), false) OR manual AS unresolved, CASE WHEN overall IS NULL AND NOT manual THEN last.r END AS reason, runs
   FROM ab LEFT JOIN ag USING (config_id, case_id) LEFT JOIN st USING (config_id, case_id) LEFT JOIN er USING (config_id, case_id) WHERE overall IS NOT NULL OR last IS NOT NULL)"""
+_MERGED = f"""{_GOOD},
+ag AS (SELECT config_id, case_id, count(*) AS ok_judges, avg(acc) AS acc, avg(com) AS com, avg(nac) AS nac, avg(hal_pass) AS hal_pass, bool_or(critical_fail) AS critical_fail, coalesce(arg_min(error_type, struct_pack(o := overall, s := seq)) FILTER (WHERE error_type <> 'normal'), 'normal') AS error_type,
+  count(*) > 1 AND (count(DISTINCT pass) > 1 OR max(overall) - min(overall) >= 0.3 OR count(DISTINCT error_type) FILTER (WHERE error_type <> 'normal') > 1) AS conflict FROM ps GROUP BY 1, 2),
+st AS (SELECT *, (acc + coalesce(com, 0) + coalesce(nac, 0) + hal_pass) / (2 + (com IS NOT NULL)::INT + (nac IS NOT NULL)::INT) AS overall, CASE WHEN conflict THEN 'review' ELSE 'none' END AS settled FROM ag WHERE ok_judges >= 2),
+{_SETTLED}"""
+
+#: The third judge settles conflicts of the other two; where it spoke alone, it is the base.
+_ARBITRATED = f"""{_GOOD},
+bs AS (SELECT *, count(*) FILTER (WHERE judge_id <> 'j2') OVER (PARTITION BY config_id, case_id) AS others, count(*) OVER (PARTITION BY config_id, case_id) AS ok_judges FROM ps),
+bm AS (SELECT config_id, case_id, ok_judges, avg(acc) AS acc, avg(com) AS com, avg(nac) AS nac, avg(hal_pass) AS hal_pass, bool_or(critical_fail) AS critical_fail, coalesce(arg_min(error_type, struct_pack(o := overall, s := seq)) FILTER (WHERE error_type <> 'normal'), 'normal') AS error_type,
+  count(*) > 1 AND (count(DISTINCT pass) > 1 OR max(overall) - min(overall) >= 0.3 OR count(DISTINCT error_type) FILTER (WHERE error_type <> 'normal') > 1) AS conflict FROM bs WHERE judge_id <> 'j2' OR others = 0 GROUP BY 1, 2, 3),
+ag AS (SELECT *, (acc + coalesce(com, 0) + coalesce(nac, 0) + hal_pass) / (2 + (com IS NOT NULL)::INT + (nac IS NOT NULL)::INT) AS own FROM bm),
+ar AS (SELECT config_id, case_id, overall AS o, critical_fail AS c, error_type AS e FROM bs WHERE judge_id = 'j2' AND others > 0),
+st AS (SELECT config_id, case_id, CASE WHEN conflict AND o IS NOT NULL THEN o ELSE own END AS overall, CASE WHEN conflict AND o IS NOT NULL THEN c ELSE critical_fail END AS critical_fail, CASE WHEN conflict AND o IS NOT NULL THEN e ELSE error_type END AS error_type,
+  conflict, CASE WHEN conflict AND o IS NOT NULL THEN 'arbiter_override' WHEN conflict THEN 'unresolved' ELSE 'none' END AS settled FROM ag LEFT JOIN ar USING (config_id, case_id)),
+{_SETTLED}"""
+_ROWS = "SELECT config_id, case_id, status, ok_judges, round(overall, 6) AS overall, pass, critical_fail, error_type, conflict, resolution, unresolved, unresolved AS human_review_required, reason, runs FROM mg"
 
 
 def runs(spark, d):
@@ -36,7 +51,7 @@ def _merged(spark, d):
     return merge.merged(runs(spark, d), policy="review", method="mean", min_ok=2)
 
 
-@query(f"WITH {_MERGED} SELECT config_id, case_id, status, ok_judges, round(overall, 6) AS overall, pass, critical_fail, error_type, conflict, resolution, unresolved, unresolved AS human_review_required, reason, runs FROM mg")
+@query(f"WITH {_MERGED} {_ROWS}")
 def judge_runs_merged(spark, d):
     """A10, J12, W2, W7, F10."""
     return rounded(_merged(spark, d), "overall")
@@ -48,7 +63,7 @@ def merge_summary(spark, d):
     return merge.merge_summary(_merged(spark, d))
 
 
-@query()
+@query(f"WITH {_ARBITRATED} {_ROWS}")
 def judge_runs_arbitrated(spark, d):
     """The third judge settles conflicts of the other two."""
     return rounded(merge.merged(runs(spark, d), arbiter_id="j2", policy="arbiter_override", method="mean"), "overall")

@@ -163,7 +163,16 @@ def forbidden_claims_all(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
 
 
-@query()
+_SAFE = f"trim(regexp_replace(text, '{WS}', ' ', 'g'))"
+for _pattern, _instead in disclosure.CODE:
+    _SAFE = f"regexp_replace({_SAFE}, '{_pattern}', '{_instead}', 'g')"
+for _term, _instead in disclosure.REDACTED.items():
+    _SAFE = f"replace({_SAFE}, '{_term}', '{_instead}')"
+for _pattern, _instead in disclosure.LINKS:
+    _SAFE = f"regexp_replace({_SAFE}, '{_pattern}', '{_instead}', 'g')"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(t) > 1200 THEN substr(t, 1, 1200) || '...' ELSE t END AS text FROM (SELECT doc_id, {_SAFE} AS t FROM documents) AS s")
 def texts_redacted(spark, d):
     """P43."""
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", disclosure.redacted(F.col("text")).alias("text"))
