@@ -176,7 +176,7 @@ class Levels:
 def _packed(batches: Batches, tokenizer: str, window: int, end_id: int | None) -> Batches:
     tokens, levels = Tokenised(tokenizer), Levels(window)
     block = TaskContext.get().partitionId() << 40
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 20):
         ids, ends = tokens.encode(batch.column(1))
         counts = np.diff(ends)
         if end_id is not None:
@@ -204,11 +204,13 @@ def packed_sequences(docs: DataFrame, *, tokenizer: str, window: int = 2048, end
     closing id; then a document without ids has no piece). Null texts are empty; rows that
     repeat an id, or have none, are documents of their own. An empty table has no rows. There
     is a block for each ``block_docs`` documents, ``most_blocks`` at most; beyond that blocks grow.
+    Rows are dealt by id and text, so rows without an id spread over all blocks too; rows that
+    repeat both share a block. Columns other than these two are not read.
     """
     blocks = max(1, min(most_blocks, -(-docs.count() // block_docs)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # by id within a block: a task that runs again packs alike
-    dealt = rows.repartition(blocks, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartition(blocks, F.xxhash64("doc_id", "text")).sortWithinPartitions("doc_id", "text")
     out = dealt.mapInArrow(partial(_packed, tokenizer=tokenizer, window=window, end_id=end_id), "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)
 

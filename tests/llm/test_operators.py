@@ -346,6 +346,13 @@ def test_packing_round_trip(spark):
     assert packing.packed_sequences(docs.limit(0), tokenizer=path).count() == 0
 
 
+def test_packing_deals_null_ids_to_all_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(400)], "doc_id long, text string")
+    pieces = packing.packed_sequences(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), block_docs=100)
+    per_block = pieces.groupBy((F.col("sequence_id") / 2**40).cast("long").alias("block")).count().collect()
+    assert len(per_block) == 4 and sum(r["count"] for r in per_block) == 400 and max(r["count"] for r in per_block) < 200
+
+
 def test_levels_follow_the_sum_of_squares():
     rng = random.Random(1)
     levels, fill = packing.Levels(32), {}
