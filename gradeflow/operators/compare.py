@@ -9,9 +9,10 @@ KEY = ["config_id", "case_id"]
 EDGES = (0.0, 5.0, 10.0, 20.0, 30.0)
 
 
-def compared(base: DataFrame, other: DataFrame, floor: float = 1.0) -> DataFrame:
-    """Answers that both runs scored, with the difference, also relative to the base."""
-    side = lambda df, p: df.select(*KEY, F.col("overall").alias(f"{p}_score"), F.col("pass").alias(f"{p}_pass"))
+def compared(base: DataFrame, other: DataFrame, floor: float = 1.0, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Answers that both runs scored, with the difference, also relative to the base (J5, D3). ``more`` are (column, name) of each side to be carried on."""
+    names = (("overall", "score"), ("pass", "pass"), *more)
+    side = lambda df, p: df.select(*KEY, *[F.col(c).alias(f"{p}_{n}") for c, n in names])
     out = side(base, "base").join(side(other, "other"), KEY).withColumn("delta", F.col("other_score") - F.col("base_score"))
     return out.withColumns({"gap": F.abs("delta"), "relative": F.abs("delta") / F.greatest(F.abs("base_score"), F.lit(floor)) * 100})
 
@@ -28,8 +29,7 @@ def _quantiles(df: DataFrame) -> DataFrame:
 
 def marked(base: DataFrame, other: DataFrame, *, mode: str = "points", threshold: float = 0.3, error_types: bool = True, arbiter: DataFrame | None = None, floor: float = 1.0) -> DataFrame:
     """Pairs with whether they differ in gap (points or ``relative_percent``), passing and error type, and what an arbiter said."""
-    extra = lambda df, p: df.select(*KEY, F.col("error_type").alias(f"{p}_error"))
-    out = compared(base, other, floor).join(extra(base, "base"), KEY).join(extra(other, "other"), KEY)
+    out = compared(base, other, floor, (("error_type", "error"),))
     out = out.withColumn("selected_gap", F.col("relative") if mode == "relative_percent" else F.col("gap"))
     out = out.withColumns({"gap_met": F.col("selected_gap") >= threshold, "pass_mismatch": F.col("base_pass") != F.col("other_pass"), "error_mismatch": F.col("base_error") != F.col("other_error")})
     out = out.withColumn("conflict", F.col("gap_met") | F.col("pass_mismatch") | (F.col("error_mismatch") if error_types else F.lit(False)))
@@ -38,23 +38,29 @@ def marked(base: DataFrame, other: DataFrame, *, mode: str = "points", threshold
     return out.join(arbiter.select(*KEY, F.col("overall").alias("arbiter_score"), F.col("pass").alias("arbiter_pass")), KEY, "left")
 
 
-def report(pairs: DataFrame, base: DataFrame, other: DataFrame) -> DataFrame:
+def report(pairs: DataFrame, base: DataFrame, other: DataFrame, approximate: bool = False) -> DataFrame:
     """One row about a comparison: rows of each side, matched and missing; scores, gaps and their quantiles; mismatches, conflicts, what the arbiter settled, final scores.
 
-    The final score of an answer is the mean of both where they agree, the arbiter's where they don't and it spoke.
+    The final score of an answer is the mean of both where they agree, the arbiter's where they don't and it spoke. ``approximate`` bounds the memory of the quantiles where gaps are too many.
     """
+    quantile = F.percentile_approx if approximate else F.percentile
     agreed = ~F.col("conflict")
     settled = F.col("conflict") & F.col("arbiter_score").isNotNull()
     final = F.when(agreed, (F.col("base_score") + F.col("other_score")) / 2).when(settled, F.col("arbiter_score"))
     passed = F.when(agreed, F.col("base_pass")).when(settled, F.col("arbiter_pass"))
     many = {"candidate_higher": F.col("delta") > 0, "baseline_higher": F.col("delta") < 0, "same_score": F.col("delta") == 0, "gap_met": F.col("gap_met"), "pass_mismatch": F.col("pass_mismatch"), "error_mismatch": F.col("error_mismatch"), "conflict": F.col("conflict"), "arbiter_settled": settled, "arbiter_missing": F.col("conflict") & ~settled, "final_complete": final.isNotNull(), "final_pass": F.coalesce(passed, F.lit(False)), "baseline_pass": F.col("base_pass"), "candidate_pass": F.col("other_pass")}
     means = {"baseline_avg": F.col("base_score"), "candidate_avg": F.col("other_score"), "avg_delta": F.col("delta"), "avg_gap": F.col("gap"), "avg_selected_gap": F.col("selected_gap"), "final_avg": final}
-    out = pairs.agg(F.count("*").alias("matched_rows"), *[F.count_if(c).alias(f"{n}_rows") for n, c in many.items()], *[F.avg(c).alias(n) for n, c in means.items()], F.percentile("gap", [0.5, 0.9, 0.95]).alias("_q"), F.percentile("selected_gap", 0.9).alias("p90_selected_gap"))
-    sides = {"baseline_source_rows": base.agg(F.count("*").alias("n")), "candidate_source_rows": other.agg(F.count("*").alias("n")), "missing_candidate_rows": base.join(other, KEY, "left_anti").agg(F.count("*").alias("n")), "missing_baseline_rows": other.join(base, KEY, "left_anti").agg(F.count("*").alias("n"))}
-    out = _quantiles(out)
-    for name, one in sides.items():  # single rows
-        out = out.crossJoin(one.select(F.col("n").alias(name)))
-    return out
+    out = pairs.agg(F.count("*").alias("matched_rows"), *[F.count_if(c).alias(f"{n}_rows") for n, c in many.items()], *[F.avg(c).alias(n) for n, c in means.items()], quantile("gap", [0.5, 0.9, 0.95]).alias("_q"), quantile("selected_gap", 0.9).alias("p90_selected_gap"))
+    return _quantiles(out).crossJoin(_sides(base, other))  # single rows
+
+
+def _sides(base: DataFrame, other: DataFrame) -> DataFrame:
+    """How many rows each run has, and how many of them the other lacks: one row from one aggregation on the key. A key with a null matches nothing."""
+    sides = base.select(*KEY, F.lit(1).alias("_b"), F.lit(0).alias("_o")).unionByName(other.select(*KEY, F.lit(0).alias("_b"), F.lit(1).alias("_o")))
+    keyed = sides.groupBy(*KEY).agg(F.sum("_b").alias("_b"), F.sum("_o").alias("_o"))
+    lost = F.col(KEY[0]).isNull() | F.col(KEY[1]).isNull()
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return keyed.agg(total(F.col("_b"), "baseline_source_rows"), total(F.col("_o"), "candidate_source_rows"), total(F.when(lost | (F.col("_o") == 0), F.col("_b")), "missing_candidate_rows"), total(F.when(lost | (F.col("_b") == 0), F.col("_o")), "missing_baseline_rows"))
 
 
 def by_dimension(pairs: DataFrame, column: str) -> DataFrame:
