@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeflow.sources.scratch import checkpointed
+
 # Names of question types and topics, and the words that point to them, the first that fits.
 QUESTION_TYPES = (
     ("민감", ("민감", "sensitive")),
@@ -60,25 +62,65 @@ def case_ids(rows: DataFrame, names: tuple[str, ...] = ("case_id", "scenario_id"
     return F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in rows.columns], made)
 
 
-def lifecycle_defaults(status: Column, gold: Column, pool: Pool, release: Column | None = None, review: Column | None = None) -> dict[str, Column]:
+def lifecycle_defaults(status: Column, gold: Column, gates: Column | bool, release: Column | None = None, review: Column | None = None) -> dict[str, Column]:
     """Whether a case may gate a release and whether people must see it, where it does not say so itself."""
-    can = (status == "active") & gold
-    said = F.coalesce(release, F.lit(pool.gates)) if release is not None else F.lit(pool.gates)
+    can, gates = (status == "active") & gold, gates if isinstance(gates, Column) else F.lit(gates)
+    said = F.coalesce(release, gates) if release is not None else gates
     needs = status.isin("draft", "shadow") | ~gold
     return {"release_gate_eligible": said & can, "human_review_required": F.coalesce(review, needs) if review is not None else needs}
 
 
-def annotated(cases: DataFrame, pool: Pool, seed: str, profile: str = "", source_hash: str = "") -> DataFrame:
-    """Cases of a pool with prefixed ids, role, version, hash, seed, profile and lifecycle (P12). Takes case_status and gold_verified; a case's own flags win."""
+def annotated(cases: DataFrame, pool: Column, defaults: list[str], seed: str, profile: str = "", source_hash: str = "") -> DataFrame:
+    """Cases with prefixed ids and the role, version, hash, seed, profile and lifecycle of their pools.
+
+    ``pool`` is a struct of role, gates, prefix, version, public and a map of defaults, of which the named
+    ones become columns. Takes pool_id, case_status and gold_verified; a case's own flags and values win.
+    """
     own = lambda c: F.col(c) if c in cases.columns else None
     gold = F.coalesce("gold_verified", F.lit(False))
-    plain = F.col("case_id")
-    prefixed = F.when(plain.startswith(f"{pool.prefix}::"), plain).otherwise(F.concat(F.lit(f"{pool.prefix}::"), plain)) if pool.prefix else plain
-    flags = lifecycle_defaults(F.col("case_status"), gold, pool, own("release_gate_eligible"), own("human_review_required"))
-    marks = {"dataset_pool_id": pool.pool_id, "dataset_role": pool.role, "dataset_version": pool.version, "source_hash": source_hash, "is_public": pool.public, "selection_seed": seed, "profile_id": profile}
-    out = cases.withColumns({"source_case_id": plain, "case_id": prefixed, "gold_verified": gold, **flags, **{k: F.lit(v) for k, v in marks.items()}})
-    out = out.withColumn("gate_eligible", F.lit(pool.gates) & F.col("release_gate_eligible"))
-    return out.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in cases.columns else F.lit(v) for k, v in pool.defaults.items()})
+    plain, begin = F.col("case_id"), F.concat(pool["prefix"], F.lit("::"))
+    prefixed = F.when((pool["prefix"] == "") | plain.startswith(begin), plain).otherwise(F.concat(begin, plain))
+    flags = lifecycle_defaults(F.col("case_status"), gold, pool["gates"], own("release_gate_eligible"), own("human_review_required"))
+    marks = {"dataset_pool_id": F.col("pool_id"), "dataset_role": pool["role"], "dataset_version": pool["version"], "source_hash": F.lit(source_hash), "is_public": pool["public"], "selection_seed": F.lit(seed), "profile_id": F.lit(profile)}
+    out = cases.withColumns({"source_case_id": plain, "case_id": prefixed, "gold_verified": gold, **flags, **marks})
+    out = out.withColumn("gate_eligible", pool["gates"] & F.col("release_gate_eligible"))
+    return out.withColumns({k: F.coalesce(F.col(k), pool["defaults"][k]) if k in cases.columns else pool["defaults"][k] for k in defaults})
+
+
+def _reach(cases: DataFrame, order: DataFrame, most: int, seed: str) -> DataFrame:
+    """For each pool the cases that it may come to take, with their places by hash: slim rows (pool_order, case_id, place, quota).
+
+    A pool passes over no more cases than earlier pools take in all, nor more than it shares with
+    them, so its picks lie within that many places behind its quota. Places are taken in 32 parts of
+    each pool first, cut at the longest reach, so that no task sorts a whole pool.
+    """
+    shared = cases.groupBy("case_id").agg(F.min("pool_order").alias("_first"))
+    common = cases.join(shared, "case_id").groupBy("pool_order").agg(F.count_if(F.col("pool_order") > F.col("_first")).alias("_common"))
+    depth = order.join(common, "pool_order").select("pool_order", "quota", (F.col("quota") + F.least("before", "_common")).alias("_depth"))
+    hashed = cases.join(F.broadcast(depth), "pool_order").withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), "pool_id", "case_id"), 256))
+    parts = Window.partitionBy("pool_order", F.substring("_h", 64, 1), F.substring("_h", 63, 1) < "8").orderBy("_h", "case_id")
+    first = hashed.withColumn("_n", F.row_number().over(parts)).where((F.col("_n") <= most) & (F.col("_n") <= F.col("_depth")))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("pool_order").orderBy("_h", "case_id")))
+    return placed.where(F.col("place") <= F.col("_depth")).select("pool_order", "case_id", "place", "quota")
+
+
+def _claimed(reach: DataFrame) -> DataFrame:
+    """(pool_order, case_id) of the cases that pools take, the earlier pool first.
+
+    In each round every pool claims the first cases that it has not lost, as many as its quota; of the
+    pools that claim a case the earliest holds it, and all later ones lose it. When no pool loses
+    a case, each holds what it would have taken in its turn. The rounds follow chains of pools that
+    take cases from each other, not the number of pools.
+    """
+    left = checkpointed(reach)
+    while True:
+        claims = left.withColumn("_n", F.row_number().over(Window.partitionBy("pool_order").orderBy("place"))).withColumn("_claims", F.col("_n") <= F.col("quota"))
+        held = claims.where("_claims").groupBy("case_id").agg(F.min("pool_order").alias("_holder"), F.count("*").alias("_pools"))
+        marked = checkpointed(claims.drop("_n").join(held, "case_id", "left"))
+        lost = F.col("pool_order") > F.col("_holder")
+        if marked.where(F.col("_claims") & lost).isEmpty():
+            return marked.where("_claims").select("pool_order", "case_id")
+        left = marked.where(~F.coalesce(lost, F.lit(False))).drop("_claims", "_holder", "_pools")
 
 
 def composed(cases: DataFrame, pools: list[Pool], *, seed: str, profile: str = "", strict: bool = True) -> DataFrame:
@@ -86,22 +128,29 @@ def composed(cases: DataFrame, pools: list[Pool], *, seed: str, profile: str = "
 
     ``cases`` has pool_id, case_id, ordinal, case_status and gold_verified. Of a pool's cases with one id
     the first counts; only active ones are taken, shadow ones where a pool has no active one (F3); a
-    case that an earlier pool took is passed over, so later pools reach deeper. A loop over the few
-    pools; cases themselves never come to the driver. With ``strict`` a pool that falls short fails.
+    case that an earlier pool took is passed over, so later pools reach deeper. All pools are
+    filled together, so neither plan nor jobs grow with their number; cases themselves never come to
+    the driver. With ``strict`` a pool that falls short fails. Cases without an id are never taken.
     """
-    once = cases.withColumn("_n", F.row_number().over(Window.partitionBy("pool_id", "case_id").orderBy("ordinal"))).where("_n = 1").drop("_n")
-    taken = out = None
-    for pool in pools:
-        own = once.where(F.col("pool_id") == pool.pool_id)
-        wanted = "active" if not own.where("case_status = 'active'").isEmpty() else "shadow"
-        own = own.where(F.col("case_status") == wanted)
-        if taken is not None:
-            own = own.join(taken, "case_id", "left_anti")
-        part = sampled(own, {pool.pool_id: pool.quota}, seed, strict)
-        taken = part.select("case_id") if taken is None else taken.unionByName(part.select("case_id"))
-        marked = annotated(part, pool, seed, profile)
-        out = marked if out is None else out.unionByName(marked, allowMissingColumns=True)
-    return out
+    spark, before, rows = cases.sparkSession, 0, []
+    for k, p in enumerate(pools):
+        rows.append((k, p.pool_id, p.quota, before, p.role, p.gates, p.prefix, p.version, p.public, dict(p.defaults)))
+        before += p.quota
+    order = spark.createDataFrame(rows, "pool_order int, pool_id string, quota int, before long, role string, gates boolean, prefix string, version string, public boolean, defaults map<string,string>")
+    slim = cases.where("case_id is not null").groupBy("pool_id", "case_id").agg(F.min_by("case_status", F.struct("ordinal", "case_status")).alias("case_status"))
+    wanted = slim.groupBy("pool_id").agg(F.when(F.bool_or(F.col("case_status") == "active"), "active").otherwise("shadow").alias("case_status"))
+    able = slim.join(wanted, ["pool_id", "case_status"]).join(F.broadcast(order.select("pool_order", "pool_id")), "pool_id").select("pool_order", "pool_id", "case_id")
+    taken = _claimed(_reach(able, order.select("pool_order", "quota", "before"), before, seed))
+    if strict:
+        have = {r["pool_order"]: r["count"] for r in taken.groupBy("pool_order").count().collect()}
+        if short := {p.pool_id: p.quota for k, p in enumerate(pools) if have.get(k, 0) < p.quota}:
+            raise ValueError(f"too few cases for {short}")
+    names = [c for c in cases.columns if c not in ("pool_id", "case_id")]
+    told = taken.join(F.broadcast(order), "pool_order")
+    rest = cases.join(told.select("pool_id", "case_id").distinct(), ["pool_id", "case_id"], "left_semi").groupBy("pool_id", "case_id").agg(F.min_by(F.struct(*names), F.struct("ordinal", "case_status")).alias("_case"))
+    both = rest.join(told.select("pool_id", "case_id", F.struct("role", "gates", "prefix", "version", "public", "defaults").alias("_pool")), ["pool_id", "case_id"])
+    chosen = both.select("pool_id", "case_id", *[F.col("_case")[c].alias(c) for c in names], "_pool")
+    return annotated(chosen, F.col("_pool"), sorted({k for p in pools for k in p.defaults}), seed, profile).drop("_pool")
 
 
 def summary(chosen: DataFrame) -> DataFrame:

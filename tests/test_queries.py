@@ -1,8 +1,10 @@
 """Every query with SQL against DuckDB on the smallest tables; properties of the operators."""
 
 import glob
+import hashlib
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -75,6 +77,28 @@ def test_sampling_ignores_row_order_and_checks_quotas(spark):
         compose.sampled(cases, {"p": 500}, "s")
 
 
+def test_a_thousand_pools_that_share_cases_as_taken_in_turn(spark):
+    rng = random.Random(3)
+    rows = [(f"p{p}", f"c{rng.randrange(2500)}", i, rng.choice(["active", "active", "shadow"]), True) for i, p in enumerate(rng.choices(range(1000), k=9000))]
+    rows += [("p0", None, -1, "active", True), ("p998", "c1", None, "shadow", None)]
+    pools = [compose.Pool(f"p{p}", rng.randrange(4)) for p in range(1000)] + [compose.Pool("p3", 2)]
+    first = {}
+    for p, c, o, status, _ in sorted(rows, key=lambda r: (r[2] is not None, r[2])):
+        if c is not None:
+            first.setdefault((p, c), status)
+    taken, want = set(), []
+    for pool in pools:
+        own = [(c, s) for (p, c), s in first.items() if p == pool.pool_id]
+        kind = "active" if any(s == "active" for _, s in own) else "shadow"
+        left = sorted((hashlib.sha256(f"s:{pool.pool_id}:{c}".encode()).hexdigest(), c) for c, s in own if s == kind and c not in taken)
+        taken |= {c for _, c in left[: pool.quota]}
+        want += [(pool.pool_id, c) for _, c in left[: pool.quota]]
+    cases = spark.createDataFrame(rows, "pool_id string, case_id string, ordinal int, case_status string, gold_verified boolean")
+    got = compose.composed(cases, pools, seed="s", strict=False)
+    assert sorted((r.dataset_pool_id, r.case_id) for r in got.select("dataset_pool_id", "case_id").collect()) == sorted(want)
+    assert compose.composed(cases.limit(0), pools, seed="s", strict=False).count() == 0
+
+
 def test_gram_cosine_of_equal_disjoint_and_short_texts(spark):
     df = spark.createDataFrame([(1, "hello world", "hello world"), (2, "aaaa", "bbbb"), (3, "ab", "ab"), (4, "", "abc")], "key int, reference string, answer string")
     got = {r.key: round(r.cosine, 9) for r in df.select("key", textsim.gram_cosine(F.col("reference"), F.col("answer")).alias("cosine")).collect()}
