@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gradeflow.functions.columns import PASS_THRESHOLD
 from gradeflow.operators import apply, compare, compose, facts, judges, merge, review, scoring, snapshot, tables, traces
+from gradeflow.sources import files
 
-__all__ = ["compare_judges", "compose_set", "merge_judges", "reblend", "score", "score_tool_traces", "select_outputs", "snapshot_tables"]
+__all__ = ["compare_judges", "compose_set", "merge_judges", "publish_snapshot", "reblend", "score", "score_tool_traces", "select_outputs", "snapshot_tables"]
 
 
 def compose_set(cases: DataFrame, pools: list[compose.Pool], *, seed: str, profile: str = "", strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -46,6 +47,26 @@ def snapshot_tables(verdicts: DataFrame, cases: DataFrame) -> dict[str, DataFram
     return {"case_scores": case_scores, "leaderboard": snapshot.leaderboard(case_scores), "slices": tables.slices(case_scores, cases), "gates": gates, "gate_summary": snapshot.gate_summary(gates), "judge_summary": snapshot.judge_summary(verdicts), "run_summary": snapshot.run_summary(case_scores), "conflicts": judges.conflicts(verdicts)}
 
 
+def publish_snapshot(verdicts: DataFrame, cases: DataFrame, path: str, *, run_id: str, eval_date: str, models: DataFrame | None = None) -> DataFrame:
+    """Write the runtime and score tables of a snapshot and make it the current run of ``path`` (S18, S25); returns its manifest.
+
+    Verdicts are read once: the fact is written first, with each judge's verdicts, and all else derives from what
+    was written. Cells and judges are two aggregations of the fact, the small tables selections of these.
+    ``files.read_current`` reads a table; until the last step readers see the former run whole.
+    """
+    spark = verdicts.sparkSession
+    root = f"{path}/runs/{run_id}"
+    counts = files.write_run_tables({"question_cases": snapshot.snapshot_fact(verdicts, cases, models)}, path, run_id)
+    fact = spark.read.parquet(f"{root}/question_cases")
+    counts |= files.write_run_tables({"cells": snapshot.snapshot_cells(fact), "judges": snapshot.snapshot_judges(fact)}, path, run_id)
+    small = [spark.read.parquet(f"{root}/{n}") for n in ("cells", "judges")]
+    counts |= files.write_run_tables(snapshot.snapshot_tables(fact, *small, run_id=run_id, eval_date=eval_date), path, run_id)
+    made = spark.createDataFrame(sorted(counts.items()), "table string, rows long")
+    files.write_run_tables({"manifest": made}, path, run_id)
+    files.point_to(spark, path, run_id)
+    return made
+
+
 def score_tool_traces(scenarios: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores of tool-agent traces and their summary."""
     out = traces.scored_traces(scenarios, predictions)

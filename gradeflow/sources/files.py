@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeflow.functions.columns import blank_to_null
@@ -259,12 +260,53 @@ def manifest(tables: dict[str, DataFrame], ids: tuple[str, ...] = ("config_id",
     return out
 
 
-def export_current(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Overwrite the current run's tables, then the pointer to it."""
-    spark = next(iter(tables.values())).sparkSession
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and what makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), make
+
+
+def point_to(spark: SparkSession, path: str, run_id: str) -> None:
+    """Make ``run_id`` the current run of ``path``: a further numbered pointer, moved to its place whole, so that readers see the former run or this one."""
+    files, make = _hadoop(spark, path)
+    files.mkdirs(make(f"{path}/current"))
+    known = [f.getPath().getName() for f in files.listStatus(make(f"{path}/current"))]
+    draft = make(f"{path}/_pointer-{uuid.uuid4().hex}")
+    out = files.create(draft)
+    out.write(run_id.encode())
+    out.close()
+    number = max((int(n) for n in known if n.isdigit()), default=0) + 1
+    # another writer may have taken the number
+    while files.exists(target := make(f"{path}/current/{number:010d}")) or not files.rename(draft, target):
+        number += 1
+
+
+def current_run(spark: SparkSession, path: str) -> str:
+    """The run that the latest pointer names."""
+    files, make = _hadoop(spark, path)
+    number = max(n for f in files.listStatus(make(f"{path}/current")) if (n := f.getPath().getName()).isdigit())
+    return spark.read.text(f"{path}/current/{number}", wholetext=True).first()[0]
+
+
+def write_run_tables(tables: dict[str, DataFrame], path: str, run_id: str) -> dict[str, int]:
+    """A run's tables in folders of its own (``path/runs/<run>/<table>``); rows are counted as they are written."""
+    counts = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(run_id,)], "run_id string").write.mode("overwrite").json(f"{path}/latest")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/runs/{run_id}/{name}")
+        counts[name] = seen.get["rows"]
+    return counts
+
+
+def export_current(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """Write a run's tables beside those of other runs, then point to them (S19); until then readers see the former run whole."""
+    write_run_tables(tables, path, run_id)
+    point_to(next(iter(tables.values())).sparkSession, path, run_id)
+
+
+def read_current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the current run."""
+    return spark.read.parquet(f"{path}/runs/{current_run(spark, path)}/{name}")
 
 
 def hashed_shard(key: Column) -> Column:

@@ -96,7 +96,7 @@ def test_sinks(spark, tmp_path):
         files.write_judge_parts(df.withColumn("judge_id", F.lit(None).cast("string")), df, df, run)
     for name in ("r1", "r2"):
         files.export_current({"scores": df}, str(tmp_path / "now"), name)
-    assert spark.read.json(str(tmp_path / "now" / "latest")).first().run_id == "r2" and spark.read.parquet(str(tmp_path / "now" / "scores")).count() == 2
+        assert files.current_run(spark, str(tmp_path / "now")) == name and files.read_current(spark, str(tmp_path / "now"), "scores").count() == 2
 
 
 def test_caches_keep_good_rows_by_shard(spark, tmp_path):
