@@ -103,16 +103,19 @@ class Centroids:
 def fit_languages(docs: DataFrame, train: Column, *, fit_rows: int = 2_000, per_lang: int = 4, reject: float = 0.005, text_col: str = "text", lang_col: str = "lang") -> Centroids:
     """Fit on the rows where ``train`` holds and text and language are there.
 
-    Document frequencies are counted over all of them; the centroids come from about
-    ``fit_rows`` distinct texts, of each language the same number with the least hashes.
+    Document frequencies are counted over all of them; the centroids come from at most
+    ``fit_rows`` distinct texts, of each language the same number with the least hashes. Where there are
+    more languages than that, those with the most rows are learned, ties by name, a text of each.
     """
     rows = docs.where(train).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     got = rows.select("text").mapInArrow(_frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(DIMS + 1)
     df[got.dim.to_numpy()] = got.df.to_numpy()
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    langs = hashed.select("lang").distinct().count()
-    drawn = least_hashes(hashed.select("lang", "h"), max(1, fit_rows // max(1, langs)))
+    langs = hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows).select("lang")
+    langs = hashed.sparkSession.createDataFrame(langs.collect(), "lang string")
+    each = fit_rows // max(1, langs.count())
+    drawn = least_hashes(hashed.select("lang", "h").join(F.broadcast(langs), "lang"), each)
     texts = hashed.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     sample = texts.mapInArrow(_sampled, "lang string, h long, v binary").toPandas().sort_values(["lang", "h"])
     vectors = np.stack([np.frombuffer(v, np.float32) for v in sample.v]) if len(sample) else np.zeros((0, DIMS), np.float32)
