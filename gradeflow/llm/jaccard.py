@@ -150,7 +150,7 @@ def _dealt(s: np.ndarray, v: np.ndarray, at: np.ndarray, num: int, den: int, law
 
 
 def points(s: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """The group counts of each set as 16-bit numbers: 128 groups, 512 from 1024 tokens on.
+    """The group counts of each set as 16-bit numbers: 128 groups, 512 from 1024 tokens on, twice as many while a count would not fit.
 
     Groups are the low bits of the tokens' hashes, so a longer point folds into a shorter one.
     """
@@ -159,7 +159,9 @@ def points(s: np.ndarray, at: np.ndarray) -> list[bytes]:
     out = []
     for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         size = 512 if wide[k] else 128
-        out.append(np.minimum(np.bincount((s[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size), 65535).astype("<u2").tobytes())
+        while (count := np.bincount((s[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size)).max() > 65535:
+            size *= 2
+        out.append(count.astype("<u2").tobytes())
     return out
 
 

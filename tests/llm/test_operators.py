@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,13 @@ def test_bounds_of_count_points_keep_every_link():
     assert len(found) < 100
 
 
+def test_points_of_counts_beyond_16_bits():
+    many, few = np.arange(70_000, dtype=np.uint64) << np.uint64(9), np.arange(2000, dtype=np.uint64)
+    raw = jaccard.points(np.concatenate([many, few]), np.array([0, 70_000, 72_000]))
+    assert [len(r) for r in raw] == [2048, 1024]
+    assert jaccard.folded(raw)[0].tolist() == [70_000] + [0] * 511 and jaccard.folded(raw)[1].sum() == 2000
+
+
 def test_jaccard_empty_table_null_ids_and_repeated_rows(spark):
     kind = "doc_id long, text string"
     assert jaccard.jaccard_components(spark.createDataFrame([], kind)).count() == 0
@@ -492,6 +501,33 @@ def test_languages_made_mostly_of_copies(spark):
     assert sorted(map(tuple, got)) == sorted((lang, h) for lang in "abcd" for h in sorted({h for k, h in pairs if k == lang})[:20])
 
 
+def test_more_languages_than_sampled_rows(spark):
+    rows = [(i, f"text {i} of {chr(97 + i % 26)}", f"l{i % 40:02d}" if i < 400 else "l07") for i in range(430)] + [(900 + i, "one", f"rare{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, F.lit(True), fit_rows=12)
+    # ten rows each but thirty more of l07; ties by name
+    assert sorted(set(model.langs)) == [f"l{i:02d}" for i in range(12)] and len(model.points) == 12
+    assert {r.lang_pred for r in langid.identify(docs, model).collect()} <= set(model.langs)
+
+
+def test_nearest_centroid_by_plain_cosines(spark):
+    rng = random.Random(26)
+    texts = ["".join(rng.choice("abcdeéß ") for _ in range(rng.choice([0, 1, 3, 40, 400]))) for _ in range(120)] + ["", "a" * 200_000, "abc", "abc"]
+    docs = spark.createDataFrame([(i, t, "xyz"[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, F.lit(True), fit_rows=60, per_lang=3)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for i, t in enumerate(texts):
+        if not any(map(str.isalpha, t)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        v = [math.log1p(c) * w for c, w in zip(langid.counts(pa.array([t]))[0].tolist(), model.idf.tolist(), strict=True)]
+        norm = math.sqrt(sum(x * x for x in v)) or 1
+        cosines = [sum(x * y for x, y in zip(v, p, strict=True) if x) / norm for p in model.points.tolist()]
+        best = max(cosines)
+        assert abs(got[i].score - min(1, max(0, best))) < 1e-5
+        assert got[i].lang_pred in {lang for lang, c in zip(model.langs, cosines, strict=True) if c > best - 1e-5}
+
+
 def test_urls_against_every_rule(spark):
     rng = random.Random(7)
     hosts = ["net", "example.net", "m.example.net", "xexample.net", "a.b.c.org", "org", "b.c.org", "", "a..net", "EXAMPLE.net", "net.", "example.net:80", "ü.net"]
