@@ -100,3 +100,39 @@ def passes(overall: Column, critical: Column) -> Column:
 
 def content_hash(c: Column, digits: int = 24) -> Column:
     return F.substring(F.sha2(c, 256), 1, digits)
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text with the names sorted at every level and no white space, however it was written (P45); null for what is no JSON.
+
+    Names sort by UTF-16 units; numbers lose zeros at the end of their fractions, so 1.0 is 1. For a struct,
+    map or list give ``to_json(c, {"ignoreNullFields": "false"})``.
+    """
+    return F.to_json(F.try_parse_json(c))
+
+
+def json_fingerprint(c: Column, digits: int = 24) -> Column:
+    """The hash of JSON text in canonical form: equal for any order of names at any depth."""
+    return content_hash(canonical_json(c), digits)
+
+
+def json_leaves(c: Column) -> Column:
+    """The values of JSON text that are no objects or lists, as text, in the order in which they stand, at any depth (2.8).
+
+    Names, nulls, false and zero leave nothing, true is ``True``. Null for what is no JSON. Linear in the text: escaped
+    backslashes and quotes are set aside, so that every string is what stands between two quotes.
+    """
+    aside = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    tokens = F.filter(F.regexp_extract_all(aside, F.lit(r'"[^"]*"\s*:?|-?[0-9][0-9.eE+-]*|true|false|null'), 0), lambda t: ~t.endswith(":"))
+    back = lambda t: F.replace(F.replace(t, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+    def told(t: Column) -> Column:
+        text = F.trim(t)
+        return F.when(text.startswith('"'), F.try_variant_get(F.try_parse_json(back(text)), "$", "string")).when(text == "true", "True").when(~text.isin("false", "null") & ~text.rlike(r"^-?0+(\.0*)?([eE].*)?$"), text)
+
+    return F.when(F.try_parse_json(c).isNotNull(), F.filter(F.transform(tokens, told), lambda t: F.coalesce(t, F.lit("")) != ""))
+
+
+def json_as_text(c: Column) -> Column:
+    """What a JSON value says: its leaves with single spaces between and within (2.8)."""
+    return squeezed(F.array_join(json_leaves(c), " "))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions.columns import error_type, parse_bool, score01
-from gradeflow.operators.views import failing, gate_rank
+from gradeflow.operators.views import BY_SCORE, failing, gate_rank, page_after
 
 # Marks of regression cases and of runs that don't count, folders that hold no datasets, families of models.
 REGRESSION_MARKS = ("regression", "golden", "hard_negative", "hardnegative", "edge_case", "edgecase")
@@ -71,9 +71,12 @@ def exploratory() -> Column:
     return F.col("case_status").isin("draft", "shadow") | F.col("human_review_required") | (F.col("release_gate") == "not_applicable") | ~F.col("gate_eligible") | ~F.col("release_gate_eligible")
 
 
-def exploratory_rows(rows: DataFrame, most: int = 120) -> DataFrame:
-    """Those under review first, then by score (K5)."""
-    return rows.where(exploratory()).orderBy(F.desc("human_review_required"), "overall", "config_id", "case_id").limit(most)
+REVIEW_FIRST = (("human_review_required", True), *BY_SCORE)
+
+
+def exploratory_rows(rows: DataFrame, most: int = 120, after: dict | None = None) -> DataFrame:
+    """Those under review first, then by score; a page after a key if one is given (K5)."""
+    return page_after(rows.where(exploratory()), REVIEW_FIRST, after, most)
 
 
 def exploratory_kpis(rows: DataFrame) -> DataFrame:
@@ -88,9 +91,12 @@ def is_benchmark() -> Column:
     return ~_any(marks, REGRESSION_MARKS) & known
 
 
-def search_hits(found: DataFrame, most: int = 120) -> DataFrame:
-    """Failures first, then by score (K4)."""
-    return found.orderBy(F.desc(failing()), "overall", "config_id", "case_id").limit(most)
+FAILURES_FIRST = (("failing", True), *BY_SCORE)
+
+
+def search_hits(found: DataFrame, most: int = 120, after: dict | None = None) -> DataFrame:
+    """Failures first, then by score; a page after a key if one is given (K4)."""
+    return page_after(found.withColumn("failing", failing()), FAILURES_FIRST, after, most)
 
 
 def model_info(name: Column) -> dict[str, Column]:

@@ -119,9 +119,37 @@ def regression_kpis(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(low).alias("watched"), F.count_if(F.col("score_delta") < 0).alias("fallen"), F.count_if(failing()).alias("failed"), F.least(F.min("score_delta"), F.lit(0.0)).alias("worst_fall"))
 
 
-def worst_first(rows: DataFrame, page: int = 0, size: int = 40) -> DataFrame:
+#: What orders rows last, so that no two are alike: (name, descending).
+BY_SCORE = (("overall", False), ("config_id", False), ("case_id", False))
+
+
+def page_after(rows: DataFrame, order: tuple, after: dict | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the key ``after`` in ``order``, the first ones without a key (K2, K4, K5).
+
+    ``order`` lists (column, descending); nulls come last. The key is a predicate on the rows and every task keeps
+    its first ``size`` ones, so a deep page costs what the first one does, and rows that come or go on
+    earlier pages shift nothing. Rows with equal keys count as one place: end the order with the ids.
+    """
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for name, down in order:
+            c, at = F.col(name), after[name]
+            if at is not None:
+                behind = behind | (same & (((c < F.lit(at)) if down else (c > F.lit(at))) | c.isNull()))
+            same = same & c.eqNullSafe(F.lit(at))
+        rows = rows.where(F.coalesce(behind, F.lit(False)))
+    return rows.orderBy(*[F.desc_nulls_last(name) if down else F.asc_nulls_last(name) for name, down in order]).limit(size)
+
+
+def last_key(page: DataFrame, order: tuple) -> dict | None:
+    """The key of a page's last row, for the page after it; null for a page without rows. A page is small."""
+    found = page.select(*[name for name, _ in order]).tail(1)
+    return found[0].asDict() if found else None
+
+
+def worst_first(rows: DataFrame, after: dict | None = None, size: int = 40) -> DataFrame:
     """A page of failures by score (K2, K6)."""
-    return rows.where(failing()).orderBy("overall", "config_id", "case_id").offset(page * size).limit(size)
+    return page_after(rows.where(failing()), BY_SCORE, after, size)
 
 
 def preview(cases: DataFrame, most: int, by: str = "question_type") -> DataFrame:

@@ -101,8 +101,9 @@ def regression_kpis(spark, d):
 
 @query(f"WITH {_ROWS} SELECT config_id, case_id, round(overall, 6) AS overall FROM w WHERE {_BAD} ORDER BY round(overall, 6), config_id, case_id LIMIT 40 OFFSET 40")
 def failures_second_page(spark, d):
-    """K2, K6."""
-    return views.worst_first(rounded(rows(spark, d), "overall"), 1).select("config_id", "case_id", "overall")
+    """K2, K6: what follows the last key of the first page."""
+    all_ = rounded(rows(spark, d), "overall")
+    return views.worst_first(all_, views.last_key(views.worst_first(all_), views.BY_SCORE)).select("config_id", "case_id", "overall")
 
 
 @query(f"WITH {_CASES}, r AS (SELECT case_id, coalesce(question_type, 'unknown') AS t, row_number() OVER (PARTITION BY coalesce(question_type, 'unknown') ORDER BY case_id) AS n, min(case_id) OVER (PARTITION BY coalesce(question_type, 'unknown')) AS f FROM k) SELECT case_id FROM r ORDER BY n, f LIMIT 50")

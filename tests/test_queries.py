@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import json
 import math
 import os
 import random
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.functions import columns as C
-from gradeflow.operators import apply, cases, compose, disclosure, facts, judges, textsim
+from gradeflow.operators import apply, cases, compose, disclosure, facts, judges, textsim, views
 from gradeflow.plans import all as queries
 from gradeflow.plans import fixtures
 from gradeflow.sources import files
@@ -99,6 +100,53 @@ def test_a_thousand_pools_that_share_cases_as_taken_in_turn(spark):
     assert compose.composed(cases.limit(0), pools, seed="s", strict=False).count() == 0
 
 
+def test_pages_by_key_are_the_slices_of_the_whole_order(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 0.1, 0.2, 0.2, 0.7]), rng.choice([True, False, None]), f"m{rng.randrange(3)}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "overall double, flag boolean, config_id string, case_id int").repartition(5)
+    order = (("flag", True), *views.BY_SCORE)
+    want = sorted(rows, key=lambda r: ({True: 0, False: 1, None: 2}[r[1]], r[0] is None, r[0] or 0, r[2], r[3]))
+    after, got = None, []
+    while page := (df_page := views.page_after(df, order, after, 60)).collect():
+        got += [tuple(r) for r in page]
+        after = views.last_key(df_page, order)
+    assert got == want and views.last_key(df.limit(0), order) is None
+    plan = views.page_after(df, order, after, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Sort" not in plan.replace("SortOrder", "")
+
+
+def _nested(rng, depth):
+    kind = rng.randrange(8 if depth else 6)
+    word = "".join(rng.choice('ab"\\:{}[],é漢 \n1') for _ in range(rng.randrange(6)))
+    if kind < 6:
+        return [word, rng.randrange(-50, 50), True, False, None, 0.25][kind]
+    if kind == 6:
+        return [_nested(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return {f"{k}{word}": _nested(rng, depth - 1) for k in rng.sample("zyxwv", rng.randrange(5))}
+
+
+def test_nested_json_in_canonical_form_and_as_text(spark):
+    def leaves(v):
+        if isinstance(v, dict | list):
+            return [x for w in (v.values() if isinstance(v, dict) else v) for x in leaves(w)]
+        return [str(v)] if v else []
+
+    def shuffled(v):
+        if isinstance(v, dict):
+            return {k: shuffled(v[k]) for k in rng.sample(sorted(v), len(v))}
+        return [shuffled(x) for x in v] if isinstance(v, list) else v
+
+    rng = random.Random(8)
+    values = [{"top": _nested(rng, 6), "a": _nested(rng, 6)} for _ in range(300)] + [[["x" * 100_000, {"k": '\\"' * 20_000}]], "plain", 7, {}]
+    rows = [(i, json.dumps(v, ensure_ascii=bool(i % 2), indent=i % 3 or None), json.dumps(shuffled(v))) for i, v in enumerate(values)] + [(9000, None, "[1"), (9001, "", "{} {")]
+    df = spark.createDataFrame(rows, "id int, one string, two string")
+    got = {r.id: r for r in df.select("id", C.canonical_json(F.col("one")).alias("c"), C.json_fingerprint(F.col("one")).alias("f"), C.json_fingerprint(F.col("two")).alias("g"), C.json_leaves(F.col("one")).alias("l"), C.json_as_text(F.col("one")).alias("t")).collect()}
+    for i, v in enumerate(values):
+        assert got[i].c == json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        assert got[i].f == got[i].g and got[i].l == leaves(v) and got[i].t == " ".join(" ".join(leaves(v)).split())
+    assert {(got[i].c, got[i].f, got[i].l) for i in (9000, 9001)} == {(None, None, None)}
+
+
 def test_gram_cosine_of_equal_disjoint_and_short_texts(spark):
     df = spark.createDataFrame([(1, "hello world", "hello world"), (2, "aaaa", "bbbb"), (3, "ab", "ab"), (4, "", "abc")], "key int, reference string, answer string")
     got = {r.key: round(r.cosine, 9) for r in df.select("key", textsim.gram_cosine(F.col("reference"), F.col("answer")).alias("cosine")).collect()}
