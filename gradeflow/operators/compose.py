@@ -171,6 +171,45 @@ def catalogue(found: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.withColumn("discovered", F.lit(False)).unionByName(new, allowMissingColumns=True)
 
 
+def runtime_pools(listed: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row for each pool of the runtime catalogue: listed ones as they say, found ones by their role.
+
+    ``listed`` has dataset_id, path, role and may have gate_eligible, registered, prefix and quota, ``found`` dataset_id,
+    path and role; ``sizes`` has path and the rows that can be taken. What a listed pool leaves open is inherited: all its
+    rows, else the quota it states, gating unless it is a benchmark, registered, its id as prefix. Found
+    pools hold gold answers and active cases if they are for regression, else shadow ones.
+    """
+    both = catalogue(found.select("dataset_id", "path", "role"), listed)
+    own = lambda c, kind: F.col(c) if c in both.columns else F.lit(None).cast(kind)
+    out = both.join(sizes.groupBy("path").agg(F.max("rows").alias("_rows")), "path", "left")
+    regression = F.col("role") == "regression"
+    return out.select(
+        "dataset_id", "path", "role", "discovered", F.coalesce(F.nullif(F.col("_rows"), F.lit(0)), own("quota", "long"), F.lit(0)).cast("long").alias("quota"),
+        F.coalesce(own("gate_eligible", "boolean"), F.col("role") != "benchmark").alias("gate_eligible"), F.coalesce(own("registered", "boolean"), F.lit(True)).alias("registered"), F.coalesce(F.nullif(own("prefix", "string"), F.lit("")), "dataset_id").alias("prefix"),
+        F.when(F.col("discovered"), F.when(regression, "active").otherwise("shadow")).alias("status_default"), F.when(F.col("discovered"), regression).alias("gold_default"),
+    )
+
+
+def role_defaults(pools: DataFrame, configured: dict[str, str], fallback: dict[str, str] | None = None) -> DataFrame:
+    """(role, dataset_id, quota): the default pool of each role (T22): the configured one if it has that role, else the fallback, else the first by id that has rows."""
+    chosen = lambda names: F.lit(False) if not names else F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("role")] == F.col("dataset_id"), F.lit(False))
+    place = F.when(chosen(configured), 0).when(chosen(fallback or {}), 1).when(F.col("quota") > 0, 2)
+    return pools.withColumn("_p", place).where("_p is not null").groupBy("role").agg(F.min_by(F.struct("dataset_id", "quota"), F.struct("_p", "dataset_id")).alias("_d")).select("role", "_d.*")
+
+
+def profiles(pools: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(profile_id, role, dataset_id, quota): for each role the profile of its default pool and that of all registered ones (T22, U5); pools without rows are in none."""
+    some = pools.where("quota > 0")
+    one = defaults.where("quota > 0").select(F.concat(F.lit("default_"), "role").alias("profile_id"), "role", "dataset_id", "quota")
+    return one.unionByName(some.where("registered").select(F.concat(F.lit("registered_"), "role", F.lit("_all")).alias("profile_id"), "role", "dataset_id", "quota"))
+
+
+def profile_pools(pools: DataFrame, members: DataFrame, profile_id: str) -> list[Pool]:
+    """The pools of a profile by id, as ``composed`` takes them; pools are few."""
+    rows = members.where(F.col("profile_id") == profile_id).select("dataset_id", F.col("quota").alias("_quota")).join(pools, "dataset_id").orderBy("dataset_id").collect()
+    return [Pool(r["dataset_id"], r["_quota"], role=r["role"], gate_eligible=r["gate_eligible"], prefix=r["prefix"]) for r in rows]
+
+
 def first_source(sources: list[DataFrame]) -> DataFrame:
     """Cases of several sources in order of priority; of one id the first source counts."""
     out = sources[0].withColumn("_source", F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeflow import api
-from gradeflow.operators import compare, facts, merge, requests, review, tables, textsim, views
+from gradeflow.functions.columns import json_as_text, json_fingerprint
+from gradeflow.operators import compare, compose, facts, merge, requests, review, tables, textsim, views
 from gradeflow.plans import fixtures as fx
 from gradeflow.plans.merge_queries import _RUNS, runs
 from gradeflow.plans.queries import _CASES, _CONSENSUS, _NORMAL, _PAIRS, SQL, WS, _pairs, _s, _v, query, rounded
@@ -209,3 +210,42 @@ def event_times(spark, d):
     # plain times without a zone, so the session's zone plays no part
     day = F.date_format(F.expr("ts + INTERVAL 9 HOURS"), "yyyy-MM-dd")
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("version"), day.alias("seoul_day"))
+
+
+_NESTED = """SELECT doc_id, source, lang, n_chars, CASE WHEN doc_id % 2 = 0 THEN '{"source": {"name": "' || source || '", "chars": ' || n_chars || '},  "lang": ["' || lang || '", null, true, {}]}' ELSE '{"lang": ["' || lang || '",null,true,{}], "source": {"chars": ' || n_chars || ', "name":"' || source || '"}}' END AS doc FROM documents"""
+
+
+@query(f"""SELECT doc_id, substr(sha256('{{"lang":["' || lang || '",null,true,{{}}],"source":{{"chars":' || n_chars || ',"name":"' || source || '"}}}}'), 1, 24) AS fingerprint,
+  CASE WHEN source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL THEN concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN concat_ws(' ', nullif(trim(source), ''), nullif(n_chars, 0)) END, nullif(trim(lang), ''), 'True', CASE WHEN doc_id % 2 = 1 THEN concat_ws(' ', nullif(n_chars, 0), nullif(trim(source), '')) END) END AS said FROM documents""")
+def nested_fingerprints(spark, d):
+    """P45, 2.8: nested JSON in two orders of names has one fingerprint; its values as text."""
+    return fx.frame(spark, d, _NESTED).select("doc_id", json_fingerprint(F.col("doc")).alias("fingerprint"), json_as_text(F.col("doc")).alias("said"))
+
+
+#: Brands stand for datasets: the last digit says whether one is listed or only found, the other its role.
+_BRANDS = "SELECT p_brand, CASE substr(p_brand, 7, 1) WHEN '1' THEN 'benchmark' WHEN '2' THEN 'custom' ELSE 'regression' END AS role, substr(p_brand, 8, 1) AS k, count(*) AS n FROM part GROUP BY p_brand"
+_LISTED = f"SELECT 'L' || p_brand AS dataset_id, 'files/' || p_brand AS path, role, CASE WHEN p_brand = 'Brand#21' THEN false END AS gate_eligible, CASE WHEN p_brand = 'Brand#11' THEN false END AS registered, 5 AS quota FROM ({_BRANDS}) AS b WHERE k = '1'"
+_FOUND = f"SELECT p_brand AS dataset_id, 'files/' || p_brand AS path, role FROM ({_BRANDS}) AS b"
+_SIZES = f"SELECT 'files/' || p_brand AS path, CASE WHEN k = '5' THEN 0 WHEN p_brand = 'Brand#11' THEN 0 ELSE n END AS rows FROM ({_BRANDS}) AS b"
+_POOLS = f"""l AS ({_LISTED}), fo AS ({_FOUND}), z AS ({_SIZES}),
+r AS (SELECT dataset_id, l.path, role, false AS discovered, coalesce(nullif(rows, 0), quota)::BIGINT AS quota, coalesce(gate_eligible, role <> 'benchmark') AS gate_eligible, coalesce(registered, true) AS registered, NULL AS status_default FROM l LEFT JOIN z ON z.path = l.path
+  UNION ALL SELECT dataset_id, fo.path, role, true, rows::BIGINT, role <> 'benchmark', true, CASE role WHEN 'regression' THEN 'active' ELSE 'shadow' END FROM fo JOIN z ON z.path = fo.path WHERE fo.path NOT IN (SELECT path FROM l))"""
+_CHOSEN = {"regression": "Brand#5", "benchmark": "Brand#5"}
+
+
+def _pools(spark, d):
+    return compose.runtime_pools(*(fx.frame(spark, d, q) for q in (_LISTED, _FOUND, _SIZES)))
+
+
+@query(f"WITH {_POOLS} SELECT dataset_id, role, discovered, quota, gate_eligible, registered, status_default FROM r")
+def runtime_pools(spark, d):
+    """Pools as listed and as found, what they leave open inherited."""
+    return _pools(spark, d).select("dataset_id", "role", "discovered", "quota", "gate_eligible", "registered", "status_default")
+
+
+@query(f"""WITH {_POOLS}, m AS (SELECT role, arg_min(dataset_id, CASE WHEN role = 'regression' AND dataset_id = 'Brand#5' THEN '0' ELSE '2' || dataset_id END) AS dataset_id FROM r WHERE quota > 0 GROUP BY role)
+SELECT 'default_' || role AS profile_id, dataset_id, quota FROM m JOIN r USING (role, dataset_id) UNION ALL SELECT 'registered_' || role || '_all', dataset_id, quota FROM r WHERE quota > 0 AND registered""")
+def runtime_profiles(spark, d):
+    """The default pool of each role and all registered ones."""
+    pools = _pools(spark, d)
+    return compose.profiles(pools, compose.role_defaults(pools, _CHOSEN)).select("profile_id", "dataset_id", "quota")

@@ -62,6 +62,10 @@ def test_datasets_are_found_and_listed(spark, tmp_path):
     listed = found.where("role = 'benchmark'").withColumn("dataset_id", F.lit("named"))
     assert sorted((r.dataset_id, r.discovered) for r in compose.catalogue(found, listed).collect()) == [("named", False), ("regression__b", True)]
     assert [r.dataset_id for r in review.not_catalogued(found, listed).collect()] == ["regression__b"]
+    pools = compose.runtime_pools(listed.select("dataset_id", "path", "role"), found, found.select("path", F.lit(1).alias("rows")))
+    members = compose.profiles(pools, compose.role_defaults(pools, {"regression": "named"}))
+    assert sorted((r.profile_id, r.dataset_id) for r in members.collect()) == [("default_benchmark", "named"), ("default_regression", "regression__b"), ("registered_benchmark_all", "named"), ("registered_regression_all", "regression__b")]
+    assert compose.profile_pools(pools, members, "registered_regression_all") == [compose.Pool("regression__b", 1, role="regression", gate_eligible=True, prefix="regression__b")]
     r = files.inventory(spark, str(tmp_path / "benchmark" / "a.csv")).first()
     assert (r.bytes, r.rows, len(r.sha256)) == (21, 2, 64)
     assert files.fingerprint(spark, str(tmp_path / "benchmark" / "a.csv")).first().fingerprint == r.sha256[:16]
