@@ -89,9 +89,12 @@ def checked(answers: DataFrame, raw: str = "raw", scores: str = "scores") -> Dat
         F.when((F.col("_kind_reason") != "STRING") | (F.coalesce("_reason", F.lit("")) == ""), "no reason"),
         F.when(~F.col("_kind_evidence_notes").startswith("ARRAY"), "notes are no list"),
     )
-    out = out.withColumn("invalid", fault)
-    good = {n: F.when(F.col("invalid").isNull(), error_type(F.col("_error_type")) if n == "error_type" else F.col(f"_{n}")) for n in said}
-    return out.withColumns(good).drop("_text", "_v", "_top", "_inner", *kinds, *[f"_{n}" for n in said])
+    # what a generator gives is computed below any filter on it: else a filter on the fault would hold all of the above, inlined many times over
+    kept = [c for c in answers.columns if c not in ("invalid", *said)]
+    out = out.select(*kept, *[f"_{n}" for n in said], F.explode(F.array(F.struct(fault.alias("invalid")))).alias("_fault"))
+    invalid = F.col("_fault")["invalid"]
+    good = [F.when(invalid.isNull(), error_type(F.col("_error_type")) if n == "error_type" else F.col(f"_{n}")).alias(n) for n in said]
+    return out.select(*kept, invalid.alias("invalid"), *good)
 
 
 def nac_defaults_full(question_type: Column, gold: Column, required: Column, answer: Column) -> Column:

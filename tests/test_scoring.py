@@ -161,6 +161,13 @@ def matches(value, schema):
     return value in schema["enum"] if "enum" in schema else True
 
 
+def test_a_filter_on_faults_keeps_the_plan_small(spark):
+    rows = ['{"scores": {}}', "no verdict", None]
+    bad = payloads.checked(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, raw string")).where("invalid is not null")
+    assert len(bad._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert [(r.i, r.invalid.split(":")[0]) for r in bad.orderBy("i").collect()] == [(0, "missing fields"), (1, "no JSON object"), (2, "no JSON object")]
+
+
 def test_nested_schemas(spark):
     import json
     import random
