@@ -24,6 +24,8 @@ OTHER_NAMES = {
     "provider_error": ("모델 호출 오류",),
 }
 
+#: Runs of white space as Unicode and Python know it, with the four separators that Java leaves out.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 TRUE_TEXT = ("1", "true", "yes", "y", "on")
 FALSE_TEXT = ("0", "false", "no", "n", "off")
 
@@ -34,11 +36,11 @@ def blank_to_null(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """White space of any kind as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def match_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    return F.lower(F.regexp_replace(c, SPACE, ""))
 
 
 def parse_bool(c: Column, true: tuple = TRUE_TEXT, false: tuple = FALSE_TEXT) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ CODE = (
     (r"(?im)^\s*(const|let|var|function|import|require|class|def|curl|powershell|cmd|bash|python|javascript)\b.*$", "[code-like line omitted for safety evaluation]"),
 )
 LINKS = ((r"https?://\S+", "[url omitted]"), (r"\b[A-Za-z0-9+/]{24,}={0,2}\b", "[token-like text omitted]"))
+RUN = "[A-Za-z0-9+/]{24}"
+#: An edge between ASCII word characters and all else; what Java takes for one depends on its version.
+EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
 def has_any(c: Column, words: tuple) -> Column:
@@ -88,6 +93,13 @@ def forbidden_hits(answer: Column, claims: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(kept, hit), F.coalesce(told, F.array().cast("array<string>"))))
 
 
+def _ascii_edges(pattern: str) -> str:
+    """A pattern whose edges of words are ASCII ones, and which, where it ignores case, knows the long s and the Kelvin sign, as SQL does."""
+    if pattern.startswith("(?i"):
+        pattern = re.sub(r"(?<!\\)k", "[k\u212a]", re.sub(r"(?<!\\)s", "[s\u017f]", pattern))
+    return pattern.replace(r"\b", EDGE)
+
+
 def redacted(c: Column, most: int = 1200) -> Column:
     """A text made safe to show a judge: white space squeezed, no code, links or tokens, softened terms, cut to length.
 
@@ -95,9 +107,11 @@ def redacted(c: Column, most: int = 1200) -> Column:
     """
     out = squeezed(c)
     for pattern, instead in CODE:
-        out = F.regexp_replace(out, pattern, instead)
+        out = F.regexp_replace(out, _ascii_edges(pattern), instead)
     for word, instead in REDACTED.items():
         out = F.replace(out, F.lit(word), F.lit(instead))
-    for pattern, instead in LINKS:
-        out = F.regexp_replace(out, pattern, instead)
+    (link, instead_link), (token, instead_token) = LINKS
+    out = F.regexp_replace(out, link, instead_link)
+    # edges cost much at every place of a text, so only texts with a run are searched for them
+    out = F.when(out.rlike(RUN), F.regexp_replace(out, _ascii_edges(token), instead_token)).otherwise(out)
     return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit("..."))).otherwise(out)

@@ -189,6 +189,14 @@ def test_disclosures_and_redaction(spark):
     assert shown[1:] == ["look at import os this", "[code-like line omitted for safety evaluation]", "[token-like text omitted]", "", None]
 
 
+def test_redaction_knows_ascii_edges_and_every_white_space(spark):
+    run = "A" * 24
+    texts = ["class\u00e9 x", "class_y", "cla\u017fs x", f"\u00e9{run}= x", f"{run}=\u00e9", f"x {run}\u00e9 y", "\x1cvar x", "http://a\x1cb\x1fc", f"_{run} x"]
+    shown = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(disclosure.redacted(F.col("t")).alias("t")).collect()]
+    code, token = "[code-like line omitted for safety evaluation]", "[token-like text omitted]"
+    assert shown == [code, "class_y", code, f"\u00e9{token}= x", f"{token}=\u00e9", f"x {token}\u00e9 y", code, "[url omitted] b c", f"_{run} x"]
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
