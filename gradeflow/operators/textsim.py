@@ -44,7 +44,7 @@ def sentences(c: Column) -> Column:
 class Grams:
     """Counts of the character n-grams of several texts without white space, in lower case: one row for each (text, gram)."""
 
-    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+    FACTOR, OWNER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
     def __init__(self, texts: list[str], n: int) -> None:
         size = np.array([len(t) for t in texts])
@@ -57,8 +57,16 @@ class Grams:
                 gram = (gram ^ (gram >> np.uint64(29))) * self.FACTOR + code[k : k + len(gram)]
             inside = owner[n - 1 :] == owner[: len(gram)]
             gram, whose = gram[inside], owner[: len(gram)][inside]
-        order = np.lexsort((gram, whose))
-        gram, whose = gram[order], whose[order]
+        if len(texts) > 1:
+            # one key for text and gram, so one sort; where keys of two pairs are equal, ties keep to gram and text
+            key = (gram ^ (gram >> np.uint64(32))) * self.OWNER ^ whose.astype(np.uint64) * self.OWNER
+            order = np.argsort(key)
+            key = key[order]
+            if ((key[1:] == key[:-1]) & ((gram[order[1:]] != gram[order[:-1]]) | (whose[order[1:]] != whose[order[:-1]]))).any():
+                order = np.lexsort((gram, whose))
+            gram, whose = gram[order], whose[order]
+        else:
+            gram = np.sort(gram)
         head = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (whose[1:] != whose[:-1])])) if len(gram) else np.zeros(0, int)
         self.gram, self.whose = gram[head], whose[head]
         self.count = np.diff(np.append(head, len(gram))).astype(float)
@@ -97,6 +105,8 @@ class Answer:
         self.compact = ["".join(p.lower().split()) for p in self.parts]
         self.tokens = [set(p.split()) for p in self.parts]
         self.grams: list[Grams] | None = None
+        self.terms: set[str] | None = None
+        self.known: dict[str, float] = {}
 
     def similarity(self, reference: str) -> float:
         """1 if the reference is contained, else the best of token overlap and gram cosine over the answer and its sentences."""
@@ -107,7 +117,9 @@ class Answer:
             return 1.0
         if self.grams is None:
             self.grams = [Grams(self.compact, n) for n in (2, 3, 4)]
-        return min(1.0, max(self.overlap(reference), gram_similarity(key, self.grams, self.compact)))
+        if reference not in self.known:
+            self.known[reference] = min(1.0, max(self.overlap(reference), gram_similarity(key, self.grams, self.compact)))
+        return self.known[reference]
 
     def overlap(self, reference: str, whole: bool = False) -> float:
         wanted = {t for t in reference.split() if len(t) > 1}
@@ -121,8 +133,11 @@ class Answer:
         if key in self.compact[0]:
             return 100.0
         lexical = round(100 * self.overlap(reference, whole=True), 2)
-        terms, own = ({t for w in x.split() if len(t := w.strip(TOKEN_MARKS).lower()) > 1} for x in (reference, self.text))
-        length, cover = min(1.0, len(self.compact[0]) / len(key)), len(terms & own) / len(terms) if terms else 0.0
+        told = lambda x: {t for w in set(x.split()) if len(t := w.strip(TOKEN_MARKS).lower()) > 1}
+        if self.terms is None:
+            self.terms = told(self.text)
+        terms = told(reference)
+        length, cover = min(1.0, len(self.compact[0]) / len(key)), len(terms & self.terms) / len(terms) if terms else 0.0
         if len(key) > 40 and length <= 0.32 and cover < 0.35:
             return round(min(19.0, lexical + 5), 2)
         similar = round(100 * self.similarity(reference), 2)
@@ -146,7 +161,9 @@ def with_similarities(rows: DataFrame, answer: str, references: str, name: str)
             for text, refs in zip(texts, wanted, strict=True):
                 own = Answer(text)
                 told = [" ".join((r or "").split()) for r in refs or ()]
-                out.append([{"overlap": round(100 * own.overlap(r, whole=True), 2), "similarity": round(100 * own.similarity(r), 2), "evidence": own.evidence(r)} for r in told])
+                # a row often names a reference several times, as gold answer, condition and evidence
+                each = {r: {"overlap": round(100 * own.overlap(r, whole=True), 2), "similarity": round(100 * own.similarity(r), 2), "evidence": own.evidence(r)} for r in dict.fromkeys(told)}
+                out.append([each[r] for r in told])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, SIMILARITIES)]))
