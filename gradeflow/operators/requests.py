@@ -67,15 +67,17 @@ def response_text(raw: Column, path: str | None = None) -> Column:
 
     A place may hold text, or an object with text under text, output_text, content, message, answer or response.
     """
-    v = F.try_parse_json(raw)
-    found = []
-    for p in ([path] if path else []) + list(RESPONSE_PATHS):
-        held = F.try_variant_get(v, f"$.{p}", "variant")
-        kind = F.schema_of_variant(held)
-        own = F.when(kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|BOOLEAN)"), F.try_variant_get(v, f"$.{p}", "string"))
-        inner = [F.try_variant_get(v, f"$.{p}.{k}", "string") for k in ("text", "output_text", "content", "message", "answer", "response")]
-        found += [F.nullif(own, F.lit("")), *[F.when(kind.startswith("OBJECT"), F.nullif(x, F.lit(""))) for x in inner]]
-    return F.coalesce(*found, raw)
+    def told(v: Column) -> Column:
+        found = []
+        for p in ([path] if path else []) + list(RESPONSE_PATHS):
+            kind = F.schema_of_variant(F.try_variant_get(v, f"$.{p}", "variant"))
+            own = F.nullif(F.try_variant_get(v, f"$.{p}", "string"), F.lit(""))
+            inner = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{p}.{k}", "string"), F.lit("")) for k in ("text", "output_text", "content", "message", "answer", "response")])
+            found.append(F.when(kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|BOOLEAN)"), own).when(kind.startswith("OBJECT"), inner))
+        return F.when(v.isNotNull(), F.coalesce(*found))
+
+    # a lambda's argument is computed once, so each response is parsed once, whatever place its text has
+    return F.coalesce(F.get(F.transform(F.array(F.try_parse_json(raw)), told), F.lit(0)), raw)
 
 
 def abstracted(rows: DataFrame, unsafe: Column, instruction: str, gold: str) -> DataFrame:

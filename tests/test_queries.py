@@ -197,6 +197,15 @@ def test_redaction_knows_ascii_edges_and_every_white_space(spark):
     assert shown == [code, "class_y", code, f"\u00e9{token}= x", f"{token}=\u00e9", f"x {token}\u00e9 y", code, "[url omitted] b c", f"_{run} x"]
 
 
+def test_responses_are_parsed_once_whatever_their_place(spark):
+    from gradeflow.operators import requests
+
+    raws = ['{"output_text": "a", "content": "b"}', '{"answer": "", "content": {"text": "", "message": "m"}}', '{"own": {"deep": 7}, "output_text": "a"}', '{"output": {"answer": true}}', '{"content": [1]}', "{no JSON", "", None]
+    out = spark.createDataFrame([(r,) for r in raws], "raw string").select(requests.response_text(F.col("raw"), "own.deep").alias("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("arse") == 1
+    assert [r.t for r in out.collect()] == ["a", "m", "7", "true", '{"content": [1]}', "{no JSON", "", None]
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
