@@ -89,12 +89,12 @@ def checked(answers: DataFrame, raw: str = "raw", scores: str = "scores") -> Dat
         F.when((F.col("_kind_reason") != "STRING") | (F.coalesce("_reason", F.lit("")) == ""), "no reason"),
         F.when(~F.col("_kind_evidence_notes").startswith("ARRAY"), "notes are no list"),
     )
-    # what a generator gives is computed below any filter on it: else a filter on the fault would hold all of the above, inlined many times over
+    # what a generator gives is computed below any filter on it: else a filter on the fault would hold all of the above, and one on the raw answer all that it is made of, inlined many times over
     kept = [c for c in answers.columns if c not in ("invalid", *said)]
-    out = out.select(*kept, *[f"_{n}" for n in said], F.explode(F.array(F.struct(fault.alias("invalid")))).alias("_fault"))
+    out = out.select(*[c for c in kept if c != raw], *[f"_{n}" for n in said], F.explode(F.array(F.struct(fault.alias("invalid"), F.col(raw).alias("raw")))).alias("_fault"))
     invalid = F.col("_fault")["invalid"]
     good = [F.when(invalid.isNull(), error_type(F.col("_error_type")) if n == "error_type" else F.col(f"_{n}")).alias(n) for n in said]
-    return out.select(*kept, invalid.alias("invalid"), *good)
+    return out.select(*[F.col("_fault")["raw"].alias(raw) if c == raw else c for c in kept], invalid.alias("invalid"), *good)
 
 
 def nac_defaults_full(question_type: Column, gold: Column, required: Column, answer: Column) -> Column:
@@ -132,12 +132,16 @@ def item_verdicts(items: DataFrame) -> DataFrame:
     return out.withColumn("pass", passes(F.col("overall"), F.col("critical_fail"))).withColumn("applicable_metrics", F.array_join("applicable", ",")).drop("applicable", *[f"_{m}" for m in METRICS])
 
 
-def responses(good: DataFrame, failed: DataFrame) -> DataFrame:
-    """The raw responses of all judges that answered with any text, good ones and failures."""
+def responses(good: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The raw responses of all judges that answered with any text, good ones and failures.
+
+    Without ``failed`` the rows of ``good`` are both, each with its own status. What comes from one
+    ``checked`` is so read and checked once, not once for each kind.
+    """
     cols = (*KEY, "judge_id", "status", "reason", "raw")
-    both = good.withColumn("status", F.lit("ok")).select(*cols).unionByName(failed.withColumn("status", F.coalesce("status", F.lit("error"))).select(*cols))
+    both = good if failed is None else good.withColumn("status", F.lit("ok")).select(*cols).unionByName(failed.select(*cols))
     told = (F.coalesce("judge_id", F.lit("")) != "") & (F.coalesce("raw", F.lit("")) != "")
-    return both.where(told).withColumn("excerpt", F.substring("raw", 1, 700))
+    return both.where(told).select(*KEY, "judge_id", F.coalesce("status", F.lit("error")).alias("status"), "reason", "raw", F.substring("raw", 1, 700).alias("excerpt"))
 
 
 def failures(failed: DataFrame) -> DataFrame:

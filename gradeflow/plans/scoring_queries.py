@@ -54,8 +54,9 @@ def judge_payloads_checked(spark, d):
 def judge_raw_responses(spark, d):
     """Good responses, and the invalid ones of even cases."""
     out = payloads.checked(fx.payloads(spark, d))
-    bad = out.where("invalid is not null and case_id % 2 = 0").select(*payloads.KEY, "judge_id", F.lit("invalid").alias("status"), F.col("invalid").alias("reason"), "raw")
-    return payloads.responses(out.where("invalid is null"), bad)
+    status = F.when(F.col("invalid").isNull(), "ok").otherwise("invalid")
+    both = out.where("invalid is null or case_id % 2 = 0").withColumns({"status": status, "reason": F.coalesce("invalid", "reason")})
+    return payloads.responses(both)
 
 
 @query(f"WITH {_CHECKED} SELECT invalid AS reason, count(*) AS n, count(DISTINCT case_id) AS cases FROM chk WHERE invalid IS NOT NULL GROUP BY 1")
