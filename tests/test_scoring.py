@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gradeflow.functions import columns
 from gradeflow.operators import merge, payloads, scoring, textsim, traces
 
 
@@ -277,3 +278,17 @@ def test_merge_keeps_error_rows_and_sends_refused_ones_to_people(spark):
     assert merge.merged(df.limit(0)).count() == 0
     c = merge.error_classes(F.col("status"), F.col("reason"))
     assert df.where("case_id = 3 and run = 1").select(c["rate_limited"].alias("r"), c["retry_after"].alias("s")).first() == (True, 120.0)
+
+
+def test_grams_of_very_many_kinds_of_characters_and_of_short_parts(spark):
+    import random
+
+    wide = [chr(c) for c in (*range(0x20000, 0x29000), *range(0xAC00, 0xD7A3))]
+    random.Random(5).shuffle(wide)
+    parts = ["".join(wide[k : k + 7]) for k in range(0, len(wide), 7)] + ["xy", "xyz", "x"]
+    answer, ref = textsim.Answer(". ".join(parts)), "".join(wide[700:712]) + "q" + "".join(wide[700:704])
+    assert answer.similarity(ref) == pytest.approx(similar(ref, ". ".join(parts)), abs=1e-12) and answer.similarity("xyx") == pytest.approx(similar("xyx", ". ".join(parts)), abs=1e-12)
+    grams = textsim.Grams(answer.compact)
+    assert grams.counted(4) is None and grams.counted(2) is not None
+    key, count, norm = textsim.Grams(["abab", "ba"]).counted(2)
+    assert sorted(count) == [1, 1, 2] and norm.tolist() == [math.sqrt(5), 1]
