@@ -26,6 +26,8 @@ OTHER_NAMES = {
 
 #: Runs of white space as Unicode and Python know it, with the four separators that Java leaves out.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: The same, but for single spaces, which need no change: most texts have hardly any other.
+UNEVEN_SPACE = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 TRUE_TEXT = ("1", "true", "yes", "y", "on")
 FALSE_TEXT = ("0", "false", "no", "n", "off")
 
@@ -36,11 +38,11 @@ def blank_to_null(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """White space of any kind as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACE, " "))
 
 
 def match_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, SPACE, ""))
+    return F.lower(F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), SPACE, ""))
 
 
 def parse_bool(c: Column, true: tuple = TRUE_TEXT, false: tuple = FALSE_TEXT) -> Column:

@@ -292,3 +292,24 @@ def test_grams_of_very_many_kinds_of_characters_and_of_short_parts(spark):
     assert grams.counted(4) is None and grams.counted(2) is not None
     key, count, norm = textsim.Grams(["abab", "ba"]).counted(2)
     assert sorted(count) == [1, 1, 2] and norm.tolist() == [math.sqrt(5), 1]
+
+
+def test_an_answer_is_made_compact_once_for_all_its_conditions(spark):
+    df = spark.createDataFrame([(1, "ok", "The fee  is 1,000", "fee 1,000", ["Fee IS", "1,000"])], "case_id int, status string, model_answer string, gold_answer string, required_conditions array<string>")
+    none = ("error", "question", "suite", "question_type", "expected_behavior", "expected_format")
+    df = df.withColumns({n: F.lit(None).cast("string") for n in none} | {"forbidden_claims": F.array(F.lit("no")), "json_keys": F.lit(None).cast("array<string>"), "json_only": F.lit(False), "fenceless": F.lit(False), "gold_evidence": F.array(F.struct(F.lit("t").alias("title"), F.lit("fee is").alias("excerpt")))})
+    out = scoring.scored(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _key#" in plan
+    row = out.collect()[0]
+    assert row.required_hits == ["Fee IS", "1,000"] and row.numeric_accuracy == 100
+
+
+def test_white_space_of_any_kind(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aB \n\t 　\x1c\x85") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", columns.squeezed(F.col("t")).alias("s"), columns.match_key(F.col("t")).alias("k")).collect()
+    assert all(r.s == flat(r.t) and r.k == compact(r.t) for r in got)
