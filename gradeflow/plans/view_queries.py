@@ -143,6 +143,11 @@ def text_disclosures(spark, d):
     return docs.select("doc_id", F.array_join(disclosure.disclosures(F.col("text")), ",").alias("kinds"))
 
 
+def _dealt_texts(spark, d):
+    """Documents with text and source; the work is in the texts, so rows are dealt to all tasks, however few files or row groups hold them."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source").repartition(spark.sparkContext.defaultParallelism)
+
+
 _DENIED = " OR ".join(f"contains(n, '{x}')" for x in disclosure.DENIALS)
 
 
@@ -154,14 +159,14 @@ SELECT d.doc_id, coalesce((SELECT string_agg(c, ',' ORDER BY k) FROM h WHERE h.d
 def forbidden_claims(spark, d):
     """T10, over every text; claims that are not sensitive."""
     claims = F.array(F.lit("the"), F.lit(" tion "), F.col("source"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
+    return _dealt_texts(spark, d).select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
 
 
 @query()
 def forbidden_claims_all(spark, d):
     """T10 with a sensitive claim, whose kinds of disclosure follow."""
     claims = F.array(F.lit("the"), F.lit(" tion "), F.lit("카드번호"), F.col("source"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
+    return _dealt_texts(spark, d).select("doc_id", F.array_join(disclosure.forbidden_hits(F.col("text"), claims), ",").alias("hits"))
 
 
 _SAFE = f"trim(regexp_replace(text, '{WS}', ' ', 'g'))"

@@ -336,3 +336,11 @@ def test_gram_cosine_is_the_largest_over_sizes(spark):
     got = {r.key: r.cosine for r in df.select("key", textsim.gram_cosine(F.col("reference"), F.col("answer")).alias("cosine")).collect()}
     assert set(got) == {i for i, _, _ in rows}
     assert all(abs(got[i] - max(cosine(a, b, n) for n in (2, 3, 4))) < 1e-9 for i, a, b in rows)
+
+
+def test_claims_of_one_file_are_searched_by_all_tasks(spark, tmp_path):
+    rows = [(i, "the 카드 번호 x" if i % 2 else "T H E", "src") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["forbidden_claims_all"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert {r.doc_id: r.hits for r in out.collect()} == {i: "the,카드번호" if i % 2 else "the" for i in range(40)}
