@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.operators.judges import KEY, latest, resolved
@@ -55,9 +55,12 @@ def merged(rows: DataFrame, *, arbiter_id: str | None = None, policy: str = "rev
     """
     classes = error_classes(F.col("status"), F.col("reason"))
     told = rows.withColumn("_blocked", classes["refused"] | classes["sanitized"])
-    good = latest(told.where((F.lower("status") == "ok") & ~F.col("_blocked")))
-    per_key = good.groupBy(*KEY).agg(F.count("*").alias("ok_judges"), F.count_if(F.col("judge_id") != F.lit(arbiter_id or "")).alias("_base"))
-    enough = good.join(per_key.where(F.col("ok_judges") >= max(1, min_ok)), list(KEY))
+    # dealt by answer once, so that the windows, sums and joins below need no further shuffle
+    good = latest(told.where((F.lower("status") == "ok") & ~F.col("_blocked")).repartition(*KEY))
+    of_answer = Window.partitionBy(*KEY)
+    per_key = good.groupBy(*KEY).agg(F.count("*").alias("ok_judges"))
+    counted = good.withColumns({"ok_judges": F.count("*").over(of_answer), "_base": F.count_if(F.col("judge_id") != F.lit(arbiter_id or "")).over(of_answer)})
+    enough = counted.where(F.col("ok_judges") >= max(1, min_ok))
     # where only the arbiter spoke, it is the base
     is_base = (F.col("judge_id") != F.lit(arbiter_id or "")) | (F.col("_base") == 0)
     drop = ("_blocked", "_base", "ok_judges", "run", "status", "reason")
@@ -66,7 +69,7 @@ def merged(rows: DataFrame, *, arbiter_id: str | None = None, policy: str = "rev
     failed = told.where(F.col("_blocked") | (F.lower("status") == "error"))
     last = F.max_by(F.struct("status", "reason"), F.struct("_blocked", "run", "seq"))
     about = told.groupBy(*KEY).agg(F.bool_or("_blocked").alias("_manual"), F.array_join(F.array_sort(F.collect_set(F.col("run").cast("string"))), ",").alias("runs"))
-    out = about.join(per_key.drop("_base"), list(KEY), "left").join(settled, list(KEY), "left").join(failed.groupBy(*KEY).agg(last.alias("_last")), list(KEY), "left")
+    out = about.join(per_key, list(KEY), "left").join(settled, list(KEY), "left").join(failed.groupBy(*KEY).agg(last.alias("_last")), list(KEY), "left")
     out = out.where(F.col("overall").isNotNull() | F.col("_last").isNotNull())
     status = F.when(F.col("_manual"), REFUSED).when(F.col("overall").isNotNull(), "ok").otherwise(F.col("_last")["status"])
     reason = F.when(F.col("overall").isNull() & ~F.col("_manual"), F.col("_last")["reason"])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.functions import columns
-from gradeflow.operators import merge, payloads, scoring, textsim, traces
+from gradeflow.operators import judges, merge, payloads, scoring, textsim, traces
 
 
 def flat(t):
@@ -313,3 +313,11 @@ def test_white_space_of_any_kind(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", columns.squeezed(F.col("t")).alias("s"), columns.match_key(F.col("t")).alias("k")).collect()
     assert all(r.s == flat(r.t) and r.k == compact(r.t) for r in got)
+
+
+def test_arbitration_evaluates_each_verdict_few_times(spark):
+    rows = [("m", c, j, k, k, 2 if k else 0, -1, -1, 0, False, "normal", "ok", "fine") for c in (1, 2) for k, j in enumerate(("a", "b", "x")) if not (c == 2 and j == "x")] + [("m", 3, "x", 0, 0, 2, -1, -1, 0, False, "normal", "ok", "fine")]
+    names = "config_id string, case_id int, judge_id string, seq int, run int, accuracy int, completeness int, numerical_accuracy int, hallucination int, critical_fail boolean, error_type string, status string, reason string"
+    out = merge.merged(judges.normalised(spark.createDataFrame(rows, names)), arbiter_id="x", policy="arbiter_override", method="mean")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
+    assert [(r.case_id, r.ok_judges, r.overall, r.resolution) for r in out.orderBy("case_id").collect()] == [(1, 3, 1.0, "arbiter_override"), (2, 2, 0.75, "unresolved"), (3, 1, 1.0, "none")]
