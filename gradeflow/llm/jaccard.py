@@ -10,12 +10,15 @@ nothing. The points are therefore first dealt by an exact law. Sets of similar s
 into more groups than the largest symmetric difference that the threshold leaves room for;
 then two linked sets agree on a group that neither has empty. The agreement on a group
 (with a fingerprint of its members, finer than the count alone) is a cell; sets too small
-for that share a cell for one of their first tokens in the order of hashes. Documents
-that share cells are joined into families; a large family is cut into bands of sizes and
-those into blocks. Each family, or pair of blocks, is one tree over the points alone, which
-decides by its bounds which documents may have a link there. Passages that many documents
-share join families whose members have little more in common; these end at the tree. Only the
-texts of the rest are fetched, to verify the pairs. No link is lost and no candidate capped.
+for that share a cell for one of their first tokens in the order of hashes. Hardly a cell
+has two members; those that do meet, once for each distinct set of members. Each meeting is
+one tree over the points alone (or, if small, its pairs), which decides by the bounds who may
+have a link there; copies of one text meet often, so each is first compared with the first and
+last of its cells, and meetings of what that joins already are passed over. Passages that many
+documents share make meetings of documents that have little more in common; these end
+here, so they join nothing. Documents that may link are joined into families, whose texts are
+fetched to verify the pairs. A large meeting or family is cut into bands of sizes and those
+into blocks, and every pair of blocks is a tree. No link is lost and no candidate capped.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.llm.common import Batches, dropped, mix, row_sums, shingle_sets, slices, utf8, written
@@ -196,31 +199,50 @@ def _keyed(batches: Batches, words: int, num: int, den: int) -> Batches:
         yield pa.RecordBatch.from_pydict({"cell": cell.view(np.int64), "fp": one[whose]})
 
 
-def _joined_by_cells(texts: DataFrame, words: int, num: int, den: int, tag: str) -> DataFrame:
-    """(node, component) of the fingerprints of texts that are joined by shared cells. Cells pass one shuffle and are never stored."""
-    keys = texts.mapInArrow(partial(_keyed, words=words, num=num, den=den), "cell long, fp long").repartition("cell").sortWithinPartitions("cell", "fp")
-    stars = written(keys.mapInArrow(_stars, "a long, b long").distinct(), f"{tag}-stars")
-    out = connected_components(stars, tag)
-    dropped(stars)
-    return out
+def _meetings(batches: Batches) -> Batches:
+    """Rows (cell, fp) sorted by cell -> (meeting, fp, first, last) of the cells with several members; a set of members met before in the task adds none.
 
+    A meeting is named by a hash of its members, so equal sets of members are one meeting.
+    """
+    seen: set[int] = set()
 
-def _stars(batches: Batches) -> Batches:
-    """From rows sorted by (cell, fp) an edge from each member of a cell to its first member."""
-    last_cell, last_first = None, 0
+    def met(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        more = np.flatnonzero(cell[1:] == cell[:-1])
+        rows = np.union1d(more, more + 1)
+        cell, fp = cell[rows], fp[rows]
+        order = np.lexsort((fp, cell))
+        cell, fp = cell[order], fp[order]
+        fresh = np.ones(len(cell), bool)
+        fresh[1:] = (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])
+        cell, fp = cell[fresh], fp[fresh]
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(cell))
+        name = row_sums(mix(fp.view(np.uint64), 11), np.append(starts, len(cell))).view(np.int64)
+        new = np.zeros(len(starts), bool)
+        once = np.unique(name, return_index=True)[1]
+        once = once[(ends - starts)[once] > 1]
+        new[once] = [x not in seen for x in name[once].tolist()]
+        if len(seen) > 1_000_000:
+            seen.clear()
+        seen.update(name[new].tolist())
+        count = (ends - starts)[new]
+        keep = np.repeat(new, ends - starts)
+        return pa.RecordBatch.from_pydict({"meeting": np.repeat(name[new], count), "fp": fp[keep], "first": np.repeat(fp[starts[new]], count), "last": np.repeat(fp[ends[new] - 1], count)})
+
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # the last cell, which may go on
     for batch in batches:
         if not batch.num_rows:
             continue
         cell, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        head = np.empty(len(cell), bool)
-        head[1:] = cell[1:] != cell[:-1]
-        head[0] = last_cell is None or cell[0] != last_cell
-        at = np.maximum.accumulate(np.where(head, np.arange(len(cell)), -1))
-        first = np.where(at >= 0, fp[at], last_first)
-        last_cell, last_first = cell[-1], first[-1]
-        keep = fp != first
-        pairs = np.unique(np.stack([fp[keep], first[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+        if not parts or cell[0] != cell[-1] or cell[0] != parts[-1][0][0]:
+            held = int(np.searchsorted(cell, cell[-1]))
+            done = [*parts, (cell[:held], fp[:held])]
+            yield met(*(np.concatenate(x) for x in zip(*done, strict=True)))
+            parts = []
+            cell, fp = cell[held:], fp[held:]
+        parts.append((cell, fp))
+    if parts:
+        yield met(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 class CountTree:
@@ -329,18 +351,99 @@ def _blocks(batches: Batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(parts)
 
 
-def _surviving(batches: Batches, num: int, den: int) -> Batches:
-    """Rows (block, fp, side, n, point) sorted by block -> (block, fp, side) of those that the tree's bounds leave a partner."""
+def near(raw: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the bounds of the rows ``i`` and ``j`` leave room for a link, pair by pair."""
+    lengths = np.array([len(r) for r in raw]) if raw else np.zeros(0, np.int64)
+    least = least_overlap(sizes[i] + sizes[j], num, den)
+    out = np.minimum(sizes[i], sizes[j]) >= least
+    short = np.minimum(lengths[i], lengths[j])
+    for length in np.unique(short[out]).tolist():
+        at = np.flatnonzero(out & (short == length))
+        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        pts = np.empty((len(rows), length // 2), np.int32)
+        for k in np.unique(lengths[rows]).tolist():
+            of = np.flatnonzero(lengths[rows] == k)
+            pts[of] = np.frombuffer(b"".join(raw[r] for r in rows[of].tolist()), "<u2").reshape(len(of), -1, length // 2).sum(1, dtype=np.int32)
+        one, two = place[: len(at)], place[len(at) :]
+        step = max(1, (1 << 21) // (length // 2))  # so many numbers at a time
+        for a in range(0, len(at), step):
+            bound = np.minimum(pts[one[a : a + step]], pts[two[a : a + step]]).sum(1, dtype=np.int64)
+            out[at[a : a + step]] = bound >= least[at[a : a + step]]
+    return out
+
+
+def _near_pairs(batches: Batches, num: int, den: int) -> Batches:
+    """Rows (a, b, n, point, n_b, point_b) -> the pairs (a, b) whose bounds leave room for a link."""
+    for batch in batches:
+        k = batch.num_rows
+        sizes = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
+        keep = near(batch.column(3).to_pylist() + batch.column(5).to_pylist(), sizes, np.arange(k), np.arange(k, 2 * k), num, den)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+SMALL = 64  # rows of a meeting whose pairs are compared without a tree
+
+
+def _small_pairs(rows: pa.Table, block: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of one block (rows sorted by it), of other roots and of sides that meet, whose bounds leave room for a link."""
+    fp, root, side = rows.column(1).to_numpy(), rows.column(5).to_numpy(), rows.column(2).to_numpy()
+    two = np.isin(block, np.intersect1d(block[side == 0], block[side == 1]))
+    pairs = []
+    for gap in range(1, SMALL):
+        i = np.flatnonzero(block[gap:] == block[:-gap])
+        if not len(i):
+            break
+        j = i + gap
+        keep = (root[i] != root[j]) & (fp[i] != fp[j]) & (~two[i] | (side[i] != side[j]))
+        pairs.append(np.stack([i[keep], j[keep]]))
+    i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    if len(i):  # what met in several blocks is compared once
+        one, two = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
+        order = np.lexsort((two, one))
+        fresh = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+        i, j = i[order[fresh]], j[order[fresh]]
+        keep = near(rows.column(4).to_pylist(), rows.column(3).to_numpy(), i, j, num, den)
+        i, j = i[keep], j[keep]
+    return fp[i], fp[j]
+
+
+def _tree_pairs(rows: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the rows of one large block as far as the tree's bounds leave room for links, but for what has one root already."""
+    pts, sizes, side = folded(rows.column(4).to_pylist()), rows.column(3).to_numpy(), rows.column(2).to_numpy()
+    fp, root = rows.column(1).to_numpy(), np.unique(rows.column(5).to_numpy(), return_inverse=True)[1]
+    out = []
+    for i, found in candidates(*_sides(side, pts, sizes), pts, sizes, num, den):
+        other, at = np.unique(root[found], return_index=True)
+        for r, j in zip(other.tolist(), found[at].tolist(), strict=True):
+            if r != root[i]:
+                out.append((fp[i], fp[j]))
+                root[root == r] = root[i]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def _met(batches: Batches, num: int, den: int) -> Batches:
+    """Rows (block, fp, side, n, point, root) sorted by block -> pairs (a, b) that join all those of other roots that may link there."""
+    few: list[pa.Table] = []
+
+    def pairs(tables: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(tables).combine_chunks()
+        a, b = _small_pairs(rows, np.repeat(np.arange(len(tables)), [t.num_rows for t in tables]), num, den)
+        return pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    held = 0
     for rows in _blocks(batches):
-        if rows.num_rows < 2:
-            continue
-        pts, sizes, side = folded(rows.column(4).to_pylist()), rows.column(3).to_numpy(), rows.column(2).to_numpy()
-        keep = np.zeros(rows.num_rows, bool)
-        for i, found in candidates(*_sides(side, pts, sizes), pts, sizes, num, den):
-            keep[i] = True
-            keep[found] = True
-        if keep.any():
-            yield from rows.select([0, 1, 2]).filter(pa.array(keep)).combine_chunks().to_batches()
+        if rows.num_rows > SMALL:
+            a, b = _tree_pairs(rows, num, den)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        elif rows.num_rows > 1:
+            few.append(rows)
+            held += rows.num_rows
+            if held > 8192:
+                yield pairs(few)
+                few, held = [], 0
+    if few:
+        yield pairs(few)
 
 
 def _families(batches: Batches, words: int, num: int, den: int) -> Batches:
@@ -369,6 +472,53 @@ def _families(batches: Batches, words: int, num: int, den: int) -> Batches:
         yield done(fps, sets, sides)
 
 
+def _placed(members: DataFrame, num: int, den: int, leaf_rows: int, leaf_tokens: int) -> DataFrame:
+    """Rows (family, fp, n, ...) -> (block, fp, side, n, ...): each two members that may link by their sizes share a block.
+
+    A family of more than ``leaf_rows`` is cut by size and into parts, and every pair of parts is a block.
+    """
+    more = [c for c in members.columns if c not in ("family", "fp", "n")]
+    large = members.groupBy("family").agg((F.count("*") > leaf_rows).alias("large")).where("large")
+    # linked sets are of one band or of neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(den / num)) * (1 + 1e-9))).cast("int")
+    placed = members.join(large, "family", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band - 1)).otherwise(F.array(F.lit(-1))))).drop("large")
+    held = placed.where("band >= 0").groupBy("family", "band").agg(F.count("*").alias("held"), F.sum("n").alias("tokens"))
+    blocks = F.least("held", F.ceil(F.greatest(F.col("tokens") / F.lit(leaf_tokens), F.col("held") / F.lit(leaf_rows)))).cast("int")
+    held = held.select("family", "band", "held", blocks.alias("blocks"))
+    placed = placed.join(held, ["family", "band"], "left").where("held is null or held > 1").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # every pair of blocks meets once; one block alone is a pair with itself
+    placed = placed.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")))
+    side = F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int"))
+    return placed.select(F.xxhash64("family", "band", "pair.i", "pair.j").alias("block"), "fp", side.alias("side"), "n", *more)
+
+
+def _may_link(texts: DataFrame, classes: DataFrame, words: int, num: int, den: int, leaf_rows: int, leaf_tokens: int) -> DataFrame:
+    """(node, component) of the fingerprints of texts that are joined by pairs whose bounds leave room for a link.
+
+    Cells pass one shuffle and are never stored; what meets in them is.
+    """
+    cells_ = texts.mapInArrow(partial(_keyed, words=words, num=num, den=den), "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
+    meetings = written(cells_.mapInArrow(_meetings, "meeting long, fp long, first long, last long").distinct(), "jaccard-meetings")
+    points_ = classes.select("fp", "n", "point")
+
+    stars = meetings.select("fp", F.explode(F.array("first", "last")).alias("b")).where("fp <> b").distinct()
+    stars = stars.join(points_, "fp").select(F.col("fp").alias("a"), F.col("b").alias("fp"), F.col("n").alias("n_a"), F.col("point").alias("point_a")).join(points_, "fp")
+    close = written(stars.select("a", F.col("fp").alias("b"), "n_a", "point_a", "n", "point").mapInArrow(partial(_near_pairs, num=num, den=den), "a long, b long"), "jaccard-close")
+    joined = connected_components(close, "jaccard-close-joined")
+
+    rooted = meetings.join(joined, F.col("fp") == F.col("node"), "left").select("meeting", "fp", F.coalesce("component", "fp").alias("root"))
+    whole = Window.partitionBy("meeting")
+    left = rooted.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).where("lo < hi")
+    left = written(left.select(F.col("meeting").alias("family"), "fp", "root").join(classes.select("fp", "n"), "fp"), "jaccard-left")
+    dropped(joined, meetings)
+    rows = _placed(left, num, den, leaf_rows, leaf_tokens).join(classes.select("fp", "point"), "fp").select("block", "fp", "side", "n", "point", "root").repartition("block").sortWithinPartitions("block", "fp")
+    met = written(rows.mapInArrow(partial(_met, num=num, den=den), "a long, b long").unionByName(close), "jaccard-met")
+    out = connected_components(met, "jaccard-families")
+    dropped(left, close, met)
+    return out
+
+
 def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 4096, leaf_tokens: int = 1 << 21) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of num/den or more.
 
@@ -383,25 +533,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, num: int = 80, den: i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     signed = written(texts.mapInArrow(partial(_signed, words=words), "doc_id long, h long, n long, fp long, fp2 long, point binary"), "jaccard-signed")
     classes = written(signed.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.min("h").alias("rep_h"), F.min("point").alias("point")), "jaccard-classes")
-    families = _joined_by_cells(texts, words, num, den, "jaccard-families")
-
-    sized = families.join(classes, F.col("node") == F.col("fp")).select("fp", "n", F.col("component").alias("family"))
-    large = families.groupBy(F.col("component").alias("family")).agg((F.count("*") > leaf_rows).alias("large"))
-    # a large family is cut by size: linked sets are of one band or of neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(den / num)) * (1 + 1e-9))).cast("int")
-    placed = sized.join(large, "family").select("fp", "n", "family", F.explode(F.when(F.col("large"), F.array(band, band - 1)).otherwise(F.array(F.lit(-1)))).alias("band"))
-    held = placed.groupBy("family", "band").agg(F.count("*").alias("held"), F.sum("n").alias("tokens"))
-    blocks = F.when(F.col("band") < 0, 1).otherwise(F.least("held", F.ceil(F.greatest(F.col("tokens") / F.lit(leaf_tokens), F.col("held") / F.lit(leaf_rows)))))
-    placed = placed.join(held, ["family", "band"]).where("held > 1").withColumn("blocks", blocks.cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # every pair of blocks meets once; one block alone is a pair with itself
-    placed = placed.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, own) as i, greatest(k, own) as j))")))
-    placed = placed.select("fp", F.xxhash64("family", "band", "pair.i", "pair.j").alias("block"), F.when(F.col("pair.i") == F.col("pair.j"), 0).otherwise((F.col("own") == F.col("pair.j")).cast("int")).alias("side"))
-    rows = placed.join(classes.select("fp", "n", "point"), "fp").select("block", "fp", "side", "n", "point").repartition("block").sortWithinPartitions("block", "fp")
-    alive = written(rows.mapInArrow(partial(_surviving, num=num, den=den), "block long, fp long, side int"), "jaccard-alive")
+    families = _may_link(texts, classes, words, num, den, leaf_rows, leaf_tokens)
+    alive = written(_placed(families.select(F.col("node").alias("fp"), F.col("component").alias("family")).join(classes.select("fp", "n"), "fp"), num, den, leaf_rows, leaf_tokens).select("block", "fp", "side"), "jaccard-alive")
     dropped(families)
 
-    # the texts of what the trees left, each fetched once
+    # the texts of what may link, each fetched once
     wanted = alive.groupBy("fp").agg(F.collect_list(F.struct("block", "side")).alias("places")).join(classes.select("fp", "rep", "rep_h"), "fp")
     named = texts.where("doc_id is not null").join(wanted, texts.doc_id == wanted.rep).select("fp", "places", "text")
     nameless = texts.where("doc_id is null").join(wanted.where("rep is null"), texts.h == wanted.rep_h).select("fp", "places", "text").dropDuplicates(["fp"])

@@ -110,6 +110,49 @@ def test_jaccard_empty_table_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 0, -1), (-1, 2, 3), (-1, 56, 7), (-1, 56, 7), (-1, 57, 7), (3, 2, 3), (3, 2, 3), (7, 57, 7), (9, 0, 9)]
 
 
+def test_jaccard_shared_passages_join_no_family(spark, monkeypatch):
+    """Documents that share passages but cannot link join no family, so no family grows with the table; near copies still do."""
+    rng = np.random.default_rng(5)
+    passages = [" ".join(f"p{k}w{i}" for i in range(70)) for k in range(12)]
+    rows = [(i, " ".join([*(passages[k] for k in rng.choice(12, 2, replace=False)), *(f"d{i}w{j}" for j in range(45))])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + f" x{i}") for i in range(0, 40, 2)]
+    # a set of one text in many cells: near copies of which no two are equal
+    rows += [(2000 + i, " ".join(f"c{j}" if j != i else f"e{i}" for j in range(200))) for i in range(100)]
+    joined, found = jaccard.connected_components, {}
+
+    def seen(edges, tag="components"):
+        out = joined(edges, tag)
+        found[tag] = out.groupBy("component").count().toPandas()["count"].tolist()
+        return out
+
+    monkeypatch.setattr(jaccard, "connected_components", seen)
+    got = dict(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=5, num=80, den=100).select("doc_id", "component_id").collect())
+    assert sorted(found["jaccard-families"]) == [2] * 20 + [100]
+    assert all(got[i] == (2000 if i >= 2000 else i - 1000 if i >= 1000 else i) for i in got) and len(got) == 520
+
+
+@pytest.mark.parametrize("size", [3, 500])
+def test_jaccard_meetings_and_pairs_against_plain_python(size):
+    """Meetings are the sets of members of cells, whatever the batches; pairs near by their bounds are those of the plain sum."""
+    rng = np.random.default_rng(size)
+    cell, fp = np.sort(rng.integers(-40, 40, 300)), rng.integers(0, 30, 300)
+    cell[100:150] = cell[100]  # a cell over several batches
+    cell.sort()
+    batches = [pa.RecordBatch.from_pydict({"cell": cell[a : a + size], "fp": fp[a : a + size]}) for a in range(0, 300, size)]
+    got = pa.Table.from_batches(jaccard._meetings(iter(batches))).to_pandas()
+    sets = {frozenset(fp[cell == c].tolist()) for c in cell.tolist()}
+    by = got.groupby("meeting")
+    assert {frozenset(g.fp.tolist()) for _, g in by} == {x for x in sets if len(x) > 1} and not got.duplicated().any()
+    assert all((g["first"] == g.fp.min()).all() and (g["last"] == g.fp.max()).all() for _, g in by)
+
+    counts = [rng.integers(0, 9, 128) if k % 3 else rng.integers(0, 3, 512) for k in range(60)]
+    sizes, raw = np.array([c.sum() for c in counts]), [c.astype("<u2").tobytes() for c in counts]
+    i, j = np.triu_indices(60, 1)
+    plain = lambda a, b: np.minimum(*(counts[k].reshape(-1, min(len(counts[a]), len(counts[b]))).sum(0) for k in (a, b))).sum()
+    room = [min(plain(a, b), *sizes[[a, b]]) >= jaccard.least_overlap(sizes[a] + sizes[b], 46, 100) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert jaccard.near(raw, sizes, i, j, 46, 100).tolist() == room and any(room) and not all(room)
+
+
 @pytest.mark.parametrize("law", [jaccard.LAW, jaccard.Law(10, 3)])
 def test_every_linked_pair_shares_a_cell(law):
     rng = np.random.default_rng(5)
